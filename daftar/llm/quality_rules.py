@@ -29,8 +29,9 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 #: Buckets of the sketch: bucket k holds ratios in (GAMMA**(k-1), GAMMA**k]; ratios up to TINY share one.
 GAMMA, TINY = 1.04, 1e-4
-#: A ratio is too high above q3 + FENCE * max(q3 - q1, the same of the language, FLOOR).
-FENCE, FLOOR = 3.0, 0.02
+#: A ratio is too high above q3 + FENCE * max(q3 - q1, the same of the language, its floor): the floor is the
+#: step that one line more in a short text makes, since most groups have no duplicate line or repeated window at all.
+FENCE, FLOORS = 3.0, (0.02, 0.1, 0.1)
 #: Groups of fewer rows than this use the quartiles of their language, then those of all rows.
 MIN_GROUP = 100
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
@@ -152,7 +153,8 @@ def fences(stats: DataFrame) -> DataFrame:
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("ratio") == F.col("ratio_")), "left").join(F.broadcast(every), F.col("ratio") == F.col("ratio_all"), "left")
     pick = lambda o, m, a: F.when(F.col("rows") >= MIN_GROUP, F.col(o)).when(F.col("lrows") >= MIN_GROUP, F.col(m)).otherwise(F.col(a))
     q1, q3 = pick("q1", "l1", "a1"), pick("q3", "l3", "a3")
-    spread = F.greatest(q3 - q1, F.least(F.col("l3") - F.col("l1"), F.col("a3") - F.col("a1")), F.lit(FLOOR))
+    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("ratio") + 1)
+    spread = F.greatest(q3 - q1, F.least(F.col("l3") - F.col("l1"), F.col("a3") - F.col("a1")), floor)
     limit = wide.select("lang", "source", "ratio", (q3 + FENCE * spread).alias("fence"))
     return limit.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*(F.max(F.when(F.col("ratio") == i, F.col("fence"))).alias(f"max_{r}") for i, r in enumerate(RATIOS)))
 

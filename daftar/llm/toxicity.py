@@ -2,7 +2,7 @@
 
 Labels say toxic or not; grades above 0 come from the data: words that labelled
 toxic texts use far more often than others are indicators, and toxic texts are
-graded by the tercile of their indicator rate. One weight vector is shared by
+graded by the tercile of their indicator count. One weight vector is shared by
 all thresholds; the model gives the probability of each grade and the expected
 severity.
 
@@ -59,15 +59,16 @@ def indicators(count: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, signed[best]
 
 
-def project(bucket: np.ndarray, n: np.ndarray, edges: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """log(1 + count) of the kept buckets, one row per text."""
+def project(bucket: np.ndarray, n: np.ndarray, edges: np.ndarray, kept: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """log(1 + count) of the kept buckets and, last, of all indicators together; one row per text."""
     column = np.full(BUCKETS, -1, np.int64)
     column[kept] = np.arange(len(kept))
     doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     at = column[bucket]
     use = at >= 0
-    x = np.zeros((len(edges) - 1, max(len(kept), 1)))
+    x = np.zeros((len(edges) - 1, len(kept) + 1))
     np.add.at(x, (doc[use], at[use]), n[use])
+    x[:, -1] = x[:, :-1][:, sign > 0].sum(1)
     return np.log1p(x)
 
 
@@ -115,7 +116,7 @@ class Ordinal:
         return cls(theta, w / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Ordinal] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, Ordinal] | None:
     """Fit on at most ``sample`` rows of each class; their ids (a bounded set) are broadcast to the scan."""
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and l_id is not null")
     marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
@@ -141,22 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     kept, sign = indicators(sums[:-2].reshape(2, BUCKETS), sums[-2:])
     if not len(kept):
         return None
-    keep = np.asarray(kept)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets = np.asarray(b.column(2).offsets).astype(np.int64)
-            x = project(np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten()), offsets - offsets[0], keep).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["toxic", "n_words", "x"])
-
-    table = sparse.mapInArrow(narrow, "toxic int, n_words long, x binary").toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(keep)).astype(float)
-    toxic, n_words = table["toxic"].to_numpy(), table["n_words"].to_numpy()
-    rate = np.expm1(x[:, sign > 0]).sum(1) / np.maximum(n_words, 1)
-    cuts = np.quantile(rate[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    y = np.where(toxic == 1, 1 + np.searchsorted(cuts, rate, "left"), 0)
+            x = project(np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten()), offsets - offsets[0], kept, sign).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["toxic", "x"])
+
+    table = sparse.mapInArrow(narrow, "toxic int, x binary").toArrow()
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(kept) + 1).astype(float)
+    toxic, hits = table["toxic"].to_numpy(), x[:, -1]
+    cuts = np.quantile(hits[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    y = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, "left"), 0)
     weight = np.where(toxic == 1, totals[1] / max((toxic == 1).sum(), 1), totals[0] / max((toxic == 0).sum(), 1))
-    return keep, Ordinal.fit(x, y, weight / weight.mean())
+    return kept, sign, Ordinal.fit(x, y, weight / weight.mean())
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -169,7 +168,7 @@ def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             p[:, 0] = 1
             if model:
                 bucket, first = words(part.column(1))
-                p = model[1].probabilities(project(bucket, np.ones(len(bucket)), first, model[0]))
+                p = model[2].probabilities(project(bucket, np.ones(len(bucket)), first, model[0], model[1]))
             toxic = 1 - p[:, 0]
             columns = [part.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
