@@ -1,6 +1,8 @@
 """Queries and SQL of this subpackage, by name."""
 
 from .decontaminate import op8_decontaminate
+from .html_text import op5_html_text
+from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
 from .sentencepiece_bpe import op4_sentencepiece
@@ -11,8 +13,10 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_text": op5_html_text,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
