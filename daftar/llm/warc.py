@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import materialize, new_path
 
 #: Fixed values of the format.
 MAGIC, END = b"WARC/1.0\r\n", "\r\n\r\n"
@@ -35,6 +35,8 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads of at least so many bytes are de-duplicated.
 MIN_BYTES = 0
+#: Repeated payloads (rows of about 80 bytes) that are broadcast at most.
+BROADCAST_ROWS = 400_000
 #: Bytes of an archive that one reading task takes, and of the longest header.
 RANGE, HEADER = 8 << 20, 1 << 16
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -50,14 +52,19 @@ def base32_sha1(payload):
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
-    The largest page_id per payload comes from an aggregate with map-side
-    combine; the join back carries no payloads but the pages' own, and a hot
+    The largest page_id per payload comes from an aggregate over digests with
+    map-side combine, kept only for payloads that repeat. That table is written
+    and counted: up to ``BROADCAST_ROWS`` rows it is broadcast and the payloads
+    stay where they are; beyond that a shuffled join takes over, in which a hot
     payload is one row on the other side, so AQE can split it.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
-    largest = rows.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("first_id"))
+    largest = rows.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    largest, _ = materialize(largest.filter("n > 1").drop("n"), "payloads")
+    if largest.count() <= BROADCAST_ROWS:
+        largest = F.broadcast(largest)
     joined = rows.join(largest, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left").drop("d", "b")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
