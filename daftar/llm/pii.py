@@ -24,7 +24,7 @@ ROUNDS = 8
 #: The candidate kinds, in order of precedence, as Java patterns.
 SECRET = r"""\b(?i:password|passwd|pwd|token|secret|api_?key|access_?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,128}["']?"""
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-PHONE = r"(?<![\w.])(?:\+1[ .\-]?)?\(?[2-9]\d{2}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\w])"
+PHONE = r"(?<![\w.])(?:\+1[ .\-]?)?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\w])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 DATE = r"(?<![\w/\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-])"
@@ -98,14 +98,15 @@ def _card(key: Column, m: Column) -> Column:
 
 
 def _phone(key: Column, m: Column) -> Column:
-    """Ten digits of the numbering plan: area and exchange from 200 to 999; exchanges below 200 are permuted as plain digits."""
+    """Ten digits: those of the numbering plan (area and exchange from 200 to 999) among themselves, others by class of leading digits."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     ten = F.right(digits, F.lit(10))
     area, exchange, line = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 3).cast("long"), F.substring(ten, 7, 4).cast("long")
     out = feistel(key, F.lit("phone"), area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000))
     inside = F.concat((out["x"] + 200).cast("string"), _padded(out["y"] + 2_000_000, 7))
     low = F.concat(F.substring(ten, 1, 3), F.substring(ten, 4, 1), feistel_digits(key, F.lit("phone"), F.substring(ten, 5, 6)))
-    new = F.when(exchange >= 200, inside).otherwise(low)
+    other = F.concat(F.substring(ten, 1, 1), feistel_digits(key, F.lit("phone"), F.substring(ten, 2, 9)))
+    new = F.when(area < 200, other).when(exchange >= 200, inside).otherwise(low)
     return fill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
 
 
