@@ -6,6 +6,7 @@ from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
 from .sentencepiece_bpe import op4_sentencepiece
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op7_toxicity
 from .warc import op10_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_text": op5_html_text,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
