@@ -2,6 +2,7 @@
 
 from .decontaminate import op8_decontaminate
 from .html_text import op5_html_text
+from .ngram_join import op1_ngram_join
 from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
@@ -11,6 +12,7 @@ from .toxicity import op7_toxicity
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sentencepiece": op4_sentencepiece,
