@@ -15,7 +15,6 @@ count once per distinct item_id; an empty benchmark leaves every text clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import CHUNK, SpanHash, buffer, covered, lowered, slices, split
+from .words import CHUNK, SpanHash, Words, buffer, covered, lowered, slices, split
 
 #: Windows of so many words; items with fewer words are one window.
 WINDOW = 13
@@ -208,22 +207,27 @@ def occurrences(ids: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[n
     return np.concatenate(found), np.concatenate(widths), items
 
 
+def shard(column: pa.Array, phrases: list[Phrases]) -> tuple[Words, np.ndarray, np.ndarray, list[set[str]]]:
+    """Words of a shard, which of them are hit, the hits per text, and the items found in each."""
+    w = split(*_lower(column), OUTSIDE)
+    hashes = SpanHash(w.data)(w.start, w.end)
+    hit = np.zeros(len(w.start), bool)
+    items: list[set[str]] = [set() for _ in range(w.docs)]
+    for p in phrases:
+        at, width, of = occurrences(p.lookup(hashes), w.first, p)
+        hit |= covered(at, at + width, len(w.start))
+        for d, names in zip(np.searchsorted(w.first, at, "right") - 1, of, strict=True):
+            items[d].update(names)
+    hits = np.concatenate(([0], np.cumsum(hit)))
+    return w, hit, hits[w.first[1:]] - hits[w.first[:-1]], items
+
+
 def _scan(blocks: list, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = [b.value for b in blocks]
         for part in slices(batches, "text", 2 * CHUNK):
-            w = split(*_lower(part.column(1)), OUTSIDE)
-            hashes = SpanHash(w.data)(w.start, w.end)
-            hit = np.zeros(len(w.start), bool)
-            items: list[set[str]] = [set() for _ in range(w.docs)]
-            for p in phrases:
-                at, width, of = occurrences(p.lookup(hashes), w.first, p)
-                hit |= covered(at, at + width, len(w.start))
-                for d, names in zip(np.searchsorted(w.first, at, "right") - 1, of, strict=True):
-                    items[d].update(names)
-            hits = np.concatenate(([0], np.cumsum(hit)))
+            w, hit, n_hit, items = shard(part.column(1), phrases)
             n_words = np.diff(w.first)
-            n_hit = hits[w.first[1:]] - hits[w.first[:-1]]
             listed = [sorted(x) for x in items]
             columns = [
                 part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string())),
@@ -273,6 +277,20 @@ def contaminated():
     return (F.col("n_hit") > 0) & (CONTAMINATED * F.col("n_hit") >= F.col("n_words"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; no shuffle."""
+    blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark)]
+    place = docs.columns.index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = [b.value for b in blocks]
+        for part in slices(batches, column, 2 * CHUNK):
+            w, _, n_hit, _ = shard(part.column(place), phrases)
+            yield part.filter(pa.array(~((n_hit > 0) & (CONTAMINATED * n_hit >= np.diff(w.first)))))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -350,5 +350,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that of the least doc_id.
+
+    Of repeated rows (equal doc_id and text) one stays; rows with a null doc_id
+    stay if nothing with an id is linked to them. The ids to drop are broadcast
+    when few and joined otherwise.
+    """
+    found, _ = materialize(near_duplicates(docs), "components")
+    gone, _ = materialize(found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
+    kept = docs.join(_few(gone), F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
+    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
+    if twice.limit(1).count():
+        columns = docs.columns
+        kept = kept.withColumn("row_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "row_hash"]).select(*columns)
+    return kept
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

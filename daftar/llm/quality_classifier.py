@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import _SYMBOL, per_doc, text_counts
-from .scratch import materialize
+from .scratch import discard, materialize
 from .sums import matrix, partition_sum
 from .words import CHUNK, slices, words_of
 
@@ -169,14 +169,21 @@ def fit(rows: DataFrame, target: str = "quality") -> Scorer | None:
     return Scorer(fourier, beta, isotonic(c[:BINS], c[BINS:]))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; labels of held-out rows are not learned."""
-    stats, _ = materialize(document_statistics(docs), "quality")
+def fit_on(stats: DataFrame, labels: DataFrame) -> Scorer | None:
+    """Fit on the statistics of all labelled rows that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("double").alias("quality")).filter("quality is not null and l_id is not null")
     marks = marks.filter(remainder("l_id") != 1).groupBy("l_id").agg(F.avg("quality").alias("quality"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
-    train = stats.join(marks, F.col("doc_id") == F.col("l_id")).select("x", "quality", fold.alias("fold"))
+    train, path = materialize(stats.join(marks, F.col("doc_id") == F.col("l_id")).select("x", "quality", fold.alias("fold")), "train")
     scorer = fit(train)
+    discard(stats.sparkSession, path)
+    return scorer
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; labels of held-out rows are not learned."""
+    stats, _ = materialize(document_statistics(docs), "quality")
+    scorer = fit_on(stats, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,3 +197,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are scored 0.5 or more, with all their columns.
+
+    The fit reads narrow statistics; the filter computes them again in place, so
+    that no text is shuffled.
+    """
+    scorer = fit_on(document_statistics(docs), labels)
+    at = docs.columns.index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column, CHUNK):
+            score = scorer(statistics(part.column(at)).astype(np.float32).astype(float)) if scorer else np.full(part.num_rows, 0.5)
+            yield part.filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

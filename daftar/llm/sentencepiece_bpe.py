@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .words import CHUNK, SpanHash, buffer, slices
 
@@ -331,5 +332,23 @@ def encode(docs: DataFrame, model: str | None = None, digests: bool = False) ->
     return rows.mapInArrow(_encode(model or default_model(), digests), schema)
 
 
+def encode_rows(docs: DataFrame, model: str | None = None, column: str = "text") -> DataFrame:
+    """``docs`` with n_tokens and ids added and ``column`` decoded from the ids again. No shuffle."""
+    path, place = model or default_model(), docs.columns.index(column)
+    schema = StructType([*(f for f in docs.schema if f.name not in ("n_tokens", "ids")), StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
+    rows = docs.drop("n_tokens", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for part in slices(batches, column, SLICE):
+            ids, edges = c.encode(part.column(place))
+            text = pa.array([x.decode("utf-8", "replace") for x in c.decode(ids, edges)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
+            columns = [text if k == place else part.column(k) for k in range(part.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(edges), pa.int64()), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
