@@ -1,0 +1 @@
+"""A Spark-native engine for building, curating and querying a bibliographic catalog."""
