@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,9 +29,20 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver collects the objects that stand for them, which a
+    driver with little garbage would put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove working tables that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -281,6 +281,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     units = some.mapInArrow(_single, "key long, doc_id long, rid long, pos long, segment string").withColumn("segment_id", F.xxhash64("segment"))
     reference = units.groupBy("key", "segment_id").agg(F.min("doc_id").alias("least_doc"), F.first("segment").alias("segment"))
     matched = reference.repartition("key").sortWithinPartitions("key").mapInArrow(_match, "m_key long, m_segment long, least array<long>")
+    matched, _ = materialize(matched, "matched")
     hits = units.select("key", "segment_id", "doc_id", "rid", "pos").join(matched, (F.col("key") == F.col("m_key")) & (F.col("segment_id") == F.col("m_segment")))
     starts = F.filter(F.transform("least", lambda least, j: F.when(least < F.col("doc_id"), F.col("pos") + j)), lambda x: x.isNotNull())
     per_doc = hits.select(F.col("rid").alias("r_id"), starts.alias("starts")).filter(F.size("starts") > 0).groupBy("r_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
