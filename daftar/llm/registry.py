@@ -3,6 +3,7 @@
 from .decontaminate import op8_decontaminate
 from .html_text import op5_html_text
 from .ngram_join import op1_ngram_join
+from .oracle import ORACLE_SQL
 from .pii import op9_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
@@ -24,4 +25,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
