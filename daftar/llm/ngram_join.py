@@ -229,10 +229,44 @@ def _stars(leaders: int):
     return run
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per hash bucket: whether it holds an odd number of the set's shingles; about a bit per shingle.
+
+    Each element of the symmetric difference of two sets flips one bit, so the
+    bits that differ never outnumber it.
+    """
+    size = 64
+    while size < len(tokens):
+        size *= 2
+    return np.packbits(np.bincount((mix(tokens + U(0x2545F4914F6CDD1D)) & U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the shorter."""
+    x, y = int.from_bytes(a, "big"), int.from_bytes(b, "big")
+    n, m = 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & (1 << n) - 1)
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & (1 << m) - 1)
+    return (x ^ y).bit_count()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", CHUNK):
         sets = shingle_sets(part.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
+        columns = [pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "tokens", "parity", "size"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities allow the similarity: sets of that similarity differ in at most (1 - s) / (1 + s) of their elements."""
+    for batch in batches:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+        keep = [(NUM + DEN) * differing(pa_, pb) <= (DEN - NUM) * (na + nb) for pa_, na, pb, nb in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +289,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar. The side with more pairs is the leader; a leader's pairs are dealt over tasks."""
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    ranked = pairs.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
+    """The pairs whose whole sets are similar.
+
+    Parities (a bit per shingle) rule out most pairs before any set is moved;
+    then only sets that still have a pair are. The side with more pairs is the
+    leader, and a leader's pairs are dealt over tasks.
+    """
+    sign = lambda k: sets.select(F.col("id").alias(k), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
+    signed = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "pa", "na", "pb", "nb")
+    some, _ = materialize(signed.mapInArrow(_possible, "a long, b long"), "possible")
+    degree = some.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    degree, _ = materialize(degree, "degree")
+    whole, _ = materialize(sets.join(_few(degree.select("x")), F.col("id") == F.col("x"), "left_semi").select("id", "tokens"), "whole")
+    ranked = some.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
     swap = F.col("db") > F.col("da")
     led = ranked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
-    dealt = led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS)))
-    members = dealt.join(sets, F.col("b") == F.col("id")).select("a", "b", "tokens", "salt")
-    heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
+    dealt, _ = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))), "dealt")
+    members = dealt.join(whole, F.col("b") == F.col("id")).select("a", "b", "tokens", "salt")
+    heads = dealt.select("a", "salt").distinct().join(whole, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.select("a", "b", "tokens").mapInArrow(_verify, "a long, b long")
 
@@ -287,8 +331,10 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted, wanted_path = materialize(postings.select("id").distinct(), "wanted")
     one_each = classes.groupBy("class_id").agg(F.min("doc_id").alias("w_doc")).join(wanted, F.col("class_id") == F.col("id"), "left_semi").select("w_doc")
     one_each, one_path = materialize(one_each, "wanted")
-    sets = texts.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("text").mapInArrow(_sets, "id long, tokens binary")
-    sets, _ = materialize(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = texts.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("text").mapInArrow(_sets, "id long, tokens binary, parity binary, size long")
+    # several rows of one class share the least doc_id only if that id is repeated
+    repeats = classes.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").count() > one_each.count()
+    sets, _ = materialize(sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "parity", "size"))) if repeats else sets, "sets")
 
     labels, label_path = None, None
     leaders, tried, used = LEADERS, None, [posting_path, wanted_path, one_path]

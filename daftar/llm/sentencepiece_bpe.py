@@ -27,9 +27,9 @@ from .words import CHUNK, SpanHash, buffer, slices
 
 #: Meta symbol for a space, and how many units a worker keeps encoded.
 META = "▁"
-CACHE = 1_000_000
+CACHE = 600_000
 #: Bytes of text encoded together.
-SLICE = 2 * CHUNK
+SLICE = 3 * CHUNK
 NONE = np.int64(2**40)
 
 
