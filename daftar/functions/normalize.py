@@ -65,19 +65,10 @@ LIGHT_PORT = _p("light_port", FOLD_DIWAN, nfkc=False, lower_first=True, delete=M
 LATIN = _p("latin", FOLD_LATIN, nfkc=False, lower_first=True, blank="[^a-z0-9 ]")
 PROFILES = {p.name: p for p in (SEARCH, CATALOG_TITLE, IMPORT, THESIS, DIWAN, UPLOAD, REFINE, LIGHT_BUILDER, LIGHT_QUALITY, LIGHT_TITLE, LIGHT_PORT, LATIN)}
 
-#: Only texts with such a character can change under NFKC (others are ASCII or plain Arabic).
-NFKC_GATE = r"[^\x00-\x7F\x{0600}-\x{06FF}]|[\x{0653}-\x{0655}\x{0675}-\x{0678}]"
-
-
 @F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def nfkc(text: Column) -> Column:
-    """NFKC; rows that it cannot change stay in the JVM's value."""
-    needed = text.rlike(NFKC_GATE)
-    return F.when(needed, _nfkc(F.when(needed, text))).otherwise(text)
+def nfkc(texts: pd.Series) -> pd.Series:
+    """NFKC, which Spark has no function for; ASCII texts are passed through."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def squeeze(text: Column) -> Column:

@@ -32,21 +32,25 @@ def key_edges(df: DataFrame, keys: Sequence[Column], ord_: str = "ord") -> DataF
 def components(edges: DataFrame, a: str = "later", b: str = "earlier", most: int = 30) -> DataFrame:
     """(node, component) by least-label propagation over a table of edges; groups here are small."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    both = cut(both)
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
     for _ in range(most):
         near = both.join(labels, F.col("v") == F.col("node")).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
         moved = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
         jump = moved.select(F.col("node").alias("j"), F.col("component").alias("jc"))
-        moved = _cut(moved.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", "jc").alias("component"), "moved"))
+        moved = cut(moved.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", "jc").alias("component"), "moved"))
         labels = moved.select("node", "component")
         if not moved.filter("moved").limit(1).count():
             break
     return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
+
+    It also ends an expression tree: columns that later rules read many times
+    are computed once.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -73,7 +77,7 @@ def greedy(df: DataFrame, keys: Mapping[str, Column], near_title: str | None = N
     near = None
     if near_title:
         some = named.select(F.col(ord_).alias("x"), near_title)
-        near = _cut(near_pairs(some, some, "x", "x", near_title, adaptive).filter("left_id > right_id").select(F.col("left_id").alias("later"), F.col("right_id").alias("earlier")))
+        near = cut(near_pairs(some, some, "x", "x", near_title, adaptive).filter("left_id > right_id").select(F.col("left_id").alias("later"), F.col("right_id").alias("earlier")))
         edges = edges.unionAll(near).distinct()
     groups = components(edges)
     linked = named.join(groups, F.col(ord_) == F.col("node")).select("component", F.col(ord_).alias("o"), *(f"_key_{k}" for k in keys))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import REFINE, UPLOAD, normalize
 from ..functions.text import CATALOG_TITLE, REFINE_TITLE, canonical_diwan_title, canonical_person, clean_catalog_title, clean_person, clean_title, identity, identity_material
 from ..operators.aggregates import keep_best, last_wins, merge_identity
+from ..operators.dedup import cut
 from ..operators.filters import is_texts
 from ..operators.joins import anti_keys, retract
 from ..operators.rules import confidence, diwan_evidence, diwan_reason, diwan_score, merge_reason, poet, refine_reason, upload_reason
@@ -20,6 +21,7 @@ def classify(docs: DataFrame, faithful_v4: bool = False) -> DataFrame:
     join = lambda c, by: F.array_join(F.coalesce(c, F.array().cast("array<string>")), by)
     d = docs.filter(is_texts(F.col("mediatype"))).withColumn("raw_title", join("title", " ")).withColumn("creator_name", F.coalesce(F.try_element_at("creator", F.lit(1)), F.lit("")))
     d = d.withColumn("title", clean_title(F.col("raw_title"))).withColumn("subject", join("subject", " · ")).withColumn("description", join("description", " "))
+    d = cut(d)
     d = d.withColumn("evidence", diwan_evidence(F.col("title"), F.col("subject"), F.col("description"), F.col("creator_name"))).withColumn("poet", poet(F.col("raw_title"), F.col("creator_name")))
     d = d.withColumn("reason", diwan_reason(F.col("title"), F.col("subject"), F.col("description"), F.col("evidence"))).withColumn("canonical", canonical_diwan_title(F.col("raw_title")))
     return d.withColumn("author", clean_person(F.col("creator_name"))).withColumn("score", diwan_score(F.col("evidence"), F.col("poet"), F.col("subject"), F.col("description"), F.col("language"), faithful_v4))
@@ -34,6 +36,7 @@ def harvest(docs: DataFrame, seq: str = "ord") -> DataFrame:
 def refine(materials: DataFrame) -> DataFrame:
     """Materials with clean titles, without noise, the most certain of each title and author; rejected ones have a reason."""
     m = materials.withColumn("title", clean_title(F.col("title"), REFINE_TITLE))
+    m = cut(m)
     m = m.withColumn("reason", refine_reason(F.col("title"))).withColumn("confidence", confidence(F.col("title"), F.col("author"), F.try_element_at("matchEvidence.strongSignals", F.lit(2)), F.col("sourceUrl")))
     author = F.regexp_replace(normalize(F.coalesce("author", F.lit("")), REFINE), "^لم يثبت اسم الشاعر في السجل$", "")
     keyed = m.withColumn("_title", normalize(F.col("title"), REFINE)).withColumn("_author", author)
@@ -64,6 +67,7 @@ def classify_upload(docs: DataFrame) -> DataFrame:
     join = lambda c, by: F.array_join(F.coalesce(c, F.array().cast("array<string>")), by)
     d = docs.withColumn("raw_title", join("title", " ")).withColumn("creator_name", F.coalesce(F.try_element_at("creator", F.lit(1)), F.lit("")))
     d = d.withColumn("title", clean_title(F.col("raw_title"))).withColumn("subject", join("subject", " · ")).withColumn("description", join("description", " "))
+    d = cut(d)
     d = d.withColumn("evidence", diwan_evidence(F.col("title"), F.col("subject"), F.col("description"), F.col("creator_name"))).withColumn("poet", poet(F.col("raw_title"), F.col("creator_name"), before=False))
     d = d.withColumn("reason", upload_reason(F.col("identifier"), F.col("title"), F.col("subject"), F.col("description"), F.col("language"), F.col("evidence")))
     return d.withColumn("canonical", canonical_diwan_title(F.col("raw_title"), UPLOAD)).withColumn("author", clean_person(F.col("creator_name"))).withColumn("score", diwan_score(F.col("evidence"), F.col("poet"), F.col("subject"), F.col("description"), F.col("language")))
@@ -72,6 +76,7 @@ def classify_upload(docs: DataFrame) -> DataFrame:
 def catalog(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged, rejected) of source records (id, title, author, source, sourceUrl, signals, volumes, pages, ord)."""
     r = records.withColumn("title", clean_catalog_title(F.col("title"))).withColumn("author", F.coalesce(F.nullif(F.trim("author"), F.lit("")), F.lit(NO_AUTHOR)))
+    r = cut(r)
     r = r.withColumn("reason", merge_reason(F.col("title"), F.col("author"), F.array_join(F.coalesce("signals", F.array().cast("array<string>")), " ")))
     r = r.withColumn("identity", identity(canonical_diwan_title(F.col("title"), UPLOAD, CATALOG_TITLE), canonical_person(F.col("author"))))
     return merge_identity(r.filter("reason is null")), r.filter("reason is not null")

@@ -14,7 +14,7 @@ from ..functions.text import (
     textify, title_author_key, truncated_title, url_key, value_list,
 )
 from ..operators.aggregates import audit, fixed_counts, tag_counts
-from ..operators.dedup import against_catalog, greedy
+from ..operators.dedup import against_catalog, cut, greedy
 from ..operators.filters import all_arabic_languages, is_pdf_message
 from ..operators.joins import first_reason
 from ..operators.projections import archive_candidate, better_title, chosen_title, list_candidate
@@ -41,8 +41,10 @@ def _decide(candidates: DataFrame, catalog: DataFrame, keys: dict[str, Column],
     own = clean
     for k, key in keys.items():
         own = own.withColumn(f"k_{k}", key)
+    known, own = cut(known.select("ord", *(f"k_{k}" for k in keys))), cut(own)
     columns = {k: F.col(f"k_{k}") for k in keys}
     met = against_catalog(own, known, columns, near_title and f"k_{near_title}", None, adaptive, ord_)
+    met = cut(met)
     fresh = met.filter("existing is null").select(ord_, *(f"k_{k}" for k in keys))
     batch = greedy(fresh, columns, near_title and f"k_{near_title}", adaptive, ord_).select(F.col(ord_).alias("b_ord"), F.col("reason").alias("batch"))
     verdict = met.select(F.col(ord_).alias("v_ord"), "existing").join(batch, F.col("v_ord") == F.col("b_ord"), "left").drop("b_ord")
@@ -71,7 +73,7 @@ def book_columns(books: DataFrame, metadata: DataFrame, with_archive_title: bool
 
 def archive_import(books: DataFrame, metadata: DataFrame, catalog: DataFrame, pack: str = "literature") -> Import:
     """Books of an archive through a rule pack: literature, grammar or rhetoric."""
-    b = book_columns(books, metadata, pack != "rhetoric")
+    b = cut(book_columns(books, metadata, pack != "rhetoric"))
     c = {k: F.col(k) for k in ("title", "raw_title", "archive_title", "identifier", "url", "error", "language", "subject", "description", "creator", "tags")}
     titles = F.concat_ws(" ", "title", "raw_title", "archive_title")
     if pack == "literature":
@@ -81,6 +83,7 @@ def archive_import(books: DataFrame, metadata: DataFrame, catalog: DataFrame, pa
         rules, topic, forgiven = {"grammar": (packs.GRAMMAR, "nahw_irab", None), "rhetoric": (packs.RHETORIC, None, "rhetoric")}[pack]
         tags = with_fallback(subject_tags(F.concat_ws(" ", titles, "description"), rules), subject_tags(F.col("subject"), rules))
         b = b.withColumn("tags", tags).withColumn("reject", subject_reason(c, rules, topic, forgiven))
+    b = cut(b)
     shown = F.coalesce(empty_to_null(clean_literature_title(F.col("title"))), F.col("title"))
     b = b.withColumn("match_title", F.col("title")).withColumn("title", shown).withColumn("author", empty_to_null(F.col("creator"))).withColumn("sourceUrl", F.col("url")).withColumn("primaryCategory", primary_category(F.col("tags"), pack == "literature"))
     arabic = all_arabic_languages(F.col("language"))
@@ -99,9 +102,9 @@ def title_list_import(titles: DataFrame, catalog: DataFrame, signal: str = "عن
     manual = dict(zip(canonical_keys(list(packs.MANUAL_TITLE_TAGS)), packs.MANUAL_TITLE_TAGS.values(), strict=True))
     relevant = canonical_keys(packs.RELEVANT_TITLES)
     t = titles.withColumn("title", clean_display_title(F.col("title"))).withColumn("title_key", canonical_list_title(F.col("title")))
-    t = t.withColumn("tags", list_tags(F.col("title"), F.col("title_key"), F.col("sourceCategory"), manual, relevant))
+    t = cut(t).withColumn("tags", list_tags(F.col("title"), F.col("title_key"), F.col("sourceCategory"), manual, relevant))
     t = t.withColumn("reject", list_reason(F.col("title"), F.col("title_key"), F.col("sourceCategory"), F.col("tags"), [*manual, *relevant])).withColumn("primaryCategory", primary_category(F.col("tags"), False))
-    t = list_candidate(t, "title_key", signal, folder)
+    t = list_candidate(cut(t), "title_key", signal, folder)
     keys = {"id": F.trim("id"), "url": F.regexp_replace(F.coalesce("sourceUrl", F.lit("")), "/+$", ""), "title": canonical_list_title(F.col("title"))}
     return _result(_decide(t, catalog, keys, "title", True))
 
@@ -110,6 +113,7 @@ def thesis_candidates(messages: DataFrame, channel: str) -> DataFrame:
     """PDF messages with a title worth keeping: the better of file name and text, its score, tags and level."""
     m = messages.filter(is_pdf_message(F.col("type"), F.col("mime_type"), F.col("file_name"))).withColumn("text", flatten_json(F.col("text")))
     m = m.withColumn("title", better_title(clean_telegram_title(F.col("file_name")), clean_telegram_title(F.col("text")), lambda t: thesis_signals(t)[0])).filter("title is not null")
+    m = cut(m)
     score, tags, names = thesis_signals(F.col("title"))
     m = m.withColumn("score", score).withColumn("tags", tags).withColumn("signals", names).withColumn("level", thesis_level(F.concat_ws(" ", "title", "text"))).withColumn("truncated", truncated_title(F.col("title")))
     keep = (F.col("score") >= 4) & F.col("title").rlike(r"[\x{0621}-\x{064A}]")
