@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,12 @@ def release(spark: SparkSession) -> None:
     It does so when the driver collects the objects that stand for them, which a
     driver with little garbage would put off until the disks are full.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # its last events still hold the plan
+    for pause in (0.2, 0.5):
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(pause)  # for the cleaner, which works in its own thread
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
