@@ -288,27 +288,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
     """The pairs whose whole sets are similar.
 
     Parities (a bit per shingle) rule out most pairs before any set is moved;
     then only sets that still have a pair are. The side with more pairs is the
-    leader, and a leader's pairs are dealt over tasks.
+    leader, and a leader's pairs are dealt over tasks. Also returns the working
+    tables to discard once the result is written.
     """
     sign = lambda k: sets.select(F.col("id").alias(k), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
     signed = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "pa", "na", "pb", "nb")
-    some, _ = materialize(signed.mapInArrow(_possible, "a long, b long"), "possible")
+    some, some_path = materialize(signed.mapInArrow(_possible, "a long, b long"), "possible")
     degree = some.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    degree, _ = materialize(degree, "degree")
-    whole, _ = materialize(sets.join(_few(degree.select("x")), F.col("id") == F.col("x"), "left_semi").select("id", "tokens"), "whole")
+    degree, degree_path = materialize(degree, "degree")
+    whole, whole_path = materialize(sets.join(_few(degree.select("x")), F.col("id") == F.col("x"), "left_semi").select("id", "tokens"), "whole")
     ranked = some.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
     swap = F.col("db") > F.col("da")
     led = ranked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
-    dealt, _ = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))), "dealt")
+    dealt, dealt_path = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))), "dealt")
     members = dealt.join(whole, F.col("b") == F.col("id")).select("a", "b", "tokens", "salt")
     heads = dealt.select("a", "salt").distinct().join(whole, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "tokens").mapInArrow(_verify, "a long, b long")
+    return rows.select("a", "b", "tokens").mapInArrow(_verify, "a long, b long"), [some_path, degree_path, whole_path, dealt_path]
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -334,7 +335,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("text").mapInArrow(_sets, "id long, tokens binary, parity binary, size long")
     # several rows of one class share the least doc_id only if that id is repeated
     repeats = classes.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").count() > one_each.count()
-    sets, _ = materialize(sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "parity", "size"))) if repeats else sets, "sets")
+    sets, set_path = materialize(sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "parity", "size"))) if repeats else sets, "sets")
 
     labels, label_path = None, None
     leaders, tried, used = LEADERS, None, [posting_path, wanted_path, one_path]
@@ -361,7 +362,9 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = now.withColumn("seat", F.row_number().over(seat)).filter(F.col("seat") > leaders).select("key", "id", "n", "place")
         postings, rest_path = materialize(rest, "postings")
         used.append(rest_path)
-        links, link_path = materialize(verified(pairs, sets), "links")
+        checked, working = verified(pairs, sets)
+        links, link_path = materialize(checked, "links")
+        discard(spark, *working)
         if links.limit(1).count():
             if labels is None:
                 labels, label_path = least_labels(links)
@@ -380,6 +383,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         leaders = max(leaders + 1, leaders * GROWTH) if leaders > 1 else leaders + 1
         if not postings.limit(1).count():
             break
+    discard(spark, set_path)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     return classes, labels.select(F.col("node").alias("id"), "label")
@@ -400,7 +404,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of linked texts: that of the least doc_id.
 
     Of repeated rows (equal doc_id and text) one stays; rows with a null doc_id
-    stay if nothing with an id is linked to them. The ids to drop are broadcast
+    all stay, since no id names them. The ids to drop are broadcast
     when few and joined otherwise.
     """
     found, _ = materialize(near_duplicates(docs), "components")

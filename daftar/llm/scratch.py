@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Steps that took longer may have left large shuffle files.
+RELEASE_AFTER_S = 3.0
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -29,8 +31,10 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and return it as read back, with its path."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    began = time.monotonic()
     df.write.parquet(path)
-    release(spark)
+    if time.monotonic() - began > RELEASE_AFTER_S:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
