@@ -6,7 +6,8 @@ Feistel network over its own set of values: cards keep their first digit,
 length, spacing and a right check digit; phone numbers stay in the numbering
 plan; addresses stay addresses; dates stay dates of the same 400 years. Equal
 values get equal pseudonyms in every document. E-mail names and secrets, which
-have no such set, become keyed digests in their own shape.
+have no such set, become keyed digests in their own shape; a secret is taken to the
+end of its run, whatever its length.
 
 Defined results: a null text stays null with 0 values; candidates that fail
 validation stay as they are; repeated rows are treated alike; an empty table
@@ -22,14 +23,21 @@ from pyspark.sql import functions as F
 DEFAULT_KEY = "daftar-public-test-key"
 ROUNDS = 8
 #: The candidate kinds, in order of precedence, as Java patterns.
-SECRET = r"""\b(?i:password|passwd|pwd|token|secret|api_?key|access_?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,128}["']?"""
+#: A secret value is a whole run of eight characters or more, of any length; a full stop or mark after it is not part of it.
+VALUE = r"[A-Za-z0-9+/_\-.~%@$!#][A-Za-z0-9+/_\-.~%@$!#=:]{6,}[A-Za-z0-9+/_\-~%@$#=]"
+SECRET = rf"""\b(?i:password|passwd|pwd|token|secret|api_?key|access_?key)\s{{0,3}}[=:]\s{{0,3}}["']?{VALUE}["']?"""
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 PHONE = r"(?<![\w.])(?:\+1[ .\-]?)?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?![\w])"
+#: Other countries' numbers with + and code, and the national forms of fr, de and es.
+ABROAD = (
+    r"(?<![\w.+])(?:\+(?=(?:[ .\-/()]{0,3}\d){8,15}(?![ .\-/]?\d))[2-9]\d{0,2}(?:[ .\-/]?(?:\(0?\d{0,4}\)[ .\-/]?)?\d{1,12}){1,7}"
+    r"|0[1-9](?:\d{8}|(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})|0[1-9]\d{1,4}[ /]\d{5,8}|[67]\d{2}(?:[ \-]\d{3}[ \-]\d{3}|(?:[ \-]\d{2}){3}))(?!\w|[.\-]\d)"
+)
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 DATE = r"(?<![\w/\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-])"
 CARD = r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w|\.\d)"
-ANY = "|".join((SECRET, EMAIL, DATE, SSN, PHONE, IP, CARD))
+ANY = "|".join((SECRET, EMAIL, DATE, SSN, PHONE, ABROAD, IP, CARD))
 #: 400 years have 27 * 5411 days; dates from this day on are permuted among them.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 27, 5411
 
@@ -146,19 +154,29 @@ def _email(key: Column, m: Column) -> Column:
 
 
 def _secret(key: Column, m: Column) -> Column:
-    value = F.regexp_extract(m, r"""[=:]\s{0,3}["']?([A-Za-z0-9+/_\-]{8,128})["']?$""", 1)
-    at = F.length(m) - F.length(F.regexp_extract(m, r"""([A-Za-z0-9+/_\-]{8,128}["']?)$""", 1))
-    digest = F.sha2(F.concat_ws("|", key, F.lit("secret"), value), 512)
-    rest = F.regexp_extract(m, r"""(["']?)$""", 1)
-    return F.concat(F.substring(m, F.lit(1), at), F.substring(digest, F.lit(1), F.length(value)), rest)
+    """The digest of the whole value, as many characters of it as the value has; beyond 128 further blocks are counted."""
+    form = r"""^(\w+\s{0,3}[=:]\s{0,3}["']?)(.*?)(["']?)$"""
+    value = F.regexp_extract(m, form, 2)
+    n = F.length(value)
+    block = lambda i: F.sha2(F.concat_ws("|", key, F.when(i == 0, "secret").otherwise(F.concat(F.lit("secret#"), i.cast("string"))), value), 512)
+    digest = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 128).cast("int")), block), "")
+    return F.concat(F.regexp_extract(m, form, 1), F.substring(digest, F.lit(1), n), F.regexp_extract(m, form, 3))
+
+
+def _abroad(key: Column, m: Column) -> Column:
+    """The digits after a country code (three digits after +) or a national prefix (two), permuted; the form stays."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    lead = F.when(m.startswith("+"), 3).otherwise(2)
+    head = F.substring(digits, F.lit(1), lead)
+    return fill(m, F.concat(head, feistel_digits(key, F.concat(F.lit("abroad"), head, F.lit("|")), F.substring(digits, lead + 1, F.length(digits)))))
 
 
 def pseudonym(m: Column, key: Column) -> Column:
     """The pseudonym of one candidate, or the candidate itself if it is no valid value."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     new = (
-        F.when(m.contains("@"), _email(key, m)).when(whole(SECRET), _secret(key, m)).when(whole(DATE), _date(key, m)).when(whole(SSN), _ssn(key, m))
-        .when(whole(PHONE), _phone(key, m)).when(whole(IP), _ip(key, m)).otherwise(_card(key, m))
+        F.when(whole(SECRET), _secret(key, m)).when(m.contains("@"), _email(key, m)).when(whole(DATE), _date(key, m)).when(whole(SSN), _ssn(key, m))
+        .when(whole(PHONE), _phone(key, m)).when(whole(ABROAD), _abroad(key, m)).when(whole(IP), _ip(key, m)).otherwise(_card(key, m))
     )
     return F.coalesce(new, m)
 
