@@ -1,10 +1,14 @@
 """Quality rules with thresholds learned per language and source.
 
 Base rules reject texts that are too short or repeat themselves. The other
-rules have no fixed cutoff: each document ratio goes into a mergeable quantile
-sketch (logarithmic buckets of 2 % relative error, merged by adding counts) for
-its language and source, and a text is rejected when a ratio lies far above the
-upper quartile of its own group, measured in interquartile ranges.
+rules have no fixed cutoff: the log odds of each document ratio, with half a
+count added on both sides so that texts without a hit differ by their length,
+go into a mergeable quantile sketch (buckets of 4 % in the odds, merged by
+adding counts) for its language and source, and a text is rejected when they
+lie far above the upper quartile of its own group, measured in interquartile
+ranges. Junk in a group lies above its clean texts, so the fence is counted
+from the first quartile, and the range is bounded by those of the language and
+of all rows: a group with up to half of its rows junk keeps a clean fence.
 
 Defined results: a null or wordless text has zero counts and fails the base
 rules; null language or source form a group of their own; repeated rows are
@@ -27,14 +31,16 @@ from .words import CHUNK, SpanHash, covered, mix, slices, windows, words_of
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
-#: Buckets of the sketch: bucket k holds ratios in (GAMMA**(k-1), GAMMA**k]; ratios up to TINY share one.
-GAMMA, TINY = 1.04, 1e-4
-#: A ratio is too high above q3 + FENCE * max(q3 - q1, the same of the language, its floor): the floor is the
-#: step that one line more in a short text makes, since most groups have no duplicate line or repeated window at all.
-FENCE, FLOORS = 3.0, (0.02, 0.1, 0.1)
+#: Buckets of the sketch: bucket k holds odds in (GAMMA**(k-1), GAMMA**k].
+GAMMA = 1.04
+#: Log odds are too high above q1 + (FENCE + 1) * spread, which is q3 + FENCE * (q3 - q1) where the spread is the group's own.
+#: LEAST keeps the fence open where all rows of the table have the same counts.
+FENCE, LEAST = 3.0, 0.5
 #: Groups of fewer rows than this use the quartiles of their language, then those of all rows.
 MIN_GROUP = 100
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
+#: Hits and total of each ratio.
+PARTS = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -112,23 +118,20 @@ def text_stats(docs: DataFrame) -> DataFrame:
 
 
 def _with_ratios(stats: DataFrame) -> DataFrame:
-    part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return (
-        stats.withColumn("symbol_ratio", part("n_symbols", "word_chars"))
-        .withColumn("dup_line_ratio", part("n_dup_lines", "n_lines"))
-        .withColumn("repeat_ratio", part("n_repeat_words", "n_words"))
-    )
+    out = stats
+    for r, (a, b) in zip(RATIOS, PARTS, strict=True):
+        out = out.withColumn(r, F.col(a) / F.greatest(F.col(b), F.lit(1))).withColumn(f"odds_{r}", F.log((F.col(a) + 0.5) / (F.greatest(F.col(b) - F.col(a), F.lit(0)) + 0.5)))
+    return out
 
 
-def bucket(ratio):
-    """The sketch bucket of a ratio; 0 for the tiny ones."""
-    k = F.ceil(F.log(ratio / F.lit(TINY)) / F.lit(float(np.log(GAMMA))))
-    return F.when(ratio <= TINY, F.lit(0)).otherwise(k).cast("int")
+def bucket(odds):
+    """The sketch bucket of log odds."""
+    return F.ceil(odds / F.lit(float(np.log(GAMMA)))).cast("int")
 
 
 def sketch(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Bucket counts per group and ratio: partial sketches merge by adding counts in the map-side combine."""
-    long = rows.select(*keys, F.posexplode(F.array(*(bucket(F.col(r)) for r in RATIOS))).alias("ratio", "bucket"))
+    long = rows.select(*keys, F.posexplode(F.array(*(bucket(F.col(f"odds_{r}")) for r in RATIOS))).alias("ratio", "bucket"))
     return long.groupBy(*keys, "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -137,13 +140,13 @@ def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "ratio"]
     w = Window.partitionBy(*by)
     run = counts.withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.lit(TINY) * F.pow(F.lit(GAMMA), F.col("bucket")))
+    value = F.col("bucket") * F.lit(float(np.log(GAMMA)))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
     return run.groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("rows"))
 
 
 def fences(stats: DataFrame) -> DataFrame:
-    """Upper fence of each ratio per language and source."""
+    """Upper fence of the log odds of each ratio per language and source."""
     fine = sketch(_with_ratios(stats), ["lang", "source"])
     by_lang = quartiles(fine.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n")), ["lang"])
     by_all = quartiles(fine.groupBy("ratio", "bucket").agg(F.sum("n").alias("n")), [])
@@ -153,9 +156,10 @@ def fences(stats: DataFrame) -> DataFrame:
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("ratio") == F.col("ratio_")), "left").join(F.broadcast(every), F.col("ratio") == F.col("ratio_all"), "left")
     pick = lambda o, m, a: F.when(F.col("rows") >= MIN_GROUP, F.col(o)).when(F.col("lrows") >= MIN_GROUP, F.col(m)).otherwise(F.col(a))
     q1, q3 = pick("q1", "l1", "a1"), pick("q3", "l3", "a3")
-    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("ratio") + 1)
-    spread = F.greatest(q3 - q1, F.least(F.col("l3") - F.col("l1"), F.col("a3") - F.col("a1")), floor)
-    limit = wide.select("lang", "source", "ratio", (q3 + FENCE * spread).alias("fence"))
+    # a group's own range, shrunk a quarter of the way to its parents'; one wider than theirs may be junk and counts as theirs
+    parent = F.when(F.col("lrows") >= MIN_GROUP, F.least(F.col("l3") - F.col("l1"), F.col("a3") - F.col("a1"))).otherwise(F.col("a3") - F.col("a1"))
+    spread = F.greatest((3 * F.least(q3 - q1, parent) + parent) / 4, F.lit(LEAST))
+    limit = wide.select("lang", "source", "ratio", (q1 + (FENCE + 1) * spread).alias("fence"))
     return limit.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*(F.max(F.when(F.col("ratio") == i, F.col("fence"))).alias(f"max_{r}") for i, r in enumerate(RATIOS)))
 
 
@@ -173,7 +177,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
     for r in RATIOS:
-        within = within & (F.col(r) <= F.coalesce(F.col(f"max_{r}"), F.lit(float("inf"))))
+        within = within & (F.col(f"odds_{r}") <= F.coalesce(F.col(f"max_{r}"), F.lit(float("inf"))))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
 
 
