@@ -1,5 +1,6 @@
 """Fences of the quality rules in sources with much junk and in sources of unlike texts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from daftar.llm import quality_rules
@@ -7,6 +8,24 @@ from daftar.llm import quality_rules
 DOC = "doc_id long, lang string, source string, text string"
 
 
+def rules_table(spark, share):
+    """100 sources of clean prose, one in which ``share`` of the rows is symbol junk."""
+    clean = lambda k: "\n".join(" ".join(f"word{(k * 7 + i * j) % 997}" for i in range(1, 9)) for j in range(1, 8 + k % 40))
+    junk = lambda k: " ".join(f"#$%{i * k % 89}xy" for i in range(1, 60 + k % 50))
+    rows = [(k, "en", f"s{k % 4}", clean(k)) for k in range(600)]
+    bad = int(200 * share)
+    return spark.createDataFrame(rows + [(1000 + k, "en", "hot", junk(k) if k < bad else clean(k)) for k in range(200)], DOC), bad
+
+
+@pytest.mark.parametrize("share", [0.3, 0.4, 0.5])
+def test_a_source_with_much_junk_loses_it(spark, share):
+    docs, bad = rules_table(spark, share)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).filter("not base_failed").collect()}
+    assert len(got) > 700 and not any(got.get(1000 + k) for k in range(bad))
+    clean = [v for k, v in got.items() if k < 1000 or k >= 1000 + bad]
+    assert sum(clean) / len(clean) > 0.98
+
+
 def test_fences_follow_their_group(spark):
     """Long texts and short ones have other fences, and a repeat ratio below the base rule's can be rejected."""
     text = lambda k, n: "\n".join(" ".join(f"w{(k * 31 + i + 8 * j) % 99991}" for i in range(8)) for j in range(n))
