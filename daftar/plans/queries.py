@@ -183,10 +183,26 @@ def near_title_pairs_adaptive(spark, sf):
     return joins.near_pairs(*near_sides(spark, sf), "doc_id", "doc_id", "t", adaptive=True)
 
 
+def all_near(spark, sf, adaptive: bool) -> DataFrame:
+    d = lines(spark, sf)
+    return joins.near_pairs(d, d, "doc_id", "doc_id", "key", adaptive).filter("left_id <> right_id")
+
+
+@query()
+def near_title_pairs_fixed_all(spark, sf):
+    """All documents with all; the SQL of the sides above is quadratic, tests compare with brute force."""
+    return all_near(spark, sf, False)
+
+
+@query()
+def near_title_pairs_adaptive_all(spark, sf):
+    return all_near(spark, sf, True)
+
+
 @query()
 def greedy_dedup(spark, sf):
     d = lines(spark, sf).withColumn("u", F.concat(F.col("n_chars").cast("string"), F.col("lang")))
-    return greedy(d, {"title": F.col("title"), "size": F.col("u")}, ord_="doc_id").select("doc_id", "kept", "reason")
+    return greedy(d, {"title": F.col("title"), "size": F.col("u")}, "key", ord_="doc_id").select("doc_id", "kept", "reason")
 
 
 @query(f"""select doc_id, key, n_chars from (select doc_id, left({KEY}, 12) as key, n_chars, row_number() over (partition by left({KEY}, 12) order by n_chars % 7 desc, doc_id) as r from documents) where r = 1""")
