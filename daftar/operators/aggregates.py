@@ -108,15 +108,17 @@ def fixed_counts(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     return wanted.join(found, F.col("value") == F.col("_v"), "left").select("value", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
-def duplicate_groups(df: DataFrame, key: str, record: Sequence[str], most: int = 50) -> DataFrame:
-    """(key, n, records) of keys with more than one row; ``records`` shows the first ``most`` of them.
+def duplicate_groups(df: DataFrame, key: str, record: Sequence[str], most: int | None = 50) -> DataFrame:
+    """(key, n, records) of keys with more than one row; ``records`` shows the first ``most`` of them, all if None.
 
     Counts cover all rows; the shown list is bounded so that a hot key never
-    gathers in one task.
+    gathers in one task, unless all are asked for.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-    w = Window.partitionBy(key).orderBy("ord")
-    shown = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", *record))).alias("records"))
+    first = df
+    if most is not None:
+        first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).filter(F.col("_rank") <= most)
+    shown = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", *record))).alias("records"))
     return counts.join(shown, key)
 
 

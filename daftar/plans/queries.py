@@ -230,10 +230,26 @@ def merge_identity(spark, sf):
 @query("select text_key, n, array_to_string(list_transform(ids, lambda x: cast(x as varchar)), '|') as ids from (select sha256(text) as text_key, count(*) as n, list(doc_id order by doc_id) as ids from documents group by text having count(*) > 1)")
 def duplicate_groups(spark, sf):
     d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_key"), F.col("doc_id").alias("ord"))
-    g = agg.duplicate_groups(d, "text_key", [], most=1_000_000)
+    g = agg.duplicate_groups(d, "text_key", [], most=None)
     return g.select("text_key", "n", F.array_join(F.transform("records", lambda r: r["ord"].cast("string")), "|").alias("ids"))
 
 
+def text_keys(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_key"), "doc_id")
+
+
+@query("select sha256(text) as text_key, count(*) as n from documents group by text having count(*) > 1")
+def duplicate_group_counts(spark, sf):
+    return agg.duplicate_values(text_keys(spark, sf), "text_key")
+
+
+@query("select sha256(text) as text_key, doc_id from documents where text in (select text from documents group by text having count(*) > 1)")
+def duplicate_group_members(spark, sf):
+    """One row per member: no list of a group is gathered anywhere."""
+    d = text_keys(spark, sf)
+    return d.join(agg.duplicate_values(d, "text_key").select("text_key"), "text_key", "left_semi").select("text_key", "doc_id")
+
+
 @query(f"select {KEY} as key, count(*) as n from documents group by 1 having count(*) > 1")
 def duplicate_values(spark, sf):
     return agg.duplicate_values(lines(spark, sf), "key")

@@ -41,3 +41,17 @@ def test_greedy_takes_near_titles(spark, small):
         if not any(TITLES[j] == t or (i, j) in near for j in kept):
             kept.append(i)
     assert sorted(r["doc_id"] for r in QUERIES["greedy_dedup"](spark, small).filter("kept").collect()) == kept
+
+
+def test_duplicate_groups_without_a_cap(spark):
+    from daftar.operators import aggregates
+
+    df = spark.createDataFrame([("a", k) for k in range(120)] + [("b", 500)], "key string, ord long")
+    got = aggregates.duplicate_groups(df, "key", [], most=None).collect()
+    assert [(r["key"], r["n"], [x["ord"] for x in r["records"]]) for r in got] == [("a", 120, list(range(120)))]
+
+
+def test_duplicate_members_are_all_listed(spark, tmp_path):
+    spark.createDataFrame([(k, "same") for k in range(120)] + [(500, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in QUERIES["duplicate_group_members"](spark, str(tmp_path)).collect()) == list(range(120))
+    assert [r["n"] for r in QUERIES["duplicate_group_counts"](spark, str(tmp_path)).collect()] == [120]
