@@ -47,8 +47,8 @@ def lines(spark, sf) -> DataFrame:
 
 
 @query(f"select doc_id, {KEY} as key, length({KEY}) as n from documents")
-def normalize_text(spark, sf):
-    return lines(spark, sf).select("doc_id", "key", F.length("key").cast("long").alias("n"))
+def normalize_text(spark, sf, rows=lines):
+    return rows(spark, sf).select("doc_id", "key", F.length("key").cast("long").alias("n"))
 
 
 @query(f"select doc_id, source from documents where contains({duckdb_latin('text')}, 'the') and contains({duckdb_latin('text')}, 'tion') and contains({duckdb_latin('text')}, 'ou')")
@@ -133,8 +133,8 @@ b3 as (select * from d x where b = 3 and not exists (select 1 from a2 y where y.
 
 
 @query(UNION_CTE)
-def prioritized_union(spark, sf):
-    d = lines(spark, sf).withColumn("b", F.col("doc_id") % 4)
+def prioritized_union(spark, sf, rows=lines):
+    d = rows(spark, sf).withColumn("b", F.col("doc_id") % 4)
     title, key = {"title": F.col("title")}, {"key": F.col("key")}
     return joins.prioritized_union([d.filter(F.col("b") == k) for k in range(4)], [{}, title, title | key, key]).select("doc_id", "b")
 
@@ -251,13 +251,13 @@ def duplicate_group_members(spark, sf):
 
 
 @query(f"select {KEY} as key, count(*) as n from documents group by 1 having count(*) > 1")
-def duplicate_values(spark, sf):
-    return agg.duplicate_values(lines(spark, sf), "key")
+def duplicate_values(spark, sf, rows=lines):
+    return agg.duplicate_values(rows(spark, sf), "key")
 
 
 @query(f"select count({KEY}) - count(distinct {KEY}) as duplicates from documents")
-def duplicate_count(spark, sf):
-    return agg.duplicate_count(lines(spark, sf), "key")
+def duplicate_count(spark, sf, rows=lines):
+    return agg.duplicate_count(rows(spark, sf), "key")
 
 
 @query("select source, count(*) as n, min(doc_id) as first from documents group by source")
@@ -271,8 +271,8 @@ def fixed_key_counts(spark, sf):
 
 
 @query(f"select tag, count(*) as n from (select unnest(list_distinct(string_split({KEY}, ' '))) as tag from documents) group by tag")
-def tag_explode_counts(spark, sf):
-    return agg.tag_counts(lines(spark, sf).select(F.array_distinct(F.split("key", " ")).alias("tags")))
+def tag_explode_counts(spark, sf, rows=lines):
+    return agg.tag_counts(rows(spark, sf).select(F.array_distinct(F.split("key", " ")).alias("tags")))
 
 
 @query("select lang, doc_id from documents qualify row_number() over (partition by lang order by n_chars desc, doc_id) <= 5")
@@ -339,8 +339,8 @@ def decision_audit(spark, sf):
 
 
 @query(f"select doc_id, 'ddl-title-' || left(sha256({KEY}), 18) as id from documents")
-def stable_ids(spark, sf):
-    return lines(spark, sf).select("doc_id", stable_id(F.col("key")).alias("id"))
+def stable_ids(spark, sf, rows=lines):
+    return rows(spark, sf).select("doc_id", stable_id(F.col("key")).alias("id"))
 
 
 @query("""select page_id, regexp_replace(trim(url), '/+$', '') as url_key, nullif(regexp_extract(url, '(?i)^https?://([^/]+)', 1), '') as host, cast(null as varchar) as post, replace(url_encode(regexp_extract(url, '([^/]*)$', 1)), '%20', '%20') as encoded from pages""")
@@ -371,10 +371,10 @@ def letter_ratio(spark, sf):
 
 @query(f"""with d as (select doc_id, list_filter(list_distinct(string_split({KEY}, ' ')), lambda x: length(x) > 1) as t from documents)
 select a.doc_id, len(list_intersect(a.t, b.t)) as overlap from d a join d b on b.doc_id = a.doc_id + 1""")
-def token_overlap(spark, sf):
+def token_overlap(spark, sf, rows=lines):
     from ..functions.text import token_overlap as overlap
 
-    d = lines(spark, sf).select("doc_id", "key")
+    d = rows(spark, sf).select("doc_id", "key")
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("key").alias("next"))
     return d.join(other, "doc_id").select("doc_id", overlap(F.col("key"), F.col("next")).cast("long").alias("overlap"))
 
@@ -393,8 +393,8 @@ def collision_tally(spark, sf):
 
 
 @query(f"select count(*) as n from (select nullif({KEY}, '') as k from documents where lang = 'en' intersect select nullif({KEY}, '') from documents where lang <> 'en') where k is not null")
-def set_intersections(spark, sf):
-    d = lines(spark, sf)
+def set_intersections(spark, sf, rows=lines):
+    d = rows(spark, sf)
     return joins.common_keys(d.filter("lang = 'en'"), d.filter("lang <> 'en'"), F.col("key"))
 
 
@@ -508,3 +508,49 @@ def upsert_union(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     new = ordering.row_numbers(c.filter("id > 50 and id <= 150"), "id", name="ord").withColumn("name", F.concat(F.upper("name"), F.lit("!")))
     return upsert_in_order(c.filter("id <= 100").withColumn("ord", F.col("id")), new, "id").select("id", "name", F.col("ord").cast("long").alias("ord"))
+
+
+def texts(spark, sf) -> DataFrame:
+    """Documents by their whole text, with its Latin key; ``lines`` has only the first line."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("title"))
+    return d.withColumn("key", normalize(F.col("title"), LATIN))
+
+
+def digests(spark, sf) -> DataFrame:
+    """The same for operators that only compare: digests in place of long texts; empty ones stay empty."""
+    short = lambda c: F.when(F.col(c) == "", "").otherwise(F.sha2(c, 256))
+    return texts(spark, sf).withColumns({"title": short("title"), "key": short("key")})
+
+
+def whole(f, rows) -> None:
+    """``f`` over whole texts as NAME_whole, with the SQL of NAME over whole texts."""
+    run = lambda spark, sf: f(spark, sf, rows)
+    run.__name__ = f"{f.__name__}_whole"
+    query(ORACLE_SQL[f.__name__].replace(LINE, "text"))(run)
+
+
+for _f in (normalize_text, duplicate_values, tag_explode_counts, token_overlap, stable_ids):
+    whole(_f, texts)
+for _f in (prioritized_union, duplicate_count, set_intersections):
+    whole(_f, digests)
+
+
+TEXT_KEY = duckdb_latin("text")
+
+
+@query(f"select doc_id, key, n_chars from (select doc_id, {TEXT_KEY} as key, n_chars, row_number() over (partition by {TEXT_KEY} order by n_chars % 7 desc, doc_id) as r from documents) where r = 1")
+def keep_best_score_whole(spark, sf):
+    return agg.keep_best(texts(spark, sf).withColumn("s", F.col("n_chars") % 7), ["key"], "s", "doc_id").select("doc_id", "key", "n_chars")
+
+
+@query(f"select doc_id, case when {TEXT_KEY} <> '' then {TEXT_KEY} || '::' || source end as key from documents")
+def composite_keys_whole(spark, sf):
+    return texts(spark, sf).select("doc_id", title_author_key(F.col("key"), F.col("source")).alias("key"))
+
+
+@query(ORACLE_SQL["title_clean"].replace(f"left({LINE}, 20)", LINE))
+def title_clean_whole(spark, sf):
+    """Whole first lines."""
+    prefix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("00012_"), F.col("doc_id").cast("string"), F.lit("-"))).when(F.col("doc_id") % 3 == 1, F.concat((F.col("doc_id") + 10000).cast("string"), F.lit(" _"))).otherwise("")
+    t = lines(spark, sf).withColumn("title", F.concat(prefix, "title"))
+    return t.select("doc_id", catalog_identifier(F.col("title")).alias("identifier"), shown_title(F.col("title")).alias("shown"))

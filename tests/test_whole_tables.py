@@ -55,3 +55,10 @@ def test_duplicate_members_are_all_listed(spark, tmp_path):
     spark.createDataFrame([(k, "same") for k in range(120)] + [(500, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in QUERIES["duplicate_group_members"](spark, str(tmp_path)).collect()) == list(range(120))
     assert [r["n"] for r in QUERIES["duplicate_group_counts"](spark, str(tmp_path)).collect()] == [120]
+
+
+def test_keys_take_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(k, f"same line\nother {k}", "en", "s", 20) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("duplicate_count_whole")[0]["duplicates"] == 0 and len(run("keep_best_score_whole")) == 4
+    assert {r["tag"]: r["n"] for r in run("tag_explode_counts_whole")} == {"same": 4, "line": 4, "other": 4, "0": 1, "1": 1, "2": 1, "3": 1}
