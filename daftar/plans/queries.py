@@ -554,3 +554,50 @@ def title_clean_whole(spark, sf):
     prefix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("00012_"), F.col("doc_id").cast("string"), F.lit("-"))).when(F.col("doc_id") % 3 == 1, F.concat((F.col("doc_id") + 10000).cast("string"), F.lit(" _"))).otherwise("")
     t = lines(spark, sf).withColumn("title", F.concat(prefix, "title"))
     return t.select("doc_id", catalog_identifier(F.col("title")).alias("identifier"), shown_title(F.col("title")).alias("shown"))
+
+
+#: The catalog side is every labelled document, the other side all others: both grow with the tables.
+SIDES = f"""with d as (select doc_id, doc_id in (select doc_id from labels) as old, nullif(text, '') as t, nullif({TEXT_KEY}, '') as k, cast(n_chars as varchar) as u, cast(n_chars as varchar) || lang as v from documents),
+e as (select * from d where old), x as (select * from d where not old), h as (select doc_id, coalesce(t in (select t from e where t is not null), false) as by_t, coalesce(k in (select k from e where k is not null), false) as by_k, coalesce(u in (select u from e where u is not null), false) as by_u, coalesce(v in (select v from e where v is not null), false) as by_v from x)"""
+
+
+def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents without and with a label."""
+    d, labels = digests(spark, sf), table(spark, sf, "labels").select("doc_id")
+    return d.join(labels, "doc_id", "left_anti"), d.join(labels, "doc_id", "left_semi")
+
+
+def by_keys(*names: str) -> dict:
+    chars = F.col("n_chars").cast("string")
+    return {n: {"title": F.col("title"), "key": F.col("key"), "chars": chars, "size": F.concat(chars, F.col("lang"))}[n] for n in names}
+
+
+@query(f"{SIDES} select doc_id from h where not by_t and not by_k")
+def anti_two_keys_whole(spark, sf):
+    return joins.anti_keys(*sides(spark, sf), by_keys("title", "key")).select("doc_id")
+
+
+@query(f"{SIDES} select doc_id from h where not by_t and not by_k and not by_v")
+def anti_three_keys_whole(spark, sf):
+    return joins.anti_keys(*sides(spark, sf), by_keys("title", "key", "size")).select("doc_id")
+
+
+@query(f"{SIDES} select doc_id, case when by_u then 'chars' when by_t then 'title' when by_k then 'key' end as reason from h")
+def first_reason_whole(spark, sf):
+    return joins.first_reason(*sides(spark, sf), by_keys("chars", "title", "key")).select("doc_id", "reason")
+
+
+@query(f"{SIDES} select count(*) filter (where by_t) as by_title, count(*) filter (where by_u) as by_chars, count(*) filter (where by_t or by_u) as any_key, count(*) filter (where not (by_t or by_u)) as no_key from h")
+def collision_tally_whole(spark, sf):
+    return joins.collision_tally(*sides(spark, sf), by_keys("title", "chars"))
+
+
+@query("""with old as (select s_suppkey as id, s_name as name, s_suppkey as ord from supplier), new as (select c_custkey as id, upper(c_name) || '!' as name, row_number() over (order by c_custkey) - 1 as k from customer), m as (select max(ord) as last from old)
+select id, name, ord from old where id not in (select id from new) union all select n.id, n.name, coalesce(o.ord, n.k + m.last + 1) from new n cross join m left join old o on o.id = n.id""")
+def upsert_union_whole(spark, sf):
+    """All suppliers, then all customers."""
+    from ..sources.sinks import upsert_in_order
+
+    old = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    new = ordering.row_numbers(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.upper("c_name"), F.lit("!")).alias("name")), "id", name="ord")
+    return upsert_in_order(old, new, "id").select("id", "name", F.col("ord").cast("long").alias("ord"))
