@@ -5,9 +5,10 @@ lines, each with its text length, its number of tags and the elements around
 it. Lines outside boilerplate elements get a text-to-tag ratio; the ratios are
 smoothed with a Gaussian and lines above a share of their standard deviation
 form the content cluster. The smallest content element (article, main) that
-holds most of the cluster's text is the region; without one, the region runs
-from the first to the last line of the cluster. All lines of the region outside
-boilerplate are blocks of the text.
+holds most of the cluster's text is the region, with its sibling elements of the
+same name; without one, the region is the smallest block element around the
+whole cluster, or the page. All lines of the region outside boilerplate are
+blocks of the text.
 
 Defined results: null or empty html gives an empty text; html without markup is
 one block; a null url stays null; repeated rows are treated one by one; very
@@ -52,6 +53,9 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool]] = []  # name, whether boilerplate
         self.inside: list[int] = []  # numbers of the open content elements
         self.contents = 0
+        self.kin: list[tuple[str, int]] = []  # of each content element its name and the block around it
+        self.blocks: list[list[int]] = []  # of each block element its first line and the line after its last; -1 while open
+        self.at: list[int] = []  # beside open: the number of the block, or of the one around
         self.skip = 0
         self.parts: list[str] = []
         self.tags = 0
@@ -84,10 +88,15 @@ class Lines(HTMLParser):
             skip = any(v and k in ("class", "id", "role") and MARKS.search(v) for k, v in attrs)
         if skip and tag not in BLOCKS:
             self.flush()
+        around = self.at[-1] if self.at else -1
+        if tag in BLOCKS:
+            self.blocks.append([len(self.lines), -1])
         self.open.append((tag, skip))
+        self.at.append(len(self.blocks) - 1 if tag in BLOCKS else around)
         self.skip += skip
         if tag in CONTENT:
             self.inside.append(self.contents)
+            self.kin.append((tag, around))
             self.contents += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -101,11 +110,13 @@ class Lines(HTMLParser):
         """Close the open elements from number k on."""
         if any(skip or name in BLOCKS for name, skip in self.open[k:]):
             self.flush()
-        for name, skip in self.open[k:]:
+        for (name, skip), at in zip(self.open[k:], self.at[k:], strict=True):
             self.skip -= skip
+            if name in BLOCKS:
+                self.blocks[at][1] = len(self.lines)
             if name in CONTENT:
                 self.inside.pop()
-        del self.open[k:]
+        del self.open[k:], self.at[k:]
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -138,7 +149,8 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = [x for x in page.lines if not x[2]]
+    places = [k for k, x in enumerate(page.lines) if not x[2]]
+    lines = [page.lines[k] for k in places]
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
@@ -153,10 +165,13 @@ def main_text(html: str | None) -> str:
     most = [k for k, n in held.items() if 2 * n >= total]
     if most:
         region = max(most)  # the last opened of them is the innermost
-        blocks = [x[0] for x in lines if region in x[3]]
+        kin = {k for k, x in enumerate(page.kin) if x == page.kin[region]}
+        blocks = [x[0] for x in lines if not kin.isdisjoint(x[3])]
     else:
         at = np.flatnonzero(content)
-        blocks = [x[0] for x in lines[at[0] : at[-1] + 1]]
+        first, last = places[at[0]], places[at[-1]]
+        a, b = next(((a, b) for a, b in reversed(page.blocks) if a <= first and (b < 0 or last < b)), (0, -1))
+        blocks = [x[0] for k, x in zip(places, lines, strict=True) if a <= k and (b < 0 or k < b)]
     return "\n\n".join(blocks)
 
 
