@@ -7,12 +7,15 @@ an index key by itself. If it is frequent, all common shingles are; prefixes
 are then extended by G, G + 1 common shingles lie in both, and of G hash groups
 one holds two of them: the keys are pairs of frequent shingles of one group.
 
-Equal sets are one class from the start. For each key a first class is paired
-with the others (a star); pairs are verified exactly on whole sets; links merge
-labels; keys with one label left are done, others lose their leader and go
-round again with more leaders, until no key has two labels. So every pair of
-classes that shares a key is either verified or already connected, and a group
-of copies costs its size, not its square.
+Equal sets are one class from the start. Keys with few classes pair them all;
+keys with many pair their first class with the others (a star). Pairs are
+verified exactly on whole sets, and links merge labels. Where a large key still
+has several labels, its classes outside the main label are held against the
+rest in blocks, by parity bits that never rule out a similar pair: first the
+nearest partners of each other label are verified, and after their links every
+partner left. So each pair of classes that shares a key is verified, ruled out
+by an exact bound or already connected, and a group of copies costs its size,
+not its square.
 
 Defined results: null, empty and wordless texts have an empty set, are linked
 with nothing and are their own component; texts under five words are one
@@ -26,21 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import least_labels
 from .scratch import discard, materialize
-from .words import CHUNK, SpanHash, U, buffer, lowered, mix, slices, split, windows
+from .words import CHUNK, U, buffer, lowered, mix, slices, split, windows
 
 #: Words of a shingle; similarity is NUM / DEN or more.
 SHINGLE, NUM, DEN = 5, 4, 5
 #: log2 of the sketch's counters, and the least count above the mean that makes a shingle frequent.
 BITS, FREQUENT = 18, 100
-#: Leaders of each key in the rounds: the first, then ever more.
-LEADERS, GROWTH = 1, 8
+#: Classes of a key that are all paired with each other; keys with more go by stars.
+SMALL = 16
+#: Postings that a task gathers to find hot keys, and the classes of one key among them that make it hot.
+GATHER, HOT = 500_000, 4
+#: Members of a large key in one block, and partners of each other label that are verified first.
+BLOCK, FIRST = 4_000, 3
 #: Class ids that are broadcast at most, and members of a leader verified in one task.
-BROADCAST_ROWS, TASK_PAIRS = 1_000_000, 4_000
+BROADCAST_ROWS, TASK_PAIRS = 500_000, 4_000
+#: Classes whose postings a task remembers having emitted.
+SEEN = 200_000
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -149,94 +158,133 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(places)
 
 
+POSTING = "key long, id long, info long"
+
+
+def _gathered(keys: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    """Postings with their size, place and two marks in ``info``: bit 0, the key is hot here; bit 1, the row is dealt by its class."""
+    key, own = np.concatenate(keys), np.concatenate(ids)
+    info = (np.concatenate(sizes) << 32) | (np.concatenate(places) + 1 << 2)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    mark = np.where(np.repeat(size, size) >= HOT, 3, 0)
+    mark[begin] &= 1  # one row of a hot key goes where the key's other rows are
+    info[order] |= mark
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(info)], names=["key", "id", "info"])
+
+
 def _postings(frequent: np.ndarray):
+    """Index keys of each class, once per task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, rows = ([], [], [], []), 0
         for part in slices(batches, "text", CHUNK):
-            keys, places, ids, sizes = [], [], [], []
             for tokens in shingle_sets(part.column(0)):
-                if len(tokens):
-                    k, p = prefix_keys(tokens, frequent)
-                    keys.append(k), places.append(p)
-                    ids.append(np.full(len(k), class_id(tokens))), sizes.append(np.full(len(k), len(tokens)))
-            if keys:
-                columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "place"])
+                if not len(tokens) or (own := class_id(tokens)) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(own)
+                k, p = prefix_keys(tokens, frequent)
+                for to, x in zip(held, (k, np.full(len(k), own, np.int64), np.full(len(k), len(tokens), np.int64), p.astype(np.int64)), strict=True):
+                    to.append(x)
+                rows += len(k)
+            if rows >= GATHER:
+                yield _gathered(*held)
+                held, rows = ([], [], [], []), 0
+        if rows:
+            yield _gathered(*held)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id), one of each, where the key has another id; and the first and last row of the task."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        first = held is None
-        table = pa.Table.from_batches([batch] if first else [held, batch])
-        key, own = table["key"].to_numpy(), table["id"].to_numpy()
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        at = np.flatnonzero(once)
-        same = key[at[1:]] == key[at[:-1]]
-        keep = np.zeros(len(at), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= first
-        yield from table.take(pa.array(at[keep])).to_batches()  # a row held over may come twice
-        held = table.slice(int(at[-1]), 1).combine_chunks().to_batches()[0]
-    if held is not None:
-        yield held
-
-
 def enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least overlap of sets of sizes a and b with similarity NUM / DEN."""
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
-def _stars(leaders: int):
-    """Rows sorted by (key, label size, id): pairs of each key's first ``leaders`` rows with the later ones of other labels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, lead = None, np.zeros((0, 4), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, own, n, place, label = (np.asarray(batch.column(k)).astype(np.int64) for k in range(5))
-            rows = np.stack((own, n, place, label), 1)
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            left, right = [], []
-            for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
-                if key[a] != key_now:
-                    key_now, lead = key[a], np.zeros((0, 4), np.int64)
-                free = leaders - len(lead)
-                if free > 0:
-                    lead = np.concatenate((lead, rows[a : min(b, a + free)]))
-                if b - a == 1 and len(lead) == 1 and free > 0:
-                    continue
-                for x in lead:
-                    y = rows[a:b]
-                    low, high = np.minimum(x[1], y[:, 1]), np.maximum(x[1], y[:, 1])
-                    ok = (y[:, 3] != x[3]) & (DEN * low >= NUM * high)
-                    known = (x[2] >= 0) & (y[:, 2] >= 0)
-                    ok &= ~known | (np.minimum(x[1] - x[2], y[:, 1] - y[:, 2]) >= enough(x[1], y[:, 1]))
-                    if ok.any():
-                        left.append(np.full(int(ok.sum()), x[0])), right.append(y[ok, 0])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def possible(n: np.ndarray, place: np.ndarray, other_n: np.ndarray, other_place: np.ndarray) -> np.ndarray:
+    """Whether sizes, and the places of a shared rare shingle, leave room for the similarity."""
+    ok = DEN * np.minimum(n, other_n) >= NUM * np.maximum(n, other_n)
+    known = (place >= 0) & (other_place >= 0)
+    return ok & (~known | (np.minimum(n - place, other_n - other_place) >= enough(n, other_n)))
+
+
+def ordered_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, smaller id first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+FOUND = "key long, a long, b long, n int, place int"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, id): pairs (a, b) of keys with up to SMALL classes, and the postings (key, a, n, place) of larger keys."""
+    held = np.zeros((0, 3), np.int64)
+    large_key: int | None = None  # a large key whose first rows are gone
+
+    def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole keys, or parts of ``large_key``."""
+        again = np.zeros(len(rows), bool)
+        again[1:] = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
+        hot = rows[(rows[:, 2] & 1) > 0, 0]
+        key, own, info = rows[~again].T
+        if not len(key):
+            return
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        large = (size > SMALL) | np.isin(key[begin], hot)
+        if large_key is not None:
+            large |= key[begin] == large_key
+        large, size = np.repeat(large, size), np.repeat(size, size)
+        n, place = info >> 32, (info & 0xFFFFFFFF) // 4 - 1
+        left, right = [], []
+        for step in range(1, SMALL):
+            i = np.flatnonzero((key[step:] == key[:-step]) & ~large[:-step] & (size[:-step] > step)) if len(key) > step else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            i = i[possible(n[i], place[i], n[i + step], place[i + step])]
+            left.append(own[i]), right.append(own[i + step])
+        if left:
+            a, b = ordered_pairs(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names=["key", "a", "b", "n", "place"])
+        if large.any():
+            count = int(large.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(key[large]), pa.array(own[large]), pa.nulls(count, pa.int64()), pa.array(n[large].astype(np.int32)), pa.array(place[large].astype(np.int32))], names=["key", "a", "b", "n", "place"])
 
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate((held, np.stack([np.asarray(c) for c in batch.columns], 1)))
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if len(rows) - last > 2 * SMALL and len(np.unique(rows[last:, 1])) > SMALL:
+            yield from done(rows)
+            held, large_key = rows[:0], int(rows[-1, 0])
+        elif rows[-1, 0] == large_key:
+            yield from done(rows)
+            held = rows[:0]
+        else:
+            yield from done(rows[:last])
+            held = rows[last:]
+    yield from done(held)
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bit per hash bucket: whether it holds an odd number of the set's shingles; about a bit per shingle.
+    """A bit per hash bucket: whether it holds an odd number of the set's shingles; two to four bits per shingle.
 
     Each element of the symmetric difference of two sets flips one bit, so the
     bits that differ never outnumber it.
     """
     size = 64
-    while size < len(tokens):
+    while size < 2 * len(tokens):
         size *= 2
     return np.packbits(np.bincount((mix(tokens + U(0x2545F4914F6CDD1D)) & U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
@@ -288,28 +336,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The pairs whose whole sets are similar.
-
-    Parities (a bit per shingle) rule out most pairs before any set is moved;
-    then only sets that still have a pair are. The side with more pairs is the
-    leader, and a leader's pairs are dealt over tasks. Also returns the working
-    tables to discard once the result is written.
-    """
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose parities (two bits or more per shingle) allow the similarity; no set is moved for it."""
     sign = lambda k: sets.select(F.col("id").alias(k), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
     signed = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "pa", "na", "pb", "nb")
-    some, some_path = materialize(signed.mapInArrow(_possible, "a long, b long"), "possible")
+    return signed.mapInArrow(_possible, "a long, b long")
+
+
+def verified(some: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The pairs of a written table whose whole sets are similar, and working tables to discard once they are written.
+
+    The side with more pairs is the leader, whose set moves once for TASK_PAIRS
+    of its pairs; a leader's pairs are dealt over tasks.
+    """
     degree = some.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
     degree, degree_path = materialize(degree, "degree")
-    whole, whole_path = materialize(sets.join(_few(degree.select("x")), F.col("id") == F.col("x"), "left_semi").select("id", "tokens"), "whole")
-    ranked = some.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
+    side = lambda k: _few(degree).select(F.col("x").alias(k), F.col("d").alias(f"d{k}"))
+    ranked = some.join(side("a"), "a").join(side("b"), "b")
     swap = F.col("db") > F.col("da")
     led = ranked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
     dealt, dealt_path = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))), "dealt")
-    members = dealt.join(whole, F.col("b") == F.col("id")).select("a", "b", "tokens", "salt")
-    heads = dealt.select("a", "salt").distinct().join(whole, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
-    rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "tokens").mapInArrow(_verify, "a long, b long"), [some_path, degree_path, whole_path, dealt_path]
+    heads = dealt.select("a", F.lit(None).cast("long").alias("b"), "salt", F.col("a").alias("whose")).distinct()
+    moves = dealt.select("a", "b", "salt", F.col("b").alias("whose")).unionByName(heads)
+    # few moves are broadcast to the sets; otherwise only the sets that have a pair are shuffled
+    rows = sets.select("id", "tokens").join(_few(moves), F.col("id") == F.col("whose"))
+    rows = rows.select("a", "b", "tokens", "salt").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "tokens").mapInArrow(_verify, "a long, b long"), [degree_path, dealt_path]
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -317,6 +369,110 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+MEMBER = ["key", "block", "probe", "id", "n", "place", "label", "parity"]
+
+
+def _blocks(first: int | None):
+    """Rows sorted by (key, block, probe): each probe's pairs with members of other labels that their parities allow.
+
+    With ``first``, only so many nearest partners of each other label.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, member, bits, groups = None, np.zeros((0, 4), np.int64), [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1)], 1)
+            probe = np.asarray(batch.column(2).cast(pa.int8()))
+            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (3, 4, 5, 6)], 1)
+            raw = batch.column(7)
+            left, right = [], []
+            for i in range(len(rows)):
+                if now is None or place[i, 0] != now[0] or place[i, 1] != now[1]:
+                    now, member, bits, groups = place[i], [], [], []
+                if not probe[i]:
+                    member.append(rows[i]), bits.append(raw[i].as_buffer().to_pybytes())
+                    continue
+                if bits:
+                    table, sizes = np.array(member), np.array([len(x) for x in bits])
+                    groups = [(table[sizes == w], np.frombuffer(b"".join(x for x in bits if len(x) == w), np.uint8).reshape(-1, w).view(np.uint64)) for w in np.unique(sizes).tolist()]
+                    bits = []
+                near = partners(rows[i], np.frombuffer(raw[i].as_buffer(), np.uint64), groups, first)
+                if len(near):
+                    left.append(np.full(len(near), rows[i, 0])), right.append(near)
+            if left:
+                a, b = ordered_pairs(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (rows of 64-bit words) folded to so many words; halves are added modulo 2."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def partners(row: np.ndarray, own: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], first: int | None) -> np.ndarray:
+    """Ids of the members that may be similar to ``row`` (id, n, place, label) and have another label."""
+    found, label, apart = [], [], []
+    for member, bits in groups:
+        some = np.flatnonzero((member[:, 3] != row[3]) & possible(member[:, 1], member[:, 2], row[1], row[2]))
+        if not len(some):
+            continue
+        words = min(bits.shape[1], len(own))
+        differ = np.bitwise_count(folded(bits[some], words) ^ folded(own, words)).sum(1, dtype=np.int64)
+        ok = (NUM + DEN) * differ <= (DEN - NUM) * (member[some, 1] + row[1])
+        found.append(member[some[ok], 0]), label.append(member[some[ok], 3]), apart.append(differ[ok])
+    if not found:
+        return np.zeros(0, np.int64)
+    found, label, apart = np.concatenate(found), np.concatenate(label), np.concatenate(apart)
+    if first is None or len(found) <= first:
+        return found
+    order = np.lexsort((found, apart, label))
+    begin = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
+    size = np.diff(np.append(begin, len(order)))
+    return found[order[np.arange(len(order)) - np.repeat(begin, size) < first]]
+
+
+def crossing(large: DataFrame, labels: DataFrame, sets: DataFrame, first: int | None) -> DataFrame:
+    """Pairs between labels inside the large keys that have several: classes outside a key's main label against all others."""
+    now = large.join(labels.select(F.col("node").alias("l_id"), "label"), F.col("id") == F.col("l_id"), "left").select("key", "id", "n", "place", F.coalesce("label", "id").alias("label"))
+    each = now.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = each.groupBy(F.col("key").alias("m_key")).agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("rows"), F.count("*").alias("labels"))
+    mixed = mixed.filter("labels > 1").select("m_key", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"))
+    mixed, _ = materialize(mixed, "mixed")
+    rows = now.join(_few(mixed), F.col("key") == F.col("m_key"))
+    member = rows.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("probe"), "id", "n", "place", "label")
+    probe = rows.filter("label != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("probe"), "id", "n", "place", "label")
+    signed = member.unionByName(probe).join(sets.select(F.col("id").alias("s_id"), "parity"), F.col("id") == F.col("s_id")).select(*MEMBER)
+    return signed.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_blocks(first), "a long, b long").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``labels`` (node, label) after more links."""
+    old = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    over = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined, joined_path = least_labels(over)
+    ends = labels.select("node", "label").unionAll(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    new = ends.join(joined.select(F.col("node").alias("m_node"), F.col("label").alias("m_label")), F.col("label") == F.col("m_node"), "left").select("node", F.coalesce("m_label", "label").alias("label"))
+    new, new_path = materialize(new, "labels")
+    return new, [joined_path, new_path]
+
+
+def starred(large: DataFrame) -> DataFrame:
+    """Pairs of each large key's least class with its others."""
+    heads = large.groupBy(F.col("key").alias("h_key")).agg(F.min(F.struct("id", "n", "place")).alias("h")).select("h_key", F.col("h.id").alias("h_id"), F.col("h.n").alias("h_n"), F.col("h.place").alias("h_place"))
+    heads, _ = materialize(heads, "heads")
+    n, m = F.col("n").cast("long"), F.col("h_n").cast("long")
+    room = (F.col("place") < 0) | (F.col("h_place") < 0) | ((DEN + NUM) * F.least(n - F.col("place"), m - F.col("h_place")) >= NUM * (n + m))
+    rows = large.join(_few(heads), F.col("key") == F.col("h_key")).filter((F.col("id") != F.col("h_id")) & (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & room)
+    return rows.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
+
+
 def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id, n) of every row and (id, label) of the classes that have links."""
     spark = docs.sparkSession
@@ -325,67 +481,40 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = found.filter("sketch is null").select("doc_id", "class_id", "n")
     frequent = frequent_counters(merged_sketch(found.filter("sketch is not null").select("slot", "sketch")))
 
-    rows = texts.select("text").mapInArrow(_postings(frequent), "key long, id long, n int, place int")
-    rows = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, n int, place int")
-    postings, posting_path = materialize(rows, "postings")
+    # a hot key is one row per task where its key belongs, and the rest is dealt by class
+    dealt = F.when(F.col("info").bitwiseAND(2) > 0, F.pmod("id", F.lit(4096))).otherwise(-1)
+    rows = texts.select("text").mapInArrow(_postings(frequent), POSTING).repartition("key", dealt).sortWithinPartitions("key", "id")
+    met, met_path = materialize(rows.mapInArrow(_meet, FOUND), "met")
+    large = met.filter("key is not null").select("key", F.col("a").alias("id"), "n", "place")
+    pairs, pair_path = materialize(met.filter("key is null").select("a", "b").unionAll(starred(large)).distinct(), "pairs")
 
-    wanted, wanted_path = materialize(postings.select("id").distinct(), "wanted")
-    one_each = classes.groupBy("class_id").agg(F.min("doc_id").alias("w_doc")).join(wanted, F.col("class_id") == F.col("id"), "left_semi").select("w_doc")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(large.select("id")).distinct()
+    wanted, wanted_path = materialize(wanted, "wanted")
+    one_each = classes.join(_few(wanted), F.col("class_id") == F.col("id"), "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("w_doc")).select("w_doc")
     one_each, one_path = materialize(one_each, "wanted")
-    sets = texts.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("text").mapInArrow(_sets, "id long, tokens binary, parity binary, size long")
+    own = _few(one_each)
+    sets = texts.join(own, F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").select("text").mapInArrow(_sets, "id long, tokens binary, parity binary, size long")
     # several rows of one class share the least doc_id only if that id is repeated
-    repeats = classes.join(_few(one_each), F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").count() > one_each.count()
+    repeats = classes.join(own, F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi").count() > one_each.count()
     sets, set_path = materialize(sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "parity", "size"))) if repeats else sets, "sets")
-
-    labels, label_path = None, None
-    leaders, tried, used = LEADERS, None, [posting_path, wanted_path, one_path]
-    while True:
-        now = postings.withColumn("label", F.col("id")).withColumn("weight", F.lit(1).cast("long"))
-        if labels is not None:
-            weights = labels.groupBy("label").agg(F.count("*").alias("weight")).select(F.col("label").alias("w_label"), "weight")
-            known = labels.join(weights, F.col("label") == F.col("w_label")).select(F.col("node").alias("l_id"), "label", "weight")
-            now = postings.join(known, F.col("id") == F.col("l_id"), "left").select("key", "id", "n", "place", F.coalesce("label", "id").alias("label"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
-        if tried is not None:  # a key whose rows all have one label is done
-            mixed = now.groupBy(F.col("key").alias("m_key")).agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("m_key")
-            now, now_path = materialize(now.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), "postings")
-            used.append(now_path)
-            if not now.limit(1).count():
-                break
-        dealt = now.select("key", "id", "n", "place", "label", "weight").repartition("key").sortWithinPartitions("key", "weight", "id")
-        pairs = dealt.mapInArrow(_stars(leaders), "a long, b long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, pair_path = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        # leaders have met every other row of the key
-        seat = Window.partitionBy("key").orderBy("weight", "id")
-        rest = now.withColumn("seat", F.row_number().over(seat)).filter(F.col("seat") > leaders).select("key", "id", "n", "place")
-        postings, rest_path = materialize(rest, "postings")
-        used.append(rest_path)
-        checked, working = verified(pairs, sets)
+    some, some_path = materialize(plausible(pairs, sets), "possible")
+    discard(spark, pair_path, wanted_path, one_path)
+
+    checked, used = verified(some, sets)
+    links, link_path = materialize(checked, "links")
+    labels, label_path = least_labels(links)
+    discard(spark, *used, some_path, link_path)
+    for first in (FIRST, None) if large.limit(1).count() else ():
+        pairs, pair_path = materialize(crossing(large, labels, sets, first), "pairs")
+        checked, used = verified(pairs, sets)
         links, link_path = materialize(checked, "links")
-        discard(spark, *working)
-        if links.limit(1).count():
-            if labels is None:
-                labels, label_path = least_labels(links)
-            else:
-                old = labels
-                end = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c)).alias(c)
-                over = links.join(old.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(old.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(end("a"), end("b"), F.col("a").alias("na"), F.col("b").alias("nb"))
-                merged, merged_path = least_labels(over.select("a", "b"))
-                ends = old.select("node", "label").unionAll(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(old, "node", "left_anti").select("node", F.col("node").alias("label")))
-                new = ends.join(merged.select(F.col("node").alias("m_node"), F.col("label").alias("m_label")), F.col("label") == F.col("m_node"), "left").select("node", F.coalesce("m_label", "label").alias("label"))
-                labels, new_path = materialize(new, "labels")
-                discard(spark, label_path, merged_path)
-                label_path = new_path
-        discard(spark, link_path, *used[:-1])
-        used = used[-1:]
-        leaders = max(leaders + 1, leaders * GROWTH) if leaders > 1 else leaders + 1
-        if not postings.limit(1).count():
-            break
-    discard(spark, set_path)
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
+        some_links = links.limit(1).count()
+        if some_links:
+            labels, paths = merged(labels, links)
+            discard(spark, label_path, paths[0])
+            label_path = paths[1]
+        discard(spark, *used, pair_path, link_path)
+    discard(spark, set_path, met_path)
     return classes, labels.select(F.col("node").alias("id"), "label")
 
 

@@ -6,6 +6,7 @@ arrays stay in cache and a task's memory does not depend on its partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,21 +19,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 U = np.uint64
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        row = np.full(size, U(_BASE if kind == "base" else _INVERSE))
-        row[0] = 1
-        have = _powers[kind] = np.cumprod(row)
-    return have[:n]
+#: Spans of more bytes are hashed one by one, by BLAKE2b.
+LONG = 256
+_KEYS = np.random.default_rng(0x5EED).integers(1, 2**63, LONG // 8 + 1, dtype=np.uint64) * U(2) + U(1)
+#: The low bytes that belong to a span with so many bytes left.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,16 +37,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Hashes of any byte spans of one buffer, from one running sum modulo 2**64."""
+    """Hashes of any byte spans of one buffer: eight bytes at a time, each step mixed before the next; exact comparison too."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = _BYTE):
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(table[data] * _power("base", len(data)), out=self.sums[1:])
+    def lane(self, start: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of spans with ``left`` bytes from there on."""
+        return self.lanes[start + 8 * k] & _TAIL[np.minimum(left, 8)]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = _power("inverse", len(self.sums))
-        return mix((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        left = end - start
+        out = left.astype(np.uint64) * _KEYS[-1]
+        live, k = np.flatnonzero((left > 0) & (left <= LONG)), 0
+        while len(live):
+            rest = left[live] - 8 * k
+            out[live] = mix((out[live] ^ self.lane(start[live], rest, k)) + _KEYS[k])
+            live, k = live[rest > 8], k + 1
+        for i in np.flatnonzero(left > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
+
+    def equal(self, start: np.ndarray, end: np.ndarray, other: SpanHash, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+        """Which spans have the same bytes as their partners in ``other``."""
+        left = end - start
+        out = left == other_end - other_start
+        live, k = np.flatnonzero(out & (left > 0) & (left <= LONG)), 0
+        while len(live):
+            rest = left[live] - 8 * k
+            same = self.lane(start[live], rest, k) == other.lane(other_start[live], rest, k)
+            out[live[~same]] = False
+            live, k = live[same & (rest > 8)], k + 1
+        for i in np.flatnonzero(out & (left > LONG)):
+            out[i] = np.array_equal(self.data[start[i] : end[i]], other.data[other_start[i] : other_end[i]])
+        return out
 
 
 @dataclass
@@ -75,8 +92,8 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), np.diff(self.first))
 
-    def hashes(self, table: np.ndarray = _BYTE) -> np.ndarray:
-        return SpanHash(self.data, table)(self.start, self.end)
+    def hashes(self) -> np.ndarray:
+        return SpanHash(self.data)(self.start, self.end)
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -66,15 +66,18 @@ def links(texts):
     return [root(i) for i in range(len(texts))]
 
 
-def test_ngram_join_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("small", "hot", "block", "gather", "seed"), [(16, 4, 4000, 500_000, 4), (3, 2, 5, 300, 5), (1, 2, 40, 3000, 6)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, small, hot, block, gather, seed):
     monkeypatch.setattr(ngram_join, "FREQUENT", 10)  # so that small tables have frequent shingles
-    r = random.Random(4)
+    for name, value in (("SMALL", small), ("HOT", hot), ("BLOCK", block), ("GATHER", gather)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(seed)
     words = [f"w{i}" for i in range(2000)]
     base, common = [r.choice(words) for _ in range(100)], [" ".join(r.choice(words) for _ in range(12)) for _ in range(5)]
     texts = []
     for _ in range(60):
         b = list(base)
-        for _ in range(r.randint(0, 5)):
+        for _ in range(r.randint(0, 7)):
             b[r.randrange(len(b))] = r.choice(words)
         texts.append(" ".join(b))
     texts += [" ".join(r.sample(common, r.randint(1, 3))) for _ in range(50)] + [" ".join(r.choice(words[:3]) for _ in range(r.randint(0, 9))) for _ in range(40)] + [texts[0]] * 5
