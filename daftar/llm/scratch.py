@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Steps that took longer may have left large shuffle files.
-RELEASE_AFTER_S = 3.0
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Spark deletes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none (tests)."""
+    """The cluster's shared folder; a session on one machine that names none (tests) gets a temporary one."""
     where = spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} is not set: on {master} working tables need a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="daftar-")
         spark.conf.set(CHECKPOINT_DIR, where)
     return where.rstrip("/")
@@ -27,31 +30,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/daftar-{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and return it as read back, with its path."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    began = time.monotonic()
-    df.write.parquet(path)
-    if time.monotonic() - began > RELEASE_AFTER_S:
-        release(spark)
+    with cleaned_up(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now.
-
-    It does so when the driver collects the objects that stand for them, which a
-    driver with little garbage would put off until the disks are full.
-    """
-    context = spark.sparkContext
-    context._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # its last events still hold the plan
-    for pause in (0.2, 0.5):
-        gc.collect()
-        context._jvm.System.gc()
-        time.sleep(pause)  # for the cleaner, which works in its own thread
-
-
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove working tables that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -3,18 +3,23 @@
 A document's 13-word windows are grouped by their minimiser (the least hash of
 their 5-word groups), so equal windows always carry equal keys. Keys that only
 one document has are dropped; what is left is cut into segments, the words of
-consecutive windows of one key. Segments of a shard of keys form a generalised
-suffix automaton whose states know the least doc_id that contains them; all
-segments of the shard stream through it for their matching statistics, and each
-window of 13 words or more learns the smallest document in which it starts.
+consecutive windows of one key. The distinct segments of a shard of keys form a
+generalised suffix automaton whose states know the least doc_id that contains
+them; the segments stream through it for their matching statistics, and each
+window of 13 words or more learns the smallest document in which it starts. A
+key with one distinct segment needs no automaton: all its windows start in that
+segment's least document. A key whose segments exceed an automaton is split
+into its single windows, whose least documents come from an aggregate.
 
 Routing by content replaces a broadcast of every shard's automaton to every
 task: each automaton goes only where texts that can match it are, its size is
 bounded by ``SHARD_WORDS``, and the work grows with the text, not its square.
 
 Defined results: null and empty texts have no words; a null doc_id neither
-removes nor loses words; rows of equal doc_id never remove each other's words;
-an empty table stays empty; other columns are ignored.
+removes nor loses words; rows of equal doc_id never remove each other's words,
+and repeated rows get the same result; ties of hashes only send more text
+through the automata; a very long text is a slice of its own and takes memory in
+proportion to its length; an empty table stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .words import CHUNK, covered, mix, slices, windows, words_of
 
 #: Words of a window, of a group whose least hash is the window's key, and words in one automaton at most.
 WINDOW, GROUP, SHARD_WORDS = 13, 5, 20_000
 REACH = WINDOW - GROUP + 1
+#: Keys that a task gathers to find hot ones, and the documents of one key among them that make it hot.
+GATHER, HOT = 500_000, 4
+#: Segments a task remembers, and rows that are broadcast at most.
+SEEN, BROADCAST_ROWS = 400_000, 200_000
+SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def minimisers(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,53 +64,100 @@ def minimisers(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return best[begin], start[begin], np.diff(np.append(begin, len(start)))
 
 
+def _gathered(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, doc_id, mark) with the marks of a hot key: 1, it is hot here; 3, the row is also dealt by its document."""
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    mark = np.where(np.repeat(size, size) >= HOT, 3, 0).astype(np.int32)
+    mark[begin] &= 1
+    return pa.RecordBatch.from_arrays([pa.array(ordered.view(np.int64)), pa.array(doc[order]), pa.array(mark)], names=["key", "doc_id", "mark"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, docs, rows = [], [], 0
     for part in slices(batches, "text", CHUNK):
         w = words_of(part.column(1))
         key, start, _ = minimisers(w.hashes(), w.first)
         doc = np.searchsorted(w.first, start, "right") - 1
-        _, once = np.unique(mix(key) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-        ids = part.column(0).take(pa.array(doc[once]))
-        rows = pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), ids], names=["key", "doc_id"])
-        yield rows.filter(ids.is_valid())
+        known = np.asarray(part.column(0).is_valid())[doc]
+        key, doc = key[known], doc[known]
+        _, once = np.unique(mix(key) + doc.astype(np.uint64) * SALT, return_index=True)
+        keys.append(key[once]), docs.append(np.asarray(part.column(0).fill_null(0))[doc[once]])
+        rows += len(once)
+        if rows >= GATHER:
+            yield _gathered(keys, docs)
+            keys, docs, rows = [], [], 0
+    if rows:
+        yield _gathered(keys, docs)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, doc_id), those whose key a neighbour with another doc_id has, and the first and last row.
+    """Of rows sorted by key, those whose key a neighbour has too or that are marked as hot."""
+    held = np.zeros((0, 3), np.int64)  # the last row so far, which waits for its right neighbour
 
-    The ends are kept since their neighbours are in other tasks; a key too many costs time, never a wrong result.
-    """
-    held: pa.RecordBatch | None = None  # the last row so far, which waits for its right neighbour
+    def kept(rows: np.ndarray, whole: int) -> pa.RecordBatch:
+        same = rows[1:, 0] == rows[:-1, 0]
+        keep = rows[:, 2] > 0
+        keep[1:] |= same
+        keep[:-1] |= same
+        some = rows[:whole][keep[:whole]]
+        return pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["key", "doc_id"])
+
+    before = None  # the key of the last row that has gone out
     for batch in batches:
         if not batch.num_rows:
             continue
-        first = held is None
-        table = pa.Table.from_batches([batch] if first else [held, batch])
-        key = table["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= first
-        yield from table.filter(pa.array(keep)).to_batches()  # a row may come twice; keys are collected as sets
-        held = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0]
-    if held is not None:
-        yield held
+        rows = np.concatenate((held, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)))
+        if rows[0, 0] == before:
+            rows[0, 2] |= 1
+        if len(rows) > 1:
+            yield kept(rows, len(rows) - 1)
+            before = rows[-2, 0]
+        held = rows[-1:].copy()
+        held[0, 2] |= rows[-1, 0] == before
+    if len(held):
+        yield kept(held, 1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's own result if no key of it is shared, else its text and keys for the next steps."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of each document's shared keys: (key, segment, doc_id, rid, pos, windows), with the words and their least document so far for the first of equal ones in a task."""
+    seen: dict[tuple[int, int], int] = {}
     for part in slices(batches, "text", CHUNK):
-        texts = [t or "" for t in part.column(1).to_pylist()]
-        w = words_of(part.column(1))
-        n = np.diff(w.first)
-        flagged = [k is not None for k in part.column(2).to_pylist()]
-        sha = [None if f else kept_digest(t.encode(), np.zeros(0, bool)) for t, f in zip(texts, flagged, strict=True)]
-        rid = [int.from_bytes(hashlib.blake2b(f"{d}|{t}".encode(), digest_size=8).digest(), "big", signed=True) if f else None for d, t, f in zip(part.column(0).to_pylist(), texts, flagged, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([t if f else None for t, f in zip(texts, flagged, strict=True)], pa.string()), part.column(2)],
-            names=["doc_id", "rid", "n_words", "kept_sha256", "text", "keys"],
-        )
+        w = words_of(part.column(2))
+        hashes = w.hashes()
+        key, start, count = minimisers(hashes, w.first)
+        doc = np.searchsorted(w.first, start, "right") - 1
+        keys = part.column(3)
+        own = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(keys.offsets)))
+        wanted = mix(np.asarray(keys.flatten()).view(np.uint64)) + own.astype(np.uint64) * SALT
+        use = np.isin(mix(key) + doc.astype(np.uint64) * SALT, wanted)
+        key, start, count, doc = key[use].view(np.int64), start[use], count[use], doc[use]
+        ids = np.asarray(part.column(0))[doc]
+        segment = span_hashes(hashes, start, count + WINDOW - 1)
+        raw = w.data.tobytes()
+        words: list[str | None] = [None] * len(key)
+        for i, (s, d) in enumerate(zip(zip(key.tolist(), segment.tolist(), strict=True), ids.tolist(), strict=True)):
+            least = seen.get(s)
+            if least is None or d < least:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[s] = d
+                a, b = start[i], start[i] + count[i] + WINDOW - 2
+                words[i] = b" ".join(raw[w.start[a] : w.end[b]].split()).decode()
+        columns = [pa.array(key), pa.array(segment), pa.array(ids), part.column(1).take(pa.array(doc)), pa.array(start - w.first[doc]), pa.array(count.astype(np.int32)), pa.array(words, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "segment", "doc_id", "rid", "pos", "windows", "words"])
+
+
+def span_hashes(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``length`` words from ``start``, as signed numbers; runs are at most WINDOW + REACH - 1 long."""
+    total = length.astype(np.uint64)
+    for j in range(int(length.max(initial=0))):
+        some = np.flatnonzero(length > j)
+        total[some] = mix((total[some] ^ hashes[start[some] + j]) + SALT)
+    return total.view(np.int64)
 
 
 def kept_words(text: bytes, removed: np.ndarray) -> bytes:
@@ -118,24 +175,6 @@ def kept_digest(text: bytes, removed: np.ndarray) -> str:
     return hashlib.sha256(kept_words(text, removed)).hexdigest()
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", CHUNK):
-        w = words_of(part.column(2))
-        key, start, count = minimisers(w.hashes(), w.first)
-        doc = np.searchsorted(w.first, start, "right") - 1
-        keys = part.column(3)
-        own = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(keys.offsets)))
-        salt = np.uint64(0x9E3779B97F4A7C15)
-        wanted = mix(np.asarray(keys.flatten()).view(np.uint64)) + own.astype(np.uint64) * salt
-        use = np.isin(mix(key) + doc.astype(np.uint64) * salt, wanted)
-        key, start, count, doc = key[use], start[use], count[use], doc[use]
-        texts = [t.encode().split() for t in part.column(2).to_pylist()]
-        local = start - w.first[doc]
-        segment = [b" ".join(texts[d][a : a + c + WINDOW - 1]).decode() for d, a, c in zip(doc.tolist(), local.tolist(), count.tolist(), strict=True)]
-        at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(local, pa.int64()), pa.array(count, pa.int32()), pa.array(segment, pa.string())], names=["key", "doc_id", "rid", "pos", "windows", "segment"])
-
-
 class Automaton:
     """A generalised suffix automaton over words; each state keeps the least document of its strings."""
 
@@ -198,96 +237,142 @@ class Automaton:
         return out
 
 
+MATCHED = "m_key long, m_segment long, least array<long>"
+
+
+def _matched(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    """Least documents of the windows of each segment; one number if they are all the same."""
+    least = [x[2] if len(set(x[2])) > 1 else x[2][:1] for x in out]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["m_key", "m_segment", "least"])
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: automata of whole keys, about SHARD_WORDS words each."""
-    rows: list[tuple[int, int, int, str]] = []
-    words = 0
+    """Rows (key, segment, doc_id, words) sorted by key and segment: automata of whole keys, about SHARD_WORDS words each."""
+    key: int | None = None
+    now: dict[int, tuple[int, str]] = {}  # the distinct segments of the key
+    shard: list[tuple[int, int, int, list[str]]] = []
+    plain: list[tuple[int, int, list[int]]] = []
+    size = 0
+
+    def end_of_key() -> None:
+        nonlocal size
+        if len(now) == 1:
+            plain.extend((key, segment, [least]) for segment, (least, _) in now.items())
+        for segment, (least, words) in now.items() if len(now) > 1 else ():
+            cut = words.split(" ")
+            shard.append((key, segment, least, cut))
+            size += len(cut)
 
     def flush() -> pa.RecordBatch:
+        nonlocal size
         automaton = Automaton()
-        cut = [r[3].split(" ") for r in rows]
-        for r, x in zip(rows, cut, strict=True):
-            automaton.add(x, r[2])
+        for _, _, least, words in shard:
+            automaton.add(words, least)
         automaton.finish()
-        found = [automaton.least_documents(x) for x in cut]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["m_key", "m_segment", "least"])
+        out = plain + [(k, s, automaton.least_documents(words)) for k, s, _, words in shard]
+        shard.clear(), plain.clear()
+        size = 0
+        return _matched(out)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if words >= SHARD_WORDS and row[0] != rows[-1][0]:
-                yield flush()
-                rows, words = [], 0
-            rows.append(row)
-            words += row[3].count(" ") + 1
-    if rows:
+        for k, segment, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                if key is not None:
+                    end_of_key()
+                    if size >= SHARD_WORDS or len(plain) >= SHARD_WORDS:
+                        yield flush()
+                key, now = k, {}
+            have = now.get(segment)
+            if have is None or doc < have[0]:
+                now[segment] = doc, words
+    if key is not None:
+        end_of_key()
         yield flush()
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot keys as their single windows, each a key of its own."""
+    """Segments of hot keys as their single windows, each with a hash of its own."""
     for batch in batches:
         out: list[tuple] = []
-        for key, doc, rid, pos, count, segment, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not hot:
-                out.append((key, doc, rid, pos, segment))
-                continue
-            words = segment.split(" ")
-            for j in range(count):
-                text = " ".join(words[j : j + WINDOW])
-                out.append((int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True), doc, rid, pos + j, text))
+        for key, segment, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cut = words.split(" ")
+            for j in range(len(cut) - WINDOW + 1):
+                window = hashlib.blake2b(" ".join(cut[j : j + WINDOW]).encode(), digest_size=8).digest()
+                out.append((int.from_bytes(window, "big", signed=True), key, segment, j, doc))
         columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["key", "doc_id", "rid", "pos", "segment"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["window", "key", "segment", "j", "doc_id"])
 
 
 def _finish(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, digests, texts = [], [], []
-            for n, sha, text, starts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+        for part in slices(batches, "text", 2 * CHUNK):
+            n = np.diff(words_of(part.column(1)).first)
+            removed, digests, kept_texts = [], [], []
+            for size, text, runs in zip(n.tolist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 gone = np.zeros(0, bool)
-                if starts:
-                    at = np.unique(np.array(starts, np.int64))
-                    gone = covered(at, at + WINDOW, n)
+                if runs:
+                    at = np.array(runs, np.int64)
+                    gone = covered(at >> 4, (at >> 4) + (at & 15) + WINDOW - 1, size)
+                kept = kept_words((text or "").encode(), gone)
                 removed.append(int(gone.sum()))
-                kept = None if text is None else kept_words(text.encode(), gone)
-                digests.append(sha if kept is None else hashlib.sha256(kept).hexdigest())
-                texts.append(None if kept is None else kept.decode())
-            columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if with_text else []), names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                kept_texts.append(kept.decode() if with_text else None)
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept_texts, pa.string())] if with_text else []), names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _least_of_hot(segments: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(m_key, m_segment, least) of the segments of hot keys, by single windows."""
+    units, units_path = materialize(segments.mapInArrow(_single, "window long, key long, segment long, j long, doc_id long"), "units")
+    least, least_path = materialize(units.groupBy(F.col("window").alias("w_window")).agg(F.min("doc_id").alias("least")), "windows")
+    rows = units.select("window", "key", "segment", "j").join(_few(least), F.col("window") == F.col("w_window"))
+    by = rows.groupBy(F.col("key").alias("m_key"), F.col("segment").alias("m_segment")).agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "least"))), lambda x: x["least"]).alias("least"))
+    return by, [units_path, least_path]
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document; kept_text where a text shares passages, if asked for.
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for) of every document.
 
-    Shuffles: keys (a fifth of the words, 16 bytes each) by range, so that a hot
-    key spans tasks; texts once, by doc_id; segments of shared passages only.
+    Shuffles: keys (a fifth of the words, 20 bytes each) by key, a hot key's by
+    document; texts twice, with their shared keys and with their removals;
+    segments of shared keys, with their words once per task. Working tables are
+    discarded before the result is returned.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keys = texts.mapInArrow(_keys, "key long, doc_id long").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    rid = F.xxhash64("doc_id", "text").alias("rid")
+    dealt = F.when(F.col("mark") == 3, F.pmod("doc_id", F.lit(4096))).otherwise(-1)
+    keys = texts.mapInArrow(_keys, "key long, doc_id long, mark int").repartition("key", dealt).sortWithinPartitions("key")
     shared = keys.mapInArrow(_shared, "key long, doc_id long").groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("key").alias("keys"))
-    joined = texts.join(shared, F.col("doc_id") == F.col("k_id"), "left").select("doc_id", "text", "keys")
-    cut, _ = materialize(joined.mapInArrow(_cut, "doc_id long, rid long, n_words long, kept_sha256 string, text string, keys array<long>"), "cut")
-    occurrences = cut.filter("text is not null").select("doc_id", "rid", "text", "keys")
-    found, _ = materialize(occurrences.mapInArrow(_segments, "key long, doc_id long, rid long, pos long, windows int, segment string"), "segments")
+    rows = texts.join(shared, F.col("doc_id") == F.col("k_id")).select("doc_id", rid, "text", "keys")
+    found, found_path = materialize(rows.mapInArrow(_segments, "key long, segment long, doc_id long, rid long, pos long, windows int, words string"), "segments")
+    spelled = found.filter("words is not null").select("key", "segment", "doc_id", "words")
     # keys with more distinct words than an automaton takes go on as single windows
-    distinct = found.groupBy("key", F.xxhash64("segment").alias("s")).agg(F.max("windows").alias("w"))
-    hot = distinct.groupBy(F.col("key").alias("h_key")).agg(F.sum(F.col("w") + WINDOW - 1).alias("words")).filter(F.col("words") > SHARD_WORDS).select("h_key")
-    hot, _ = materialize(hot, "hot")
-    if hot.count() <= 200_000:
-        hot = F.broadcast(hot)
-    some = found.join(hot, F.col("key") == F.col("h_key"), "left").select("key", "doc_id", "rid", "pos", "windows", "segment", F.col("h_key").isNotNull().alias("hot"))
-    units = some.mapInArrow(_single, "key long, doc_id long, rid long, pos long, segment string").withColumn("segment_id", F.xxhash64("segment"))
-    reference = units.groupBy("key", "segment_id").agg(F.min("doc_id").alias("least_doc"), F.first("segment").alias("segment"))
-    matched = reference.repartition("key").sortWithinPartitions("key").mapInArrow(_match, "m_key long, m_segment long, least array<long>")
-    matched, _ = materialize(matched, "matched")
-    hits = units.select("key", "segment_id", "doc_id", "rid", "pos").join(matched, (F.col("key") == F.col("m_key")) & (F.col("segment_id") == F.col("m_segment")))
-    starts = F.filter(F.transform("least", lambda least, j: F.when(least < F.col("doc_id"), F.col("pos") + j)), lambda x: x.isNotNull())
-    per_doc = hits.select(F.col("rid").alias("r_id"), starts.alias("starts")).filter(F.size("starts") > 0).groupBy("r_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    out = cut.join(per_doc, F.col("rid") == F.col("r_id"), "left").select("doc_id", "n_words", "kept_sha256", "text", "starts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return out.mapInArrow(_finish(with_text), schema)
+    distinct = found.filter("words is not null").groupBy("key", "segment").agg(F.max("windows").alias("w"))
+    hot, hot_path = materialize(distinct.groupBy(F.col("key").alias("h_key")).agg(F.sum(F.col("w") + WINDOW - 1).alias("n")).filter(F.col("n") > SHARD_WORDS).select("h_key"), "hot")
+    some_hot = _few(hot)
+    ordinary = spelled.join(some_hot, F.col("key") == F.col("h_key"), "left_anti").repartition("key").sortWithinPartitions("key")
+    matched, used = ordinary.mapInArrow(_match, MATCHED), []
+    if hot.limit(1).count():
+        by_window, used = _least_of_hot(spelled.join(some_hot, F.col("key") == F.col("h_key"), "left_semi"))
+        matched = matched.unionByName(by_window)
+    matched, matched_path = materialize(matched, "matched")
+    discard(spark, hot_path, *used)
+    hits = found.select("key", "segment", "doc_id", "rid", "pos", "windows").join(matched, (F.col("key") == F.col("m_key")) & (F.col("segment") == F.col("m_segment")))
+    # a run is its first window times 16 plus its number of windows, of which a segment has at most REACH
+    each = F.filter(F.transform("least", lambda least, j: F.when(least < F.col("doc_id"), (F.col("pos") + j) * 16 + 1)), lambda x: x.isNotNull())
+    whole = F.when(F.element_at("least", 1) < F.col("doc_id"), F.array(F.col("pos") * 16 + F.col("windows")))
+    runs = hits.select(F.col("rid").alias("r_id"), F.col("doc_id").alias("r_doc"), F.when(F.size("least") == 1, whole).otherwise(each).alias("runs")).filter(F.size("runs") > 0)
+    per_doc, _ = materialize(runs.groupBy("r_id", "r_doc").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    discard(spark, found_path, matched_path)
+    out = texts.select("doc_id", "text", rid).join(per_doc, (F.col("rid") == F.col("r_id")) & (F.col("doc_id") == F.col("r_doc")), "left").select("doc_id", "text", "runs")
+    return out.mapInArrow(_finish(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

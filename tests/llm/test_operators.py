@@ -86,8 +86,10 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, small, hot, block, ga
     assert [got[i] for i in range(len(texts))] == links(texts)
 
 
-def test_hot_passages_are_removed_exactly(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 60)  # every shared key is hot
+@pytest.mark.parametrize(("shard", "hot", "gather", "seen"), [(60, 2, 50, 3), (200, 4, 500_000, 400_000), (20_000, 2, 100, 10)])
+def test_hot_passages_are_removed_exactly(spark, monkeypatch, shard, hot, gather, seen):
+    for name, value in (("SHARD_WORDS", shard), ("HOT", hot), ("GATHER", gather), ("SEEN", seen)):  # 60: every shared key goes by windows
+        monkeypatch.setattr(substring_dedup, name, value)
     r = random.Random(1)
     words = [f"w{i}" for i in range(60)]
     passage = [r.choice(words) for _ in range(30)]
