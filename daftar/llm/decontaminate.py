@@ -2,19 +2,23 @@
 
 Texts become word ids over the benchmark's vocabulary; a word outside it ends
 any occurrence, so only runs of known words as long as the shortest window are
-indexed. Each shard of runs gets a suffix array (prefix doubling, as deep as the
-longest window), its BWT in a wavelet tree, and every ``SAMPLE``-th suffix
+indexed. Each shard of runs gets a suffix array (prefix doubling until all ranks
+differ), its BWT in a wavelet tree, and every ``SAMPLE``-th suffix
 position. All windows are searched backwards together, their rows located by
 walking to sampled positions, and the occurrences merged into spans.
 
 Defined results: null and empty texts have no words and no hits; benchmark
 items without words are ignored, as are null items' ids in the id list (shown
 as "null"); repeated document rows are scored one by one and repeated items
-count once per distinct item_id; an empty benchmark leaves every text clean.
+count once per distinct item_id; ties cannot arise, since separators differ by
+place; a very long text is a shard of its own and takes memory in proportion to
+its length; an empty benchmark leaves every text clean and an empty table stays
+empty; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .words import CHUNK, SpanHash, Words, buffer, covered, lowered, slices, split
 
 #: Windows of so many words; items with fewer words are one window.
 WINDOW = 13
 #: Every so many text positions are kept for locating.
 SAMPLE = 8
-#: Benchmark words in one broadcast block; a larger benchmark is searched block after block.
-BLOCK_WORDS = 1_000_000
+#: Benchmark words in one broadcast block, and blocks that a worker holds at once; a larger benchmark takes more passes.
+BLOCK_WORDS, AT_ONCE = 1_000_000, 4
 #: A text is contaminated if so many times the hit words reach its words.
 CONTAMINATED = 20
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ : bytes that end a word.
@@ -150,17 +155,32 @@ class Phrases:
         hashes = SpanHash(joined)(np.concatenate(([0], ends))[:-1].astype(np.int64), ends) if vocabulary else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], (order + 1).astype(np.int32)
+        self.bytes, self.ends = joined, ends
+        # words that share a hash with another are told apart one by one
+        same = self.hashes[1:] == self.hashes[:-1]
+        self.doubtful = np.unique(self.hashes[1:][same])
+        self.word_ids = {x: ids[x] for x in vocabulary} if len(self.doubtful) else {}
         self.by_width: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
         for width in sorted({len(row) for row in rows}):
             some = [row for row in rows if len(row) == width]
             self.by_width[width] = np.array([[ids[x] for x in row] for row in some], np.int64), [sorted(rows[row]) for row in some]
         self.shortest = min(self.by_width, default=0)
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+    def lookup(self, spans: SpanHash, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Vocabulary ids of words, 0 for others: the hash finds a word and its bytes decide."""
+        out = np.zeros(len(hashes), np.int32)
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int32)
+            return out
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], 0).astype(np.int32)
+        some = np.flatnonzero(self.hashes[at] == hashes)
+        ids = self.ids[at[some]]
+        begin = np.concatenate(([0], self.ends))[ids - 1]
+        same = spans.equal(start[some], end[some], SpanHash(self.bytes), begin, self.ends[ids - 1])
+        out[some[same]] = ids[same]
+        if len(self.doubtful):
+            for i in some[np.isin(hashes[some], self.doubtful)]:
+                out[i] = self.word_ids.get(spans.data[start[i] : end[i]].tobytes(), 0)
+        return out
 
 
 def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +230,12 @@ def occurrences(ids: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[n
 def shard(column: pa.Array, phrases: list[Phrases]) -> tuple[Words, np.ndarray, np.ndarray, list[set[str]]]:
     """Words of a shard, which of them are hit, the hits per text, and the items found in each."""
     w = split(*_lower(column), OUTSIDE)
-    hashes = SpanHash(w.data)(w.start, w.end)
+    spans = SpanHash(w.data)
+    hashes = spans(w.start, w.end)
     hit = np.zeros(len(w.start), bool)
     items: list[set[str]] = [set() for _ in range(w.docs)]
     for p in phrases:
-        at, width, of = occurrences(p.lookup(hashes), w.first, p)
+        at, width, of = occurrences(p.lookup(spans, hashes, w.start, w.end), w.first, p)
         hit |= covered(at, at + width, len(w.start))
         for d, names in zip(np.searchsorted(w.first, at, "right") - 1, of, strict=True):
             items[d].update(names)
@@ -246,7 +267,7 @@ def _spans(hit: np.ndarray, w, first: int) -> list[dict[str, int]]:
     return [{"start": int(x - base), "end": int(y - base)} for x, y in zip(w.start[a], w.end[b], strict=True)]
 
 
-def phrase_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
+def phrase_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Phrases]:
     """The benchmark in blocks of bounded size, streamed through the driver."""
     block: list[tuple[str, bytes]] = []
     size = 0
@@ -261,16 +282,67 @@ def phrase_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Itera
         yield Phrases(block)
 
 
+def _hit_rows(blocks: list):
+    """Rows (doc_id, text) to (doc_id, rid, starts, ends, items) of the texts with hits: runs of hit words, by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = [b.value for b in blocks]
+        for part in slices(batches, "text", 2 * CHUNK):
+            w, hit, n_hit, items = shard(part.column(2), phrases)
+            some = np.flatnonzero(n_hit)
+            edges = [np.diff(np.concatenate(([0], hit[w.first[d] : w.first[d + 1]].astype(np.int8), [0]))) for d in some]
+            columns = [part.column(0).take(pa.array(some)), part.column(1).take(pa.array(some)), *(pa.array([np.flatnonzero(e == sign) for e in edges], pa.list_(pa.int64())) for sign in (1, -1)), pa.array([sorted(items[d]) for d in some], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h_doc", "h_rid", "starts", "ends", "items"])
+
+    return run
+
+
+def _united(with_text: bool):
+    """Rows (doc_id, text, starts, ends, items) with the runs of all blocks to the operator's result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 * CHUNK):
+            w = split(*_lower(part.column(1)), OUTSIDE)
+            starts, ends, items = (part.column(k).to_pylist() for k in (2, 3, 4))
+            n_hit, spans = [], []
+            for d in range(w.docs):
+                hit = covered(np.array(starts[d] or [], np.int64), np.array(ends[d] or [], np.int64), int(w.first[d + 1] - w.first[d]))
+                n_hit.append(int(hit.sum()))
+                spans.append(_spans(hit, w, w.first[d]) if n_hit[-1] else [])
+            columns = [part.column(0), pa.array(np.diff(w.first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(set(x or [])) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns + ([part.column(1)] if with_text else []), names=["doc_id", "n_words", "n_hit", "items", "spans"] + ["text"] * with_text)
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) and spans (bytes of the text) of every document.
 
-    One pass over the texts without a shuffle; the broadcast blocks hold the
-    benchmark's windows only, ``BLOCK_WORDS`` words each.
+    Workers hold AT_ONCE blocks of the benchmark's windows, BLOCK_WORDS words
+    each. A benchmark that fits takes one pass over the texts without a shuffle;
+    a larger one takes a pass for each group of blocks, whose hits are written
+    and joined to the texts.
     """
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(p) for p in phrase_blocks(benchmark)]
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" + ", text string" * with_text
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(blocks, with_text), schema)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = phrase_blocks(benchmark, BLOCK_WORDS)
+    group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
+    more = next(blocks, None)
+    if more is None:
+        schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+        return texts.mapInArrow(_scan(group, with_text), schema + ", text string" * with_text)
+    named = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    hits, blocks = None, itertools.chain([more], blocks)
+    while group:
+        found, _ = materialize(named.mapInArrow(_hit_rows(group), "h_doc long, h_rid long, starts array<long>, ends array<long>, items array<string>"), "hits")
+        hits = found if hits is None else hits.unionAll(found)
+        for b in group:
+            b.destroy()
+        group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
+    hits = hits.groupBy("h_doc", "h_rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    joined = named.join(hits, (F.col("rid") == F.col("h_rid")) & F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    return joined.select("doc_id", "text", "starts", "ends", "items").mapInArrow(_united(with_text), schema + ", text string" * with_text)
 
 
 def contaminated():
@@ -278,12 +350,22 @@ def contaminated():
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns; no shuffle."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark)]
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    One pass without a shuffle for a benchmark of up to AT_ONCE blocks; beyond,
+    rows are joined with the contaminated ones by a hash of the text.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = phrase_blocks(benchmark, BLOCK_WORDS)
+    group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
+    if next(blocks, None) is not None:
+        texts = docs.select(F.xxhash64(column).alias("doc_id"), F.col(column).alias("text")).distinct()
+        bad = decontaminate(texts, benchmark).filter(contaminated()).select(F.col("doc_id").alias("bad_text"))
+        return docs.join(bad, F.xxhash64(column) == F.col("bad_text"), "left_anti")
     place = docs.columns.index(column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks]
+        phrases = [b.value for b in group]
         for part in slices(batches, column, 2 * CHUNK):
             w, _, n_hit, _ = shard(part.column(place), phrases)
             yield part.filter(pa.array(~((n_hit > 0) & (CONTAMINATED * n_hit >= np.diff(w.first)))))

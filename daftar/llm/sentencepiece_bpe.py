@@ -7,8 +7,11 @@ the lowest pair rank of every unit with a segmented minimum and merges its
 leftmost occurrences at once, and units without a pair left are compacted away.
 Ids equal those of the sentencepiece library without begin or end ids.
 
-Defined results: a null text is empty and has no ids; any other columns are
-ignored; repeated rows are encoded one by one; an empty table stays empty.
+Defined results: a null text is empty and has no ids; pairs of equal rank merge
+leftmost first; repeated rows are encoded one by one; a very long text is a slice
+of its own and takes memory in proportion to its length; an empty table stays
+empty; other columns are ignored, but ``encode_rows`` replaces columns named
+n_tokens and ids.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .words import CHUNK, SpanHash, buffer, slices
 #: Meta symbol for a space, and how many units a worker keeps encoded.
 META = "▁"
 CACHE = 600_000
+#: Bytes of units kept at most; a slice may go over it by its own length.
+CACHE_BYTES = 16 << 20
 #: Bytes of text encoded together.
 SLICE = 3 * CHUNK
 NONE = np.int64(2**40)
@@ -218,7 +223,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Codec:
-    """Encodes slices of texts through a bounded cache of units, kept as flat arrays sorted by the units' 64-bit hash."""
+    """Encodes slices of texts through a bounded cache of units, kept as flat arrays sorted by the units' hash."""
 
     def __init__(self, model: Model, most: int = CACHE):
         self.model, self.most = model, most
@@ -228,8 +233,10 @@ class Codec:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros((0, 2), np.int64)
+        self.at = np.zeros((0, 2), np.int64)  # start and length of each unit's ids
+        self.spelled = np.zeros((0, 2), np.int64)  # start and end of each unit's bytes
         self.ids = np.zeros(0, np.int32)
+        self.bytes = np.zeros(0, np.uint8)
 
     def boundaries(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where units begin: at texts, before a space that follows no space, before and after a line end."""
@@ -245,22 +252,41 @@ class Codec:
         begin[-1] = False
         return np.flatnonzero(begin)
 
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the units together; the places of their ids and bytes."""
+        source, edges = spread(start, end - start)
+        raw = data[source]
+        ids, where = self.model.encode_units(raw, edges)
+        at = np.stack((where[:-1] + len(self.ids), np.diff(where)), 1)
+        spelled = np.stack((edges[:-1], edges[1:]), 1) + len(self.bytes)
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.bytes = np.concatenate((self.bytes, raw))
+        return at, spelled
+
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Start and length in ``self.ids`` of each unit; new units are encoded together."""
-        keys, first, inverse = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
+        """Start and length in ``self.ids`` of each unit; new units are encoded together.
+
+        The hash only finds a unit: its bytes decide, and a unit that shares the
+        hash of another is encoded by itself.
+        """
+        spans = SpanHash(data)
+        keys, first, inverse = np.unique(spans(start, end), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.most or len(self.bytes) > CACHE_BYTES:
             self.clear()
         slot = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            source, edges = spread(start[first[new]], (end - start)[first[new]])
-            ids, where = self.model.encode_units(data[source], edges)
-            at = np.stack((where[:-1] + len(self.ids), np.diff(where)), 1)
-            self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+            at, spelled = self.add(data, start[first[new]], end[first[new]])
             self.at = np.insert(self.at, slot[new], at, axis=0)
+            self.spelled = np.insert(self.spelled, slot[new], spelled, axis=0)
             self.keys = np.insert(self.keys, slot[new], keys[new])
             slot = np.searchsorted(self.keys, keys)
-        return self.at[slot[inverse]]
+        found = slot[inverse]
+        rows = self.at[found]
+        other = np.flatnonzero(~spans.equal(start, end, SpanHash(self.bytes), self.spelled[found, 0], self.spelled[found, 1]))
+        if len(other):
+            rows[other] = self.add(data, start[other], end[other])[0]
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the edges between texts. Null is empty."""

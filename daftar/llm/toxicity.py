@@ -1,19 +1,25 @@
 """Toxicity as ordered severity: a cumulative-link (ordinal logistic) regression on sparse text features.
 
-Labels say toxic or not; grades above 0 come from the data: words that labelled
-toxic texts use far more often than others are indicators, and toxic texts are
-graded by the tercile of their indicator count. One weight vector is shared by
-all thresholds; the model gives the probability of each grade and the expected
-severity.
+Labels say toxic or not; grades above 0 come from the data. Words that labelled
+toxic texts use far more often than others are indicators, and a hash splits
+them into two views. A toxic text's grade for one view's model is the tercile of
+its indicator count in the other view, so no model learns a grade that was made
+of its own features. In each model one weight vector is shared by all
+thresholds; it gives the probability of each grade and the expected severity,
+and a text gets the result of the view in which it is more severe.
 
 Defined results: null and empty texts have no features and get the severity of
-the intercepts alone; repeated labels of a document take the largest; without
-toxic labels every severity is 0; other columns are ignored.
+the intercepts alone; repeated labels of a document take the largest, repeated
+rows are scored one by one; equal counts get equal grades, equal ranks of
+indicators go by bucket; a very long text is a slice of its own and takes memory
+in proportion to its length; without toxic labels every severity is 0; an empty
+table stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import OUTSIDE
-from .scratch import materialize
+from .scratch import discard, materialize
 from .sums import partition_sum
 from .words import CHUNK, SpanHash, buffer, lowered, slices, split
 
-#: Hash buckets of words, features kept, grades (0 is not toxic), ridge.
+#: Hash buckets of words, features kept in each half of them, grades (0 is not toxic), ridge.
 BUCKETS, KEPT, GRADES, RIDGE = 1 << 18, 200, 4, 1.0
 #: The fit takes at most so many labelled rows of each class, those of least hash: a bounded, documented sample.
 SAMPLE = 8_000
@@ -48,28 +54,37 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first), pa.int64()), as_list(pair % BUCKETS), as_list(n)], names=["toxic", "n_words", "bucket", "n"])
 
 
-def indicators(count: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The KEPT buckets whose document rate differs most between classes (signed log-likelihood root), and their sign."""
+def indicators(count: np.ndarray, rows: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The KEPT buckets of one half whose document rate differs most between classes (signed log-likelihood root), and their sign."""
     rate = (count + 0.5) / (rows[:, None] + 1.0)
     pooled = (count.sum(0) + 0.5) / (rows.sum() + 1.0)
     g = sum(c * np.log(r / pooled) + (n - c) * np.log((1 - r) / (1 - pooled)) for c, r, n in zip(count, np.minimum(rate, 1 - 1e-9), rows, strict=True))
     signed = np.where(rate[1] > rate[0], 1, -1) * np.maximum(g, 0)
+    signed[1 - half :: 2] = 0
     best = np.argsort(-np.abs(signed), kind="stable")[:KEPT]
     best = best[np.abs(signed[best]) > 8.0]
     return best, signed[best]
 
 
-def project(bucket: np.ndarray, n: np.ndarray, edges: np.ndarray, kept: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """log(1 + count) of the kept buckets and, last, of all indicators together; one row per text."""
-    column = np.full(BUCKETS, -1, np.int64)
-    column[kept] = np.arange(len(kept))
-    doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    at = column[bucket]
-    use = at >= 0
-    x = np.zeros((len(edges) - 1, len(kept) + 1))
-    np.add.at(x, (doc[use], at[use]), n[use])
-    x[:, -1] = x[:, :-1][:, sign > 0].sum(1)
-    return np.log1p(x)
+@dataclass
+class View:
+    """Indicator buckets of one half of the words, with their signs, and, once fitted, the model on them."""
+
+    kept: np.ndarray
+    sign: np.ndarray
+    model: Ordinal | None = None
+
+    def project(self, bucket: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """log(1 + count) of the kept buckets and, last, of all that point to toxicity; one row per text."""
+        column = np.full(BUCKETS, -1, np.int64)
+        column[self.kept] = np.arange(len(self.kept))
+        doc = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        at = column[bucket]
+        use = at >= 0
+        x = np.zeros((len(edges) - 1, len(self.kept) + 1))
+        np.add.at(x, (doc[use], at[use]), n[use])
+        x[:, -1] = x[:, :-1][:, self.sign > 0].sum(1)
+        return np.log1p(x)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,17 +131,17 @@ class Ordinal:
         return cls(theta, w / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, Ordinal] | None:
-    """Fit on at most ``sample`` rows of each class; their ids (a bounded set) are broadcast to the scan."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[View]:
+    """The fitted views, from at most ``sample`` rows of each class; their ids (a bounded set) are broadcast to the scan."""
     marks = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and l_id is not null")
     marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     totals = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
-        return None
+        return []
     order = F.crc32(F.col("l_id").cast("string").cast("binary"))
     some = marks.filter("toxic = 0").orderBy(order, "l_id").limit(sample).unionAll(marks.filter("toxic = 1").orderBy(order, "l_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
-    sparse, _ = materialize(rows.select(F.col("toxic"), "text").mapInArrow(_sparse, "toxic int, n_words long, bucket array<int>, n array<int>"), "toxic")
+    sparse, path = materialize(rows.select(F.col("toxic"), "text").mapInArrow(_sparse, "toxic int, n_words long, bucket array<int>, n array<int>"), "toxic")
 
     def tally(batch, total):
         toxic = np.asarray(batch.column(0))
@@ -138,37 +153,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             at[k] += np.bincount(bucket[each == k], minlength=BUCKETS)
             total[-2 + k] += (toxic == k).sum()
 
-    sums = partition_sum(sparse, tally, 2 * BUCKETS + 2, tasks=8)
-    kept, sign = indicators(sums[:-2].reshape(2, BUCKETS), sums[-2:])
-    if not len(kept):
-        return None
+    sums = partition_sum(sparse, tally, 2 * BUCKETS + 2)
+    views = [View(*indicators(sums[:-2].reshape(2, BUCKETS), sums[-2:], half)) for half in (0, 1)]
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets = np.asarray(b.column(2).offsets).astype(np.int64)
-            x = project(np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten()), offsets - offsets[0], kept, sign).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["toxic", "x"])
+            each = [v.project(np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten()), offsets - offsets[0]) for v in views]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.hstack(each).astype(np.float32)], pa.binary())], names=["toxic", "x"])
 
     table = sparse.mapInArrow(narrow, "toxic int, x binary").toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, len(kept) + 1).astype(float)
-    toxic, hits = table["toxic"].to_numpy(), x[:, -1]
-    cuts = np.quantile(hits[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    y = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, "left"), 0)
+    discard(docs.sparkSession, path)
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, sum(len(v.kept) + 1 for v in views)).astype(float)
+    toxic, (one, two) = table["toxic"].to_numpy(), np.split(x, [len(views[0].kept) + 1], axis=1)
     weight = np.where(toxic == 1, totals[1] / max((toxic == 1).sum(), 1), totals[0] / max((toxic == 0).sum(), 1))
-    return kept, sign, Ordinal.fit(x, y, weight / weight.mean())
+    for view, own, other in ((views[0], one, two), (views[1], two, one)):
+        if len(view.kept):
+            view.model = Ordinal.fit(own, grades(toxic, other[:, -1]), weight / weight.mean())
+    return [v for v in views if v.model]
+
+
+def grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """0 for texts that are not toxic, else 1 to GRADES - 1 by the terciles of the evidence among toxic texts that have any."""
+    some = evidence[(toxic == 1) & (evidence > 0)]
+    cuts = np.quantile(some, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(some) else np.full(GRADES - 2, np.inf)
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, "left"), 0)
 
 
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES - 1), grade (most likely), p_toxic, toxic for every document."""
-    model = fit(docs, labels, sample)
+    views = fit(docs, labels, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK):
             p = np.zeros((part.num_rows, GRADES))
             p[:, 0] = 1
-            if model:
-                bucket, first = words(part.column(1))
-                p = model[2].probabilities(project(bucket, np.ones(len(bucket)), first, model[0], model[1]))
+            bucket, first = words(part.column(1))
+            for view in views:
+                own = view.model.probabilities(view.project(bucket, np.ones(len(bucket)), first))
+                more = own @ np.arange(GRADES) > p @ np.arange(GRADES)
+                p[more] = own[more]
             toxic = 1 - p[:, 0]
             columns = [part.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
