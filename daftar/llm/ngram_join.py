@@ -11,9 +11,8 @@ Equal sets are one class from the start. Keys with few classes pair them all;
 keys with many pair their first class with the others (a star). Pairs are
 verified exactly on whole sets, and links merge labels. Where a large key still
 has several labels, its classes outside the main label are held against the
-rest in blocks, by parity bits that never rule out a similar pair: first the
-nearest partners of each other label are verified, and after their links every
-partner left. So each pair of classes that shares a key is verified, ruled out
+rest in blocks, by parity bits that never rule out a similar pair: first their
+nearest partners are verified, and after these links every partner left. So each pair of classes that shares a key is verified, ruled out
 by an exact bound or already connected, and a group of copies costs its size,
 not its square.
 
@@ -44,7 +43,7 @@ BITS, FREQUENT = 18, 100
 SMALL = 16
 #: Postings that a task gathers to find hot keys, and the classes of one key among them that make it hot.
 GATHER, HOT = 500_000, 4
-#: Members of a large key in one block, and partners of each other label that are verified first.
+#: Members of a group in one block, and nearest partners of a class that are verified first.
 BLOCK, FIRST = 4_000, 3
 #: Class ids that are broadcast at most, and members of a leader verified in one task.
 BROADCAST_ROWS, TASK_PAIRS = 500_000, 4_000
@@ -369,36 +368,35 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-MEMBER = ["key", "block", "probe", "id", "n", "place", "label", "parity"]
+MEMBER = ["group", "block", "probe", "id", "n", "label", "parity"]
 
 
 def _blocks(first: int | None):
-    """Rows sorted by (key, block, probe): each probe's pairs with members of other labels that their parities allow.
+    """Rows sorted by (group, block, probe): each probe's pairs with members of other labels that their parities allow.
 
-    With ``first``, only so many nearest partners of each other label.
+    With ``first``, only so many nearest partners.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, member, bits, groups = None, np.zeros((0, 4), np.int64), [], []
+        now, member, bits, tables = None, [], [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1)], 1)
-            probe = np.asarray(batch.column(2).cast(pa.int8()))
-            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (3, 4, 5, 6)], 1)
-            raw = batch.column(7)
+            place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            probe, raw = batch.column(2).to_pylist(), batch.column(6)
+            rows = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (3, 4, 5)], 1)
             left, right = [], []
-            for i in range(len(rows)):
-                if now is None or place[i, 0] != now[0] or place[i, 1] != now[1]:
-                    now, member, bits, groups = place[i], [], [], []
+            for i, at in enumerate(place):
+                if at != now:
+                    now, member, bits, tables = at, [], [], []
                 if not probe[i]:
                     member.append(rows[i]), bits.append(raw[i].as_buffer().to_pybytes())
                     continue
                 if bits:
                     table, sizes = np.array(member), np.array([len(x) for x in bits])
-                    groups = [(table[sizes == w], np.frombuffer(b"".join(x for x in bits if len(x) == w), np.uint8).reshape(-1, w).view(np.uint64)) for w in np.unique(sizes).tolist()]
+                    tables = [(table[sizes == w], np.frombuffer(b"".join(x for x in bits if len(x) == w), np.uint8).reshape(-1, w).view(np.uint64)) for w in np.unique(sizes).tolist()]
                     bits = []
-                near = partners(rows[i], np.frombuffer(raw[i].as_buffer(), np.uint64), groups, first)
+                near = partners(rows[i], np.frombuffer(raw[i].as_buffer(), np.uint64), tables, first)
                 if len(near):
                     left.append(np.full(len(near), rows[i, 0])), right.append(near)
             if left:
@@ -416,40 +414,44 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def partners(row: np.ndarray, own: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], first: int | None) -> np.ndarray:
-    """Ids of the members that may be similar to ``row`` (id, n, place, label) and have another label."""
-    found, label, apart = [], [], []
-    for member, bits in groups:
-        some = np.flatnonzero((member[:, 3] != row[3]) & possible(member[:, 1], member[:, 2], row[1], row[2]))
+def partners(row: np.ndarray, own: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], first: int | None) -> np.ndarray:
+    """Ids of the members that may be similar to ``row`` (id, n, label) and have another label."""
+    found, apart = [], []
+    for member, bits in tables:
+        n = member[:, 1]
+        some = np.flatnonzero((member[:, 2] != row[2]) & (DEN * np.minimum(n, row[1]) >= NUM * np.maximum(n, row[1])))
         if not len(some):
             continue
         words = min(bits.shape[1], len(own))
         differ = np.bitwise_count(folded(bits[some], words) ^ folded(own, words)).sum(1, dtype=np.int64)
-        ok = (NUM + DEN) * differ <= (DEN - NUM) * (member[some, 1] + row[1])
-        found.append(member[some[ok], 0]), label.append(member[some[ok], 3]), apart.append(differ[ok])
+        ok = (NUM + DEN) * differ <= (DEN - NUM) * (n[some] + row[1])
+        found.append(member[some[ok], 0]), apart.append(differ[ok])
     if not found:
         return np.zeros(0, np.int64)
-    found, label, apart = np.concatenate(found), np.concatenate(label), np.concatenate(apart)
-    if first is None or len(found) <= first:
-        return found
-    order = np.lexsort((found, apart, label))
-    begin = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
-    size = np.diff(np.append(begin, len(order)))
-    return found[order[np.arange(len(order)) - np.repeat(begin, size) < first]]
-
-
-def crossing(large: DataFrame, labels: DataFrame, sets: DataFrame, first: int | None) -> DataFrame:
-    """Pairs between labels inside the large keys that have several: classes outside a key's main label against all others."""
-    now = large.join(labels.select(F.col("node").alias("l_id"), "label"), F.col("id") == F.col("l_id"), "left").select("key", "id", "n", "place", F.coalesce("label", "id").alias("label"))
+    found, apart = np.concatenate(found), np.concatenate(apart)
+    return found if first is None else found[np.lexsort((found, apart))[:first]]
+
+
+def crossing(large: DataFrame, labels: DataFrame, sets: DataFrame, first: int | None) -> tuple[DataFrame, str]:
+    """Pairs between labels inside the large keys that have several: classes outside a key's main label against all others.
+
+    Keys of one main label share most of their classes, so they form one group, in
+    which each class is one row; a key without two classes of a label is a group of its own. Also
+    returns the working table that the pairs read.
+    """
+    now = large.join(labels.select(F.col("node").alias("l_id"), "label"), F.col("id") == F.col("l_id"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     each = now.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = each.groupBy(F.col("key").alias("m_key")).agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.sum("c").alias("rows"), F.count("*").alias("labels"))
-    mixed = mixed.filter("labels > 1").select("m_key", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"))
-    mixed, _ = materialize(mixed, "mixed")
-    rows = now.join(_few(mixed), F.col("key") == F.col("m_key"))
-    member = rows.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("probe"), "id", "n", "place", "label")
-    probe = rows.filter("label != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("probe"), "id", "n", "place", "label")
+    mixed = each.groupBy(F.col("key").alias("m_key")).agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed, mixed_path = materialize(mixed.select("m_key", F.col("top.label").alias("main"), F.when(F.col("top.c") > 1, F.xxhash64("top.label")).otherwise(F.col("m_key")).alias("group")), "mixed")
+    rows = now.join(_few(mixed), F.col("key") == F.col("m_key")).select("group", "id", "n", "label", (F.col("label") != F.col("main")).alias("outside")).distinct()
+    rows, rows_path = materialize(rows, "members")
+    discard(large.sparkSession, mixed_path)
+    parts = rows.groupBy(F.col("group").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(_few(parts), F.col("group") == F.col("g"))
+    member = rows.select("group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"), F.lit(False).alias("probe"), "id", "n", "label")
+    probe = rows.filter("outside").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(True).alias("probe"), "id", "n", "label")
     signed = member.unionByName(probe).join(sets.select(F.col("id").alias("s_id"), "parity"), F.col("id") == F.col("s_id")).select(*MEMBER)
-    return signed.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(_blocks(first), "a long, b long").distinct()
+    return signed.repartition("group", "block").sortWithinPartitions("group", "block", "probe").mapInArrow(_blocks(first), "a long, b long").distinct(), rows_path
 
 
 def merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -505,7 +507,8 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels, label_path = least_labels(links)
     discard(spark, *used, some_path, link_path)
     for first in (FIRST, None) if large.limit(1).count() else ():
-        pairs, pair_path = materialize(crossing(large, labels, sets, first), "pairs")
+        pairs, member_path = crossing(large, labels, sets, first)
+        pairs, pair_path = materialize(pairs, "pairs")
         checked, used = verified(pairs, sets)
         links, link_path = materialize(checked, "links")
         some_links = links.limit(1).count()
@@ -513,7 +516,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             labels, paths = merged(labels, links)
             discard(spark, label_path, paths[0])
             label_path = paths[1]
-        discard(spark, *used, pair_path, link_path)
+        discard(spark, *used, member_path, pair_path, link_path)
     discard(spark, set_path, met_path)
     return classes, labels.select(F.col("node").alias("id"), "label")
 
