@@ -4,22 +4,27 @@ The standard library's parser streams events; block tags break the page into
 lines, each with its text length, its number of tags and the elements around
 it. Lines outside boilerplate elements get a text-to-tag ratio; the ratios are
 smoothed with a Gaussian and lines above a share of their standard deviation
-form the content cluster. The smallest content element (article, main) that
-holds most of the cluster's text is the region, with its sibling elements of the
-same name; without one, the region is the smallest block element around the
-whole cluster, or the page. All lines of the region outside boilerplate are
-blocks of the text.
+form the content cluster. Classes and ids only suggest boilerplate: an element
+around an article never counts as such, one marked by its layout (header,
+sidebar, menu ...) not if it holds half of the cluster, and inside an article
+not if its own ratio is that of the cluster. The smallest content element
+(article, main) that holds most of the cluster's text is the region, with its
+sibling elements of the same name; without one, the region is the smallest block
+element around the whole cluster, or the page. All lines of the region outside
+boilerplate are blocks of the text.
 
 Defined results: null or empty html gives an empty text; html without markup is
-one block; a null url stays null; repeated rows are treated one by one; very
-long pages take memory in proportion to their own length; other columns are
-ignored.
+one block; a null url stays null; repeated rows are treated one by one; of
+content elements with equal shares the innermost, last opened, is taken; very
+long or deeply nested pages take time and memory in proportion to their own
+length; an empty table stays empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,98 +41,131 @@ CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the same group without its end tag.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words in class, id or role that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|comments?|discussion|disqus|cookies?|consent|notices?|alert|popup|modal|share|sharing|social|related|recommended|newsletter|subscribe|subscription|footer|masthead|header|toolbar|widget|pager|pagination|complementary|contentinfo|search)(?:$|[\s_-])", re.I
-)
+#: Words in class, id or role that mark what is never main text, and those that mark a place in the layout.
+_NEVER = r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|discussion|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|subscription"
+_LAYOUT = r"banner|side-?bar|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommended|footer|masthead|header|toolbar|widget|pager|pagination|complementary|contentinfo|search"
+NEVER, LAYOUT = (re.compile(rf"(?:^|[\s_-])(?:{x})(?:$|[\s_-])", re.I) for x in (_NEVER, _LAYOUT))
+#: Marks of an article's own head, which is part of it.
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Width of the Gaussian in lines, and the share of the deviation that a content line exceeds.
 SIGMA, THRESHOLD = 1.5, 0.5
 
 
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    suspect: int  # number of the innermost marked element around, -1 if none
+    inside: int  # number of the innermost content element around, -1 if none
+
+
+@dataclass(slots=True)
+class Suspect:
+    """An element whose class, id or role marks boilerplate."""
+
+    parent: int
+    never: bool
+    within: bool  # inside a content element
+    holds: bool = False  # a content element
+
+
 class Lines(HTMLParser):
-    """Lines of a page with their ratio's parts and surroundings."""
+    """Lines of a page outside boilerplate elements, with their ratio's parts and surroundings."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool]] = []  # name, whether boilerplate
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool]] = []  # name, whether boilerplate, whether suspect
+        self.of_name: dict[str, list[int]] = {}  # places of each name in ``open``
+        self.block_at: list[int] = []  # places of block elements in ``open``
         self.inside: list[int] = []  # numbers of the open content elements
-        self.contents = 0
-        self.kin: list[tuple[str, int]] = []  # of each content element its name and the block around it
+        self.kin: list[tuple[str, int, int]] = []  # of each content element its name, the block around it and the content element around it
         self.blocks: list[list[int]] = []  # of each block element its first line and the line after its last; -1 while open
         self.at: list[int] = []  # beside open: the number of the block, or of the one around
+        self.suspects: list[Suspect] = []
+        self.doubt: list[int] = []  # numbers of the open suspects
         self.skip = 0
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = " ".join("".join(self.parts).split()) if not self.skip else ""
         if text:
-            self.lines.append((text, self.tags, self.skip > 0, tuple(self.inside)))
+            self.lines.append(Line(text, self.tags, self.doubt[-1] if self.doubt else -1, self.inside[-1] if self.inside else -1))
         self.parts, self.tags = [], 0
 
+    def marked(self, attrs) -> bool | None:
+        """Whether the marks are of the kind that is never main text; None without marks."""
+        values = [v for k, v in attrs if v and k in ("class", "id", "role")]
+        if any(NEVER.search(v) for v in values):
+            return True
+        layout = [v for v in values if LAYOUT.search(v)]
+        if self.inside:
+            layout = [v for v in layout if LAYOUT.search(HEAD.sub(" ", v))]
+        return False if layout else None
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
-            if closes := CLOSES.get(tag):
-                for k in range(len(self.open) - 1, -1, -1):
-                    if self.open[k][0] in closes:
-                        self.close_to(k)
-                        break
-                    if self.open[k][0] in BLOCKS:
-                        break
+            # an open p, li ... that is the nearest block ends here
+            if (closes := CLOSES.get(tag)) and self.block_at and self.open[self.block_at[-1]][0] in closes:
+                self.close_to(self.block_at[-1])
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        skip = tag in BOILERPLATE
-        if tag == "header" and not self.inside:
-            skip = True
-        if not skip and tag not in CONTENT and tag not in ("html", "body"):
-            skip = any(v and k in ("class", "id", "role") and MARKS.search(v) for k, v in attrs)
-        if skip and tag not in BLOCKS:
+        skip = tag in BOILERPLATE or (tag == "header" and not self.inside)
+        never = None if skip or tag in CONTENT or tag in ("html", "body") else self.marked(attrs)
+        if (skip or never is not None) and tag not in BLOCKS:
             self.flush()
         around = self.at[-1] if self.at else -1
+        self.of_name.setdefault(tag, []).append(len(self.open))
         if tag in BLOCKS:
             self.blocks.append([len(self.lines), -1])
-        self.open.append((tag, skip))
+            self.block_at.append(len(self.open))
+        self.open.append((tag, skip, never is not None))
         self.at.append(len(self.blocks) - 1 if tag in BLOCKS else around)
         self.skip += skip
+        if never is not None:
+            self.suspects.append(Suspect(self.doubt[-1] if self.doubt else -1, never, bool(self.inside)))
+            self.doubt.append(len(self.suspects) - 1)
         if tag in CONTENT:
-            self.inside.append(self.contents)
-            self.kin.append((tag, around))
-            self.contents += 1
+            self.kin.append((tag, around, self.inside[-1] if self.inside else -1))
+            self.inside.append(len(self.kin) - 1)
+            k = self.doubt[-1] if self.doubt and not self.skip else -1
+            while k >= 0 and not self.suspects[k].holds:
+                self.suspects[k].holds = True
+                k = self.suspects[k].parent
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def close_to(self, k: int) -> None:
-        """Close the open elements from number k on."""
-        if any(skip or name in BLOCKS for name, skip in self.open[k:]):
+        """Close the open elements from place k on."""
+        if any(skip or doubt or name in BLOCKS for name, skip, doubt in self.open[k:]):
             self.flush()
-        for (name, skip), at in zip(self.open[k:], self.at[k:], strict=True):
+        while len(self.open) > k:
+            (name, skip, doubt), at = self.open.pop(), self.at.pop()
+            self.of_name[name].pop()
             self.skip -= skip
+            if doubt:
+                self.doubt.pop()
             if name in BLOCKS:
                 self.blocks[at][1] = len(self.lines)
+                self.block_at.pop()
             if name in CONTENT:
                 self.inside.pop()
-        del self.open[k:], self.at[k:]
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.close_to(k)
-                return
-            # an inline end tag does not close the block around it
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
-                return
-        if tag in BLOCKS:
+        at = self.of_name.get(tag)
+        # an inline end tag does not close the block around it
+        if at and (tag in BLOCKS or not self.block_at or self.block_at[-1] < at[-1]):
+            self.close_to(at[-1])
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data):
@@ -141,6 +179,27 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel, "valid")
 
 
+def summed(values: np.ndarray, at: list[int], parents: list[int]) -> np.ndarray:
+    """Sums of ``values`` over elements and all inside them; parents have smaller numbers."""
+    out = np.bincount(np.array(at, int) + 1, values, minlength=len(parents) + 1)[1:]
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            out[parents[k]] += out[k]
+    return out
+
+
+def spoiled(suspects: list[Suspect], lines: list[Line], size: np.ndarray, content: np.ndarray, limit: float) -> list[bool]:
+    """Which marked elements are boilerplate, by themselves or for what is around them; ``limit`` is the ratio of content."""
+    at, parents = [x.suspect for x in lines], [s.parent for s in suspects]
+    own, tags, dense = (summed(x, at, parents) for x in (size, np.array([x.tags for x in lines], float), size * content))
+    total = (size * content).sum()
+    bad: list[bool] = []
+    for k, s in enumerate(suspects):
+        fine = s.holds or (not s.never and (2 * dense[k] >= total or (s.within and own[k] >= limit * max(tags[k], 1))))
+        bad.append(not fine or (s.parent >= 0 and bad[s.parent]))
+    return bad
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the page's content, joined by empty lines."""
     if not html:
@@ -149,29 +208,36 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    places = [k for k, x in enumerate(page.lines) if not x[2]]
+    never: list[bool] = []
+    for s in page.suspects:
+        never.append((s.never and not s.holds) or (s.parent >= 0 and never[s.parent]))
+    places = [k for k, x in enumerate(page.lines) if x.suspect < 0 or not never[x.suspect]]
     lines = [page.lines[k] for k in places]
     if not lines:
         return ""
-    size = np.array([len(x[0]) for x in lines], float)
-    score = smoothed(size / np.maximum([x[1] for x in lines], 1))
-    content = score >= THRESHOLD * score.std()
-    total = size[content].sum()
-    held: dict[int, float] = {}
-    for line, n, use in zip(lines, size, content, strict=True):
-        if use:
-            for k in line[3]:
-                held[k] = held.get(k, 0.0) + n
-    most = [k for k, n in held.items() if 2 * n >= total]
-    if most:
-        region = max(most)  # the last opened of them is the innermost
-        kin = {k for k, x in enumerate(page.kin) if x == page.kin[region]}
-        blocks = [x[0] for x in lines if not kin.isdisjoint(x[3])]
+    size = np.array([len(x.text) for x in lines], float)
+    score = smoothed(size / np.maximum([x.tags for x in lines], 1))
+    limit = THRESHOLD * score.std()
+    content = score >= limit
+    bad = spoiled(page.suspects, lines, size, content, limit)
+    keep = [k for k, x in enumerate(lines) if x.suspect < 0 or not bad[x.suspect]]
+    places, lines, size, content = [places[k] for k in keep], [lines[k] for k in keep], size[keep], content[keep]
+    if not content.any():
+        return "\n\n".join(x.text for x in lines)
+    parents = [x[2] for x in page.kin]
+    held = summed(size * content, [x.inside for x in lines], parents)
+    most = np.flatnonzero(2 * held >= (size * content).sum())
+    if len(most):
+        region = int(most[-1])  # the last opened of them is the innermost
+        kin: list[bool] = []
+        for x in page.kin:
+            kin.append(x[:2] == page.kin[region][:2] or (x[2] >= 0 and kin[x[2]]))
+        blocks = [x.text for x in lines if x.inside >= 0 and kin[x.inside]]
     else:
         at = np.flatnonzero(content)
         first, last = places[at[0]], places[at[-1]]
         a, b = next(((a, b) for a, b in reversed(page.blocks) if a <= first and (b < 0 or last < b)), (0, -1))
-        blocks = [x[0] for k, x in zip(places, lines, strict=True) if a <= k and (b < 0 or k < b)]
+        blocks = [x.text for k, x in zip(places, lines, strict=True) if a <= k and (b < 0 or k < b)]
     return "\n\n".join(blocks)
 
 

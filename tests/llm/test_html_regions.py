@@ -1,5 +1,6 @@
 """Main text of pages without a named region, and with several."""
 
+from daftar.llm import html_text
 from daftar.llm.html_text import main_text
 
 LONG = "a long paragraph of the page with many words in it " * 20
@@ -24,3 +25,44 @@ def test_sibling_articles_stay():
     assert main_text(f"<body>{page}</body>").split("\n\n") == ["One", LONG.strip(), "Two", "short text"]
     many = "".join(f"<article><p>{LONG} {k}</p></article>" for k in range(4))
     assert main_text(f"<body><div>{many}</div></body>").count("\n\n") == 3
+
+
+def test_classes_do_not_hide_content():
+    wrap = '<body><div class="layout with-sidebar"><article><div class="entry-header"><h1>Title</h1></div><p>' + LONG + '</p></article><div class="sidebar"><p>aside text</p></div></div></body>'
+    assert main_text(wrap).split("\n\n") == ["Title", LONG.strip()]
+    divs = f'<body><div class="has-header"><div class="text"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>links</p></div></div></body>'
+    assert main_text(divs).split("\n\n") == [LONG.strip(), LONG.strip()]
+    related = f'<body><article><p>{LONG}</p><p class="related-work">{LONG}</p><div class="related"><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul></div></article></body>'
+    assert main_text(related).split("\n\n") == [LONG.strip(), LONG.strip()]
+    comments = f'<body><article class="has-comments"><h1>T</h1><p>{LONG}</p><div class="comments"><div class="comment"><p>{LONG * 3}</p></div></div></article></body>'
+    assert main_text(comments).split("\n\n") == ["T", LONG.strip()]
+
+
+def test_ratios_decide(monkeypatch):
+    """With equal scores for all lines, pages without a named region come out otherwise."""
+    items = [f"item {k}" for k in range(8)]
+    page = "<body>" + "<div>other</div>" * 12 + "<div>" + "".join(f"<p>{x}</p>" for x in items) + f"<p>{LONG}</p><p>{LONG}</p></div></body>"
+    right = main_text(page)
+    assert right == "\n\n".join([*items, LONG.strip(), LONG.strip()])
+    monkeypatch.setattr(html_text, "smoothed", lambda ratio: ratio * 0 + 1)
+    assert right != main_text(page)
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    def seconds(html):
+        began = time.process_time()
+        main_text(html)
+        return time.process_time() - began
+
+    for make in (lambda n: "<article>x" * n, lambda n: "<p>" + "<b>x</i>" * n, lambda n: "<div>" + "<b>" * n + "<p>x</p>" * n, lambda n: '<div class="nav">x' * n, lambda n: "<i><div>" + "<b>x</i>" * n):
+        assert seconds(make(16_000)) < 12 * max(seconds(make(4_000)), 0.02)
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "plain"), (3, "u", f"<p>{LONG * 500}</p>")]
+    pages = spark.createDataFrame([(*r, "t", 9) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"][:9], r["n_chars"]) for r in html_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, None, "", 0), (1, None, "", 0), (0, "u", "", 0), (2, "u", "plain", 5), (3, "u", LONG[:9], len(LONG * 500) - 1)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
