@@ -8,9 +8,11 @@ then keeps only the records that the chain reaches, so a record's first line
 quoted inside a payload is never taken for a record.
 
 Defined results: a null payload is empty; a null page_id or url is written as
-an empty field and read back as null; rows of equal page_id are separate
-records (of equal payloads the first written is the response); an empty table
-gives no archive rows; other columns of the input are ignored.
+an empty field and read back as null; repeated rows are separate records, and
+all rows that have the largest page_id of their payload are responses; of equal
+payloads without any page_id all are responses; headers and payloads may have
+any length and take memory in proportion to it; an empty table gives no archive
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
@@ -37,8 +39,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MIN_BYTES = 0
 #: Repeated payloads (rows of about 80 bytes) that are broadcast at most.
 BROADCAST_ROWS = 400_000
-#: Bytes of an archive that one reading task takes, and of the longest header.
-RANGE, HEADER = 8 << 20, 1 << 16
+#: Bytes of an archive that one reading task takes, and that are read at a time beyond them for a header that goes on.
+RANGE, MORE = 8 << 20, 1 << 16
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
@@ -71,8 +73,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def _escaped(column):
-    """A header value without line ends."""
-    return F.coalesce(F.regexp_replace(F.replace(F.replace(column, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), "\n", "%0A"), F.lit(""))
+    """A header value without white space, which a reader would cut off at its ends."""
+    out = F.replace(column, F.lit("%"), F.lit("%25"))
+    for c in "\r\n \t\v\f":
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.coalesce(out, F.lit(""))
 
 
 def record(date: str = "1970-01-01T00:00:00Z"):
@@ -109,11 +114,14 @@ def _uri(path: str) -> str:
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)\r\n", re.I)
 
 
-def candidates(data: bytes, base: int, limit: int, size: int) -> list[tuple[int, int]]:
-    """(offset, successor) of each line in ``data[:limit]`` that starts like a record."""
+def candidates(data: bytes, base: int, limit: int, size: int, more: Callable[[int], bytes] = lambda at: b"") -> list[tuple[int, int]]:
+    """(offset, successor) of each line in ``data[:limit]`` that starts like a record; ``more(at)`` gives the bytes from file offset ``at`` on."""
     found, at = [], data.find(MAGIC)
     while 0 <= at < limit:
         ends = data.find(b"\r\n\r\n", at)
+        while ends < 0 and base + len(data) < size and (rest := more(base + len(data))):
+            data, seen = data + rest, len(data)
+            ends = data.find(b"\r\n\r\n", max(at, seen - 3))
         length = _LENGTH.search(data, at, ends + 2) if ends >= 0 else None
         if length:
             following = base + ends + 4 + int(length[1]) + len(END)
@@ -127,9 +135,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             with _open(_uri(row["path"])) as f:
-                most = min(row["end"] + HEADER, row["size"]) - row["start"]
-                data = f.read_at(most, row["start"])
-            found = candidates(data, row["start"], row["end"] - row["start"], row["size"])
+                step = MORE
+
+                def more(at: int) -> bytes:
+                    nonlocal step
+                    step *= 2
+                    return f.read_at(min(step, row["size"] - at), at)  # noqa: B023
+
+                data = f.read_at(min(row["end"] + MORE, row["size"]) - row["start"], row["start"])
+                found = candidates(data, row["start"], row["end"] - row["start"], row["size"], more)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["path"]] * len(found), pa.string()), pa.array([row["size"]] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
                 names=["path", "size", "offset", "successor"],
@@ -170,13 +184,25 @@ def _page(value: bytes) -> int | None:
     return int(m[1]) if (m := re.fullmatch(rb"<urn:page:(-?\d+)>", value)) else None
 
 
+def _payloads(rows: list[dict]) -> Iterator[tuple[dict, bytes]]:
+    """Each row with its record's bytes: neighbours within RANGE are one read, a longer record is one of its own."""
+    at = 0
+    while at < len(rows):
+        path, start, to = rows[at]["path"], rows[at]["offset"], at + 1
+        while to < len(rows) and rows[to]["path"] == path and rows[to]["successor"] - start <= RANGE:
+            to += 1
+        with _open(_uri(path)) as f:
+            data = f.read_at(rows[to - 1]["successor"] - start, start)
+        for row in rows[at:to]:
+            yield row, data[row["offset"] - start : row["successor"] - start]
+        at = to
+
+
 def _records(with_html: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                with _open(_uri(row["path"])) as f:
-                    data = f.read_at(row["successor"] - row["offset"], row["offset"])
+            out, held = [], 0
+            for row, data in _payloads(batch.to_pylist()):
                 ends = data.index(b"\r\n\r\n")
                 got, block = _fields(data[:ends]), data[ends + 4 : -4]
                 digest = got[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
@@ -187,6 +213,10 @@ def _records(with_html: bool):
                     "page_id": _page(got[b"warc-record-id"]), "url": unquote(got[b"warc-target-uri"].decode()) or None if b"%" in got[b"warc-target-uri"] else got[b"warc-target-uri"].decode() or None,
                     "payload_bytes": int(got[b"x-payload-length"]), "payload_digest": digest, "record_type": kind, "refers_to": _page(got.get(b"warc-refers-to", b"")),
                 } | ({"html": block.decode() if kind == "response" else None} if with_html else {}))
+                held += len(block) if with_html else 0
+                if held > RANGE:
+                    yield pa.RecordBatch.from_pylist(out, schema=_schema(with_html))
+                    out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=_schema(with_html))
 
     return run
