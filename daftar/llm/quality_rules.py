@@ -8,12 +8,15 @@ adding counts) for its language and source, and a text is rejected when they
 lie far above the upper quartile of its own group, measured in interquartile
 ranges. Junk in a group lies above its clean texts, so the fence is counted
 from the first quartile, and the range is bounded by those of the language and
-of all rows: a group with up to half of its rows junk keeps a clean fence.
+of all rows: a group with up to half of its rows junk keeps a clean fence. Small
+groups are drawn towards their language and those towards all rows, by a weight
+that grows with their rows.
 
 Defined results: a null or wordless text has zero counts and fails the base
 rules; null language or source form a group of their own; repeated rows are
-judged one by one; an empty table gives an empty result; other columns of the
-input are ignored.
+judged one by one; odds equal to the fence are kept; a very long text is a slice
+of its own and takes memory in proportion to its length; an empty table gives an
+empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ GAMMA = 1.04
 #: Log odds are too high above q1 + (FENCE + 1) * spread, which is q3 + FENCE * (q3 - q1) where the spread is the group's own.
 #: LEAST keeps the fence open where all rows of the table have the same counts.
 FENCE, LEAST = 3.0, 0.5
-#: Groups of fewer rows than this use the quartiles of their language, then those of all rows.
-MIN_GROUP = 100
+#: Rows that the quartiles of a group's parent count as.
+PRIOR = 100
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
 #: Hits and total of each ratio.
 PARTS = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"))
@@ -154,11 +157,12 @@ def fences(stats: DataFrame) -> DataFrame:
     lang = by_lang.select(F.col("lang").alias("lang_"), F.col("ratio").alias("ratio_"), F.col("q1").alias("l1"), F.col("q3").alias("l3"), F.col("rows").alias("lrows"))
     every = by_all.select(F.col("ratio").alias("ratio_all"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("ratio") == F.col("ratio_")), "left").join(F.broadcast(every), F.col("ratio") == F.col("ratio_all"), "left")
-    pick = lambda o, m, a: F.when(F.col("rows") >= MIN_GROUP, F.col(o)).when(F.col("lrows") >= MIN_GROUP, F.col(m)).otherwise(F.col(a))
-    q1, q3 = pick("q1", "l1", "a1"), pick("q3", "l3", "a3")
-    # a group's own range, shrunk a quarter of the way to its parents'; one wider than theirs may be junk and counts as theirs
-    parent = F.when(F.col("lrows") >= MIN_GROUP, F.least(F.col("l3") - F.col("l1"), F.col("a3") - F.col("a1"))).otherwise(F.col("a3") - F.col("a1"))
-    spread = F.greatest((3 * F.least(q3 - q1, parent) + parent) / 4, F.lit(LEAST))
+    # the more rows, the more a group's quartiles count against its language's, and those against all rows'
+    toward = lambda n, x, parent: (F.col(n) * x + PRIOR * parent) / (F.col(n) + PRIOR)
+    all_range = F.col("a3") - F.col("a1")
+    lang_q1, lang_range = toward("lrows", F.col("l1"), F.col("a1")), toward("lrows", F.least(F.col("l3") - F.col("l1"), all_range), all_range)
+    # a range wider than the parents' may be junk and counts as theirs
+    q1, spread = toward("rows", F.col("q1"), lang_q1), F.greatest(toward("rows", F.least(F.col("q3") - F.col("q1"), lang_range), lang_range), F.lit(LEAST))
     limit = wide.select("lang", "source", "ratio", (q1 + (FENCE + 1) * spread).alias("fence"))
     return limit.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*(F.max(F.when(F.col("ratio") == i, F.col("fence"))).alias(f"max_{r}") for i, r in enumerate(RATIOS)))
 

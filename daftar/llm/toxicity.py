@@ -5,8 +5,8 @@ toxic texts use far more often than others are indicators, and a hash splits
 them into two views. A toxic text's grade for one view's model is the tercile of
 its indicator count in the other view, so no model learns a grade that was made
 of its own features. In each model one weight vector is shared by all
-thresholds; it gives the probability of each grade and the expected severity,
-and a text gets the result of the view in which it is more severe.
+thresholds; it gives the probability of each grade, the views' odds multiply, and
+the severity is the expected grade.
 
 Defined results: null and empty texts have no features and get the severity of
 the intercepts alone; repeated labels of a document take the largest, repeated
@@ -73,6 +73,7 @@ class View:
     kept: np.ndarray
     sign: np.ndarray
     model: Ordinal | None = None
+    prior: float = 0.0  # log odds of toxic rows in the fit
 
     def project(self, bucket: np.ndarray, n: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """log(1 + count) of the kept buckets and, last, of all that point to toxicity; one row per text."""
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[View]:
     weight = np.where(toxic == 1, totals[1] / max((toxic == 1).sum(), 1), totals[0] / max((toxic == 0).sum(), 1))
     for view, own, other in ((views[0], one, two), (views[1], two, one)):
         if len(view.kept):
-            view.model = Ordinal.fit(own, grades(toxic, other[:, -1]), weight / weight.mean())
+            view.model, view.prior = Ordinal.fit(own, grades(toxic, other[:, -1]), weight / weight.mean()), float(np.log(totals[1] / totals[0]))
     return [v for v in views if v.model]
 
 
@@ -180,21 +181,29 @@ def grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, "left"), 0)
 
 
+def together(views: list[View], each: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of the grades from those of the views: odds of being toxic multiply, as for independent views, and grades above 0 are averaged by them."""
+    toxic = [np.clip(1 - p[:, 0], 1e-12, 1 - 1e-12) for p in each]
+    odds = sum(np.log(t / (1 - t)) for t in toxic) - (len(views) - 1) * views[0].prior
+    some = _sigmoid(odds)
+    among = sum(t[:, None] * p[:, 1:] / np.maximum(p[:, 1:].sum(1, keepdims=True), 1e-12) for t, p in zip(toxic, each, strict=True)) / sum(toxic)[:, None]
+    return np.hstack([(1 - some)[:, None], some[:, None] * among])
+
+
 def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to GRADES - 1), grade (most likely), p_toxic, toxic for every document."""
+    """doc_id, severity (expected grade, 0 to GRADES - 1), grade (0, or the most likely one above if p_toxic >= 0.5), p_toxic, toxic for every document."""
     views = fit(docs, labels, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CHUNK):
             p = np.zeros((part.num_rows, GRADES))
             p[:, 0] = 1
-            bucket, first = words(part.column(1))
-            for view in views:
-                own = view.model.probabilities(view.project(bucket, np.ones(len(bucket)), first))
-                more = own @ np.arange(GRADES) > p @ np.arange(GRADES)
-                p[more] = own[more]
+            if views:
+                bucket, first = words(part.column(1))
+                p = together(views, [v.model.probabilities(v.project(bucket, np.ones(len(bucket)), first)) for v in views])
             toxic = 1 - p[:, 0]
-            columns = [part.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)]
+            grade = np.where(toxic >= 0.5, 1 + p[:, 1:].argmax(1), 0).astype(np.int32)
+            columns = [part.column(0), pa.array(p @ np.arange(GRADES)), pa.array(grade), pa.array(toxic), pa.array(toxic >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
