@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, small_batches
 from .words import CHUNK, SpanHash, Words, buffer, covered, lowered, slices, split
 
 #: Windows of so many words; items with fewer words are one window.
@@ -324,6 +324,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, with_text: bool = False
     and joined to the texts.
     """
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = phrase_blocks(benchmark, BLOCK_WORDS)
     group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
@@ -356,6 +357,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text
     rows are joined with the contaminated ones by a hash of the text.
     """
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     blocks = phrase_blocks(benchmark, BLOCK_WORDS)
     group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
     if next(blocks, None) is not None:

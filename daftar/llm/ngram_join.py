@@ -42,13 +42,13 @@ BITS, FREQUENT = 18, 100
 #: Classes of a key that are all paired with each other; keys with more go by stars.
 SMALL = 16
 #: Postings that a task gathers to find hot keys, and the classes of one key among them that make it hot.
-GATHER, HOT = 500_000, 4
+GATHER, HOT = 200_000, 4
 #: Members of a group in one block, and nearest partners of a class that are verified first.
 BLOCK, FIRST = 4_000, 3
 #: Class ids that are broadcast at most, and members of a leader verified in one task.
 BROADCAST_ROWS, TASK_PAIRS = 500_000, 4_000
-#: Classes whose postings a task remembers having emitted.
-SEEN = 200_000
+#: Classes whose postings a task remembers having emitted, and rows that a task hands on at once.
+SEEN, OUT = 50_000, 20_000
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
 POSTING = "key long, id long, info long"
 
 
-def _gathered(keys: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+def _gathered(keys: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Postings with their size, place and two marks in ``info``: bit 0, the key is hot here; bit 1, the row is dealt by its class."""
     key, own = np.concatenate(keys), np.concatenate(ids)
     info = (np.concatenate(sizes) << 32) | (np.concatenate(places) + 1 << 2)
@@ -171,7 +171,8 @@ def _gathered(keys: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndar
     mark = np.where(np.repeat(size, size) >= HOT, 3, 0)
     mark[begin] &= 1  # one row of a hot key goes where the key's other rows are
     info[order] |= mark
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(info)], names=["key", "id", "info"])
+    whole = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(info)], names=["key", "id", "info"])
+    yield from (whole.slice(k, OUT) for k in range(0, len(key), OUT))
 
 
 def _postings(frequent: np.ndarray):
@@ -192,10 +193,10 @@ def _postings(frequent: np.ndarray):
                     to.append(x)
                 rows += len(k)
             if rows >= GATHER:
-                yield _gathered(*held)
+                yield from _gathered(*held)
                 held, rows = ([], [], [], []), 0
         if rows:
-            yield _gathered(*held)
+            yield from _gathered(*held)
 
     return run
 

@@ -13,7 +13,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Spark deletes the shuffle files of a query when it ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of rows that go to a Python worker at once: with long texts the number of rows alone bounds nothing.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size if need be, for results that are computed after an operator has returned."""
+    now = spark.conf.get(BATCH, None)
+    if not now or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,24 +40,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def bounded(spark: SparkSession) -> Iterator[None]:
-    """Queries begun inside leave no shuffle files behind and send Python workers small batches."""
-    before = {k: spark.conf.get(k, None) for k in (CLEAN_UP, BATCH)}
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
-    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[BATCH] or f"{BATCH_BYTES}b")
-    spark.conf.set(BATCH, f"{min(BATCH_BYTES, own)}b")
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and return it as read back, with its path."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    with bounded(spark):
+    small_batches(spark)
+    with cleaned_up(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from .scratch import small_batches
 from .words import CHUNK, SpanHash, buffer, slices
 
 #: Meta symbol for a space, and how many units a worker keeps encoded.
 META = "▁"
-CACHE = 600_000
+CACHE = 300_000
 #: Bytes of units kept at most; a slice may go over it by its own length.
 CACHE_BYTES = 16 << 20
 #: Bytes of text encoded together.
-SLICE = 3 * CHUNK
+SLICE = CHUNK
 NONE = np.int64(2**40)
 
 
@@ -354,6 +355,7 @@ def encode(docs: DataFrame, model: str | None = None, digests: bool = False) ->
     ``model`` is a path that every executor can open; by default the public 32k model.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, n_tokens long, ids array<int>, decoded string"
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_encode(model or default_model(), digests), schema)
 
@@ -363,6 +365,7 @@ def encode_rows(docs: DataFrame, model: str | None = None, column: str = "text")
     path, place = model or default_model(), docs.columns.index(column)
     schema = StructType([*(f for f in docs.schema if f.name not in ("n_tokens", "ids")), StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
     rows = docs.drop("n_tokens", "ids")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

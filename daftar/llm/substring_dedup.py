@@ -39,9 +39,9 @@ from .words import CHUNK, covered, mix, slices, windows, words_of
 WINDOW, GROUP, SHARD_WORDS = 13, 5, 20_000
 REACH = WINDOW - GROUP + 1
 #: Keys that a task gathers to find hot ones, and the documents of one key among them that make it hot.
-GATHER, HOT = 500_000, 4
-#: Segments a task remembers, and rows that are broadcast at most.
-SEEN, BROADCAST_ROWS = 400_000, 200_000
+GATHER, HOT = 200_000, 4
+#: Segments a task remembers, rows that it hands on at once, and rows that are broadcast at most.
+SEEN, OUT, BROADCAST_ROWS = 100_000, 20_000, 200_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +64,7 @@ def minimisers(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return best[begin], start[begin], np.diff(np.append(begin, len(start)))
 
 
-def _gathered(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+def _gathered(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, mark) with the marks of a hot key: 1, it is hot here; 3, the row is also dealt by its document."""
     key, doc = np.concatenate(keys), np.concatenate(docs)
     order = np.argsort(key, kind="stable")
@@ -73,7 +73,8 @@ def _gathered(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
     size = np.diff(np.append(begin, len(key)))
     mark = np.where(np.repeat(size, size) >= HOT, 3, 0).astype(np.int32)
     mark[begin] &= 1
-    return pa.RecordBatch.from_arrays([pa.array(ordered.view(np.int64)), pa.array(doc[order]), pa.array(mark)], names=["key", "doc_id", "mark"])
+    whole = pa.RecordBatch.from_arrays([pa.array(ordered.view(np.int64)), pa.array(doc[order]), pa.array(mark)], names=["key", "doc_id", "mark"])
+    yield from (whole.slice(k, OUT) for k in range(0, len(key), OUT))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys.append(key[once]), docs.append(np.asarray(part.column(0).fill_null(0))[doc[once]])
         rows += len(once)
         if rows >= GATHER:
-            yield _gathered(keys, docs)
+            yield from _gathered(keys, docs)
             keys, docs, rows = [], [], 0
     if rows:
-        yield _gathered(keys, docs)
+        yield from _gathered(keys, docs)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
