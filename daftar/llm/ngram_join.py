@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import least_labels
+from .components import ROWS, least_labels
 from .scratch import discard, materialize
 from .words import CHUNK, U, buffer, lowered, mix, slices, split, windows
 
@@ -350,12 +350,13 @@ def verified(some: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
     of its pairs; a leader's pairs are dealt over tasks.
     """
     degree = some.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    degree, degree_path = materialize(degree, "degree")
+    width = some.count() // ROWS + 1  # narrow tables of few rows go to few files
+    degree, degree_path = materialize(degree.coalesce(width), "degree")
     side = lambda k: _few(degree).select(F.col("x").alias(k), F.col("d").alias(f"d{k}"))
     ranked = some.join(side("a"), "a").join(side("b"), "b")
     swap = F.col("db") > F.col("da")
     led = ranked.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
-    dealt, dealt_path = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))), "dealt")
+    dealt, dealt_path = materialize(led.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / TASK_PAIRS))).coalesce(width), "dealt")
     heads = dealt.select("a", F.lit(None).cast("long").alias("b"), "salt", F.col("a").alias("whose")).distinct()
     moves = dealt.select("a", "b", "salt", F.col("b").alias("whose")).unionByName(heads)
     # few moves are broadcast to the sets; otherwise only the sets that have a pair are shuffled
@@ -462,7 +463,7 @@ def merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
     joined, joined_path = least_labels(over)
     ends = labels.select("node", "label").unionAll(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
     new = ends.join(joined.select(F.col("node").alias("m_node"), F.col("label").alias("m_label")), F.col("label") == F.col("m_node"), "left").select("node", F.coalesce("m_label", "label").alias("label"))
-    new, new_path = materialize(new, "labels")
+    new, new_path = materialize(new.coalesce(new.count() // ROWS + 1), "labels")
     return new, [joined_path, new_path]
 
 
