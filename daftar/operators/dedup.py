@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import empty_to_null
 from .joins import anti_keys, near_pairs
+from .shared import cut
 
 
 def key_edges(df: DataFrame, keys: Sequence[Column], ord_: str = "ord") -> DataFrame:
@@ -29,38 +30,19 @@ def key_edges(df: DataFrame, keys: Sequence[Column], ord_: str = "ord") -> DataF
     return out.distinct()
 
 
-def components(edges: DataFrame, a: str = "later", b: str = "earlier", most: int = 30) -> DataFrame:
-    """(node, component) by least-label propagation over a table of edges; groups here are small."""
+def components(edges: DataFrame, a: str = "later", b: str = "earlier") -> DataFrame:
+    """(node, component) by least-label propagation with pointer jumping over a table of edges, until nothing moves."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     both = cut(both)
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    for _ in range(most):
+    while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
         moved = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
         jump = moved.select(F.col("node").alias("j"), F.col("component").alias("jc"))
         moved = cut(moved.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", "jc").alias("component"), "moved"))
         labels = moved.select("node", "component")
         if not moved.filter("moved").limit(1).count():
-            break
-    return labels
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
-
-    It also ends an expression tree: columns that later rules read many times
-    are computed once.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="daftar-")
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+            return labels
 
 
 def greedy(df: DataFrame, keys: Mapping[str, Column], near_title: str | None = None, adaptive: bool = False, ord_: str = "ord") -> DataFrame:

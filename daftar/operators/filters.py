@@ -71,12 +71,19 @@ def equals_or_all(column: str, value: str) -> Column:
 
 
 def tokens_and(haystack: Column, query: str, profile=SEARCH) -> Column:
-    """Every token of the normalised query is a substring of the normalised haystack; an empty query holds."""
-    found = F.lit(True)
-    for token in (py_normalize(query, profile) or "").split(" "):
-        if token:
-            found = found & not_null(haystack.contains(token))
-    return found
+    """Every token of the normalised query is a substring of the normalised haystack; an empty query holds.
+
+    The haystack is the one element of an array, so that it is computed once for all tokens.
+    """
+    words = [t for t in (py_normalize(query, profile) or "").split(" ") if t]
+
+    def holds(key: Column) -> Column:
+        found = key.contains(words[0])
+        for word in words[1:]:
+            found = found & key.contains(word)
+        return found
+
+    return not_null(F.exists(F.array(haystack), holds)) if words else F.lit(True)
 
 
 def default_view(title_key: Column, word: str = DEFAULT_TITLE) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_key, empty_to_null
+from .shared import written
 
 #: A side of an anti-join is broadcast up to so many keys; beyond, Spark shuffles.
 BROADCAST_KEYS = 200_000
@@ -33,12 +34,23 @@ def prioritized_union(batches: Sequence[DataFrame], keys: Sequence[Mapping[str,
     """Batches in order, each without rows that share a key with what was accepted before it.
 
     ``keys[0]`` is ignored: the first batch is taken whole. Rows of one batch
-    never remove each other.
+    never remove each other. A key's name stands for one expression in all
+    batches. Each batch's accepted rows are written with their keys, so a step
+    scans the keys before it once, and plans stay the same size however many
+    batches there are.
     """
-    out = batches[0]
-    for batch, by in zip(batches[1:], keys[1:], strict=True):
-        out = out.unionByName(anti_keys(batch, out, by))
-    return out
+    spark, columns = batches[0].sparkSession, batches[0].columns
+    every = {name: key for by in reversed(keys) for name, key in by.items()}
+    paths: list[str] = []
+    for batch, by in zip(batches, keys, strict=True):
+        own = batch.select(*columns, *(empty_to_null(key).alias(f"_k_{name}") for name, key in every.items()))
+        for name in by if paths else ():
+            column = f"_k_{name}"
+            taken = spark.read.schema(own.schema).parquet(*paths).select(F.col(column).alias("_key")).filter("_key is not null").distinct()
+            own = own.join(taken, F.col(column) == F.col("_key"), "left_anti")
+        accepted, path = written(own, "batch")
+        paths.append(path)
+    return spark.read.schema(accepted.schema).parquet(*paths).select(*columns)
 
 
 def flag(df: DataFrame, against: DataFrame, key: Column, name: str) -> DataFrame:
@@ -76,6 +88,11 @@ def common_keys(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
     return keys_of(left, key).intersect(keys_of(right, key)).agg(F.count("*").alias("n"))
 
 
+def overlap(left: DataFrame, right: DataFrame, on: str = "id") -> DataFrame:
+    """Number of rows of ``left`` whose key ``right`` has too."""
+    return left.join(right.select(on), on, "left_semi").agg(F.count("*").alias("n"))
+
+
 def retract(current: DataFrame, added_before: DataFrame, eligible: DataFrame, on: str = "id") -> DataFrame:
     """``current`` without rows that were added before and are no longer eligible."""
     gone = added_before.select(on).distinct().join(eligible.select(on), on, "left_anti")

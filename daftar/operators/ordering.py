@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a
+from .shared import written
 
 PAGE_SIZE = 12
 
@@ -32,6 +33,11 @@ def first_if(df: DataFrame, wanted: Column, *then: str) -> DataFrame:
     return df.orderBy(F.when(wanted, 0).otherwise(1), *(then or ("ord",)))
 
 
+def by_count(df: DataFrame, n: str = "n") -> DataFrame:
+    """Largest counts first: ``_less`` is the column to sort by."""
+    return df.withColumn("_less", -F.col(n))
+
+
 @dataclass(frozen=True)
 class Page:
     rows: DataFrame
@@ -73,7 +79,8 @@ def row_numbers(df: DataFrame, *order: str, name: str = "row_number") -> DataFra
     The rows are range-partitioned; partition sizes (one number each) give every
     partition its offset.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written, since a partition's number must be the same wherever it is read
+    parts, _ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "parts")
     inside = Window.partitionBy("_part").orderBy(*order)
     numbered = parts.withColumn("_at", F.row_number().over(inside) - 1)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -86,10 +93,24 @@ def first_per_group(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def running_bytes(text: str, ord_: str, group: list[str]) -> Column:
-    """Bytes of this and newer lines, one more for each line end."""
-    w = Window.partitionBy(*group).orderBy(F.col(ord_).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(F.octet_length(F.col(text)) + 1).over(w)
+def running_sum(df: DataFrame, value: Column, group: list[str], *order: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over this and earlier rows of its group in a total order.
+
+    Groups may be few and large: rows are range-partitioned by group and order,
+    and each partition adds what earlier partitions hold of its groups (one
+    number for each).
+    """
+    keys = [F.col(g) for g in group]
+    parts, _ = written(df.withColumn("_value", value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy("_part", *group).agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g_{g}") for g in group), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    out = parts.withColumn("_run", F.sum("_value").over(inside)).join(before, same)
+    return out.withColumn(name, F.col("_run") + F.col("_before")).select(*df.columns, name)
 
 
 def seen_before(keys: list[str], *order) -> Column:

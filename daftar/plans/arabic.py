@@ -17,7 +17,10 @@ from ..functions import normalize as N
 from ..functions import packs
 from ..functions import text as T
 from ..functions.regexjs import SPACES
-from ..operators import filters, projections, rules
+from ..operators import aggregates as agg
+from ..operators import early_rules, filters, joins, ordering, projections, rules
+from ..streaming import telemetry
+from . import search
 from .queries import query, table
 
 FIELDS = ("title", "archive_title", "identifier", "url", "error", "language", "subject", "description", "creator", "category")
@@ -603,3 +606,58 @@ def academies_adapter(spark, sf):
 @query(f"with d as (select doc_id, case when doc_id % 5 = 0 then 'غير محدد' else lang end as lang, case when doc_id % 2 = 0 then 'u' else '' end as url from documents) select 'literary-clubs-' || doc_id as id, nullif(lang, 'غير محدد') as author, url, {_INSTITUTION.format(kind=q('الأندية الأدبية'), extra=', ' + q('مكان'))} as tags from d")
 def literary_clubs_adapter(spark, sf):
     return projections.literary_clubs(institutions(spark, sf, "club")).select("id", "author", F.col("sourceUrl").alias("url"), joined(F.col("tags")).alias("tags"))
+
+
+# Superseded criteria
+_c1, _c2 = (sql_trim(sql_steps(sql_squeeze("coalesce(title, '')"), s)) for s in (early_rules.TITLE_1, early_rules.TITLE_2))
+_light = lambda c: sql_normalize(f"coalesce({c}, '')", N.LIGHT_BUILDER)
+_deep = lambda c: sql_normalize(f"coalesce({c}, '')", N.DIWAN)
+_says = lambda c: sql_word(_light(c), "ديوان")
+_k2, _context2 = _deep(_c2), f"({_deep('subject')} || ' ' || {_deep('description')})"
+_beside2 = f"(len(string_split({_k2}, ' ')) >= 2 and (contains({_context2}, 'ديوان ' || {_k2}) or contains({_context2}, {_k2} || ' ديوان')))"
+_before3 = f"(length({_k2}) > 3 and (contains({_deep('subject')}, 'ديوان ' || {_k2}) or contains({_deep('description')}, 'ديوان ' || {_k2})))"
+_poetic = lambda c, p: sql_test(c, (p, ""))
+_sql_reason_1 = sql_first(list(zip((f"{_c1} = ''", f"not ({_says(_c1)} or {_says('subject')} or {_says('description')})", _poetic(_light(_c1), early_rules.NOT_ALONE_1), _poetic(_light(_c1), early_rules.CONTAINER_1), f"not {_poetic(_light(sql_join('title', 'subject', 'description')), early_rules.POETRY_1)}"), early_rules.REASONS_1, strict=True)))
+_sql_reason_2 = sql_first(list(zip((f"{_c2} = ''", f"not {sql_arabic_text(_c2, foreign=None)}", f"not ({sql_word(_k2, 'ديوان')} or {_beside2})", f"not {_poetic(_context2, early_rules.POETRY_2)}", _poetic(_k2, early_rules.NOT_DIWAN_2)), early_rules.REASONS_2, strict=True)))
+_sql_reason_3 = sql_first(list(zip((f"{_c2} = ''", f"not {sql_arabic_text(_c2, foreign=None)}", f"not ({sql_word(_k2, 'ديوان')} or {_before3})", f"not {_poetic(sql_join(_deep('subject'), _deep('description'), _k2), early_rules.POETRY_2)}", _poetic(_k2, early_rules.NOT_DIWAN_3)), early_rules.REASONS_3, strict=True)))
+_fields = lambda: (col("title"), col("subject"), col("description"))
+on_records("diwan_reason_v1", {"reason": (lambda: early_rules.reason_1(*_fields()), _sql_reason_1), "basis": (lambda: early_rules.basis_1(*_fields()), f"case when {_says(_c1)} then 'العنوان' when {_says('subject')} then 'الموضوع' when {_says('description')} then 'الوصف' else '' end")})
+on_records("diwan_reason_v2", {"reason": (lambda: early_rules.reason_2(*_fields()), _sql_reason_2)})
+on_records("diwan_reason_v3", {"reason": (lambda: early_rules.reason_3(*_fields()), _sql_reason_3)})
+on_records("diwan_score_v1", {"score": (lambda: early_rules.score_1(*_fields(), col("creator"), F.try_element_at("language", F.lit(1))), f"case when {_says(_c1)} then 8 else 0 end + case when {_says('subject')} then 4 else 0 end + case when {_says('description')} then 3 else 0 end + case when {_person('creator')} <> '' then 3 else 0 end + case when length(coalesce(description, '')) > 40 then 2 when length(coalesce(description, '')) > 0 then 1 else 0 end + case when length(subject) > 10 then 1 else 0 end + case when lower(language[1]) = 'ara' then 1 else 0 end")})
+_part2 = sql_squeeze(sql_steps(sql_trim(sql_steps(sql_normalize(_c2, N.DIWAN), [(r"^\d+\s*", "", "")])), [(early_rules.PART_2, "", " ")]))
+_end2 = f"regexp_extract({_part2}, '(?:^|\\s)(ديوان\\s+.+)$', 1)"
+on_records("canonical_title_v2", {"title": (lambda: early_rules.canonical_title_2(col("title")), sql_squeeze(sql_steps(f"case when {_end2} <> '' then {_end2} else {_part2} end", [(early_rules.EDITION_2, "", "")])))})
+_names1 = [sql_tags([(sql_test(_tkey, (p, "")), n) for n, p in some]) for some in (early_rules.LINGUISTIC, early_rules.LITERARY)]
+_own1 = f"list_filter({_value(list(early_rules.NAMED_TAGS))}, lambda v: list_contains({_names1[0]}, v))"
+on_records("thesis_selection_v1", {
+    "linguistic": (lambda: joined(early_rules.thesis_names_1(col("title"))[0]), sql_joined(_names1[0])), "literary": (lambda: joined(early_rules.thesis_names_1(col("title"))[1]), sql_joined(_names1[1])),
+    "tags": (lambda: joined(early_rules.thesis_tags_1(col("title"))), f"case when len({_names1[0]}) > 0 then case when len({_own1}) > 0 then {sql_joined(_own1)} else {q(early_rules.OTHER_TAG)} end when len({_names1[1]}) > 0 then {q(early_rules.LITERARY[0][0])} end"),
+})
+
+
+@query(f"with {CATALOG} select doc_id from c where kind = 'academies' and doc_id % 4 <> 0 and doc_id % 3 = 1")
+def facet_lookup(spark, sf):
+    """Facets of a kind lie in a table of their own; rows without an entry there are left out."""
+    entries = table(spark, sf, "documents").filter("doc_id % 4 <> 0").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 3).cast("string").alias("country"))
+    return search.by_facet_table(catalog_rows(spark, sf), entries, "academies", {"country": "1", "year": "all"}).select("doc_id")
+
+
+@query("select value, n, row_number() over (order by n desc, value) - 1 as place from (select source as value, count(*) as n from documents group by 1)")
+def count_order(spark, sf):
+    counts = agg.histogram(table(spark, sf, "documents"), F.col("source"), "x")
+    return ordering.row_numbers(ordering.by_count(counts), "_less", "value", name="place").select("value", "n", F.col("place").cast("long").alias("place"))
+
+
+@query("select count(*) as n from documents where doc_id % 3 = 0 and doc_id in (select doc_id from labels)")
+def merge_overlap(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return joins.overlap(d.filter("id % 3 = 0"), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
+
+
+@query("select event_id from events where event_type <> 'error' and props not like '%1%' qualify row_number() over (partition by event_type order by event_id desc) <= 40")
+def requeued_buffer(spark, sf):
+    """Entries of a failed flush come back before the newer ones and the buffers are cut to their newest; ignored ones are gone."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "/__manus__/logs").otherwise("/").alias("url"), F.when(F.col("props").contains("1"), "a no-record b").otherwise("x").alias("classes"))
+    seen = telemetry.recorded(e, "url", "classes", "no-record")
+    return telemetry.requeue(seen.filter("event_id % 2 = 0"), seen.filter("event_id % 2 = 1"), ["event_type"], 40, "event_id").select("event_id")

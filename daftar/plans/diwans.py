@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import REFINE, UPLOAD, normalize
 from ..functions.text import CATALOG_TITLE, REFINE_TITLE, canonical_diwan_title, canonical_person, clean_catalog_title, clean_person, clean_title, identity, identity_material
 from ..operators.aggregates import keep_best, last_wins, merge_identity
-from ..operators.dedup import cut
+from ..operators.shared import cut
 from ..operators.filters import is_texts
 from ..operators.joins import anti_keys, retract
 from ..operators.rules import confidence, diwan_evidence, diwan_reason, diwan_score, merge_reason, poet, refine_reason, upload_reason

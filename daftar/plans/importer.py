@@ -14,10 +14,11 @@ from ..functions.text import (
     textify, title_author_key, truncated_title, url_key, value_list,
 )
 from ..operators.aggregates import audit, fixed_counts, tag_counts
-from ..operators.dedup import against_catalog, cut, greedy
+from ..operators.dedup import against_catalog, greedy
 from ..operators.filters import all_arabic_languages, is_pdf_message
 from ..operators.joins import first_reason
 from ..operators.projections import archive_candidate, better_title, chosen_title, list_candidate
+from ..operators.shared import cut
 from ..operators.rules import (
     canonical_keys, list_reason, list_tags, literature_reason, literature_tags, primary_category, subject_reason, subject_tags, thesis_level, thesis_signals, with_fallback,
 )

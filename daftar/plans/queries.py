@@ -601,3 +601,33 @@ def upsert_union_whole(spark, sf):
     old = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
     new = ordering.row_numbers(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.upper("c_name"), F.lit("!")).alias("name")), "id", name="ord")
     return upsert_in_order(old, new, "id").select("id", "name", F.col("ord").cast("long").alias("ord"))
+
+
+def assembly_sql() -> str:
+    """All batches of the catalog one after another: id and url keys always, the normalised title where the batch lists it."""
+    from .assemble import ORDER
+
+    key = f"lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))"
+    ctes = [f"d as (select doc_id, doc_id % {len(ORDER)} as b, cast(doc_id % 701 as varchar) as id, case when doc_id % 5 > 0 then source || cast(n_chars % 97 as varchar) || lang else '' end as url, {LINE} as title from documents)", f"k as (select doc_id, b, nullif(id, '') as id, nullif(url, '') as url, nullif({key}, '') as title from d)", "a0 as (select * from k where b = 0)"]
+    for i, batch in enumerate(ORDER[1:], 1):
+        tests = " and ".join(f"({c} is null or {c} not in (select {c} from a{i - 1} where {c} is not null))" for c in batch.keys)
+        ctes.append(f"a{i} as materialized (select * from a{i - 1} union all select * from k where b = {i} and {tests})")
+    return f"with {', '.join(ctes)} select doc_id, b from a{len(ORDER) - 1}"
+
+
+@query(assembly_sql())
+def catalog_assembly(spark, sf):
+    """The catalog's whole order of batches."""
+    from .assemble import ORDER, assemble
+
+    d = table(spark, sf, "documents").select(
+        "doc_id", (F.col("doc_id") % len(ORDER)).alias("b"), (F.col("doc_id") % 701).cast("string").alias("id"),
+        F.when(F.col("doc_id") % 5 > 0, F.concat("source", (F.col("n_chars") % 97).cast("string"), "lang")).otherwise("").alias("sourceUrl"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+    )
+    return assemble({batch.name: d.filter(F.col("b") == k) for k, batch in enumerate(ORDER)}).select("doc_id", "b")
+
+
+@query("with r as (select mod(conv_id, 3) as log, conv_id, turn, sum(strlen(text) + 1) over (partition by mod(conv_id, 3) order by conv_id, turn) as run from conversations) select conv_id, turn, cast(run as bigint) as run from r")
+def running_sums(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("log", F.col("conv_id") % 3)
+    return ordering.running_sum(c, F.octet_length("text") + 1, ["log"], F.col("conv_id"), F.col("turn"), name="run").select("conv_id", "turn", F.col("run").cast("long").alias("run"))

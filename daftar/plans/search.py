@@ -46,6 +46,31 @@ def results(catalog: DataFrame, r: Request) -> DataFrame:
     return catalog.filter(category(r.category, r.bilingual_ids) & facets(r.facets) & tokens_and(F.col("search_key"), r.query) & stat(r.stat))
 
 
+def by_facet_table(catalog: DataFrame, entries: DataFrame, kind: str, chosen: Mapping[str, str], key: str = "id") -> DataFrame:
+    """Rows of a category whose entry in a table of facets meets the choices; rows without an entry are left out."""
+    known = {c: v for c, v in chosen.items() if v != ALL}
+    return catalog.filter(F.col("primaryCategory") == kind).join(entries.filter(facets(known)).select(key), key, "left_semi")
+
+
+class Views:
+    """Results of requests over one catalog, kept while the catalog and the request stay the same."""
+
+    def __init__(self, catalog: DataFrame):
+        self.catalog, self.kept = catalog, {}
+
+    def results(self, r: Request) -> DataFrame:
+        key = (r.query.strip(), r.category, r.stat, tuple(sorted(r.facets.items())), r.bilingual_ids)
+        if key not in self.kept:
+            self.kept[key] = results(self.catalog, r).persist()
+        return self.kept[key]
+
+    def replace(self, catalog: DataFrame) -> None:
+        """A new catalog: what was kept is released."""
+        for df in self.kept.values():
+            df.unpersist()
+        self.catalog, self.kept = catalog, {}
+
+
 def ordered_page(catalog: DataFrame, r: Request) -> Page:
     """A page of a request: clubs of the priority country first, otherwise the catalog's order."""
     rows = results(catalog, r)

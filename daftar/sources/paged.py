@@ -6,6 +6,7 @@ unless a caller asks for it.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import urllib.parse
@@ -50,10 +51,12 @@ class _Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """One partition per query and page.
+    """One partition per query and page, or per query where a page decides about the next.
 
-    ``paging``: ``fixed`` plans maxPages; ``count`` asks numFound first and plans
-    as many pages as it needs, up to maxResults; ``single`` one large page.
+    ``paging``: ``fixed`` reads pages of a query until a short one or maxPages;
+    ``cursor`` until as many results as numFound or maxResults have come;
+    ``count`` asks numFound first and plans as many pages as it needs, up to
+    maxResults, to be read side by side; ``single`` is one large page.
     """
 
     def __init__(self, options, fetch: Callable[[str], dict] = http_json):
@@ -70,13 +73,33 @@ class PagedReader(DataSourceReader):
         return payload["response"]
 
     def partitions(self):
-        pages = {"single": lambda q: 1, "fixed": lambda q: self.max_pages, "count": lambda q: -(-min(int(self.get(q, 1, 1)["numFound"]), self.max_results) // self.rows)}[self.paging]
+        if self.paging in ("fixed", "cursor"):
+            return [_Page(q, 0) for q in self.queries]
+        pages = {"single": lambda q: 1, "count": lambda q: -(-min(int(self.get(q, 1, 1)["numFound"]), self.max_results) // self.rows)}[self.paging]
         return [_Page(q, p) for q in self.queries for p in range(1, pages(q) + 1)]
 
+    def pages(self, query: str) -> Iterator[tuple[int, list]]:
+        """The pages of a query, one after another, until the paging ends them."""
+        seen = 0
+        for page in itertools.count(1):
+            time.sleep(self.pause)
+            answer = self.get(query, page)
+            docs = answer["docs"]
+            most = min(int(answer["numFound"]), self.max_results) if self.paging == "cursor" else None
+            yield page, docs if most is None else docs[: most - seen]
+            seen += len(docs)
+            if not docs or (seen >= most if most is not None else len(docs) < self.rows or page >= self.max_pages):
+                return
+
     def read(self, partition: _Page) -> Iterator[tuple]:
-        time.sleep(self.pause)
-        for k, doc in enumerate(self.get(partition.query, partition.page)["docs"]):
-            yield partition.query, partition.page, k, json.dumps(doc, ensure_ascii=False)
+        if partition.page:
+            time.sleep(self.pause)
+            pages = [(partition.page, self.get(partition.query, partition.page)["docs"])]
+        else:
+            pages = self.pages(partition.query)
+        for page, docs in pages:
+            for k, doc in enumerate(docs):
+                yield partition.query, page, k, json.dumps(doc, ensure_ascii=False)
 
 
 class PagedSearch(DataSource):
@@ -93,6 +116,15 @@ class PagedSearch(DataSource):
         return PagedReader(self.options)
 
 
+def pages_until_empty(fetch: Callable[[int], str], cards: Callable[[str], list], most: int = 1000) -> Iterator[tuple[int, str]]:
+    """(number, html) of the pages of a list, until the first that has no cards."""
+    for page in range(1, most + 1):
+        html = fetch(page)
+        if not cards(html):
+            return
+        yield page, html
+
+
 def cursor_pages(fetch: Callable[[str | None], dict], most: int = MAX_RESULTS) -> Iterator[dict]:
     """Items of a cursor interface, request after request, until it ends or ``most`` are read."""
     cursor, seen = None, 0

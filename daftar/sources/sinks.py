@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import last_wins
-from ..operators.ordering import running_bytes
+from ..operators.ordering import running_sum
 
 # --- fixed values: size of a log and the share kept when it is trimmed ---
 LOG_CAP, LOG_KEEP = 1024 * 1024, 0.6
@@ -54,5 +54,6 @@ def log_line(entry: Column, at: Column) -> Column:
 def trim_log(lines: DataFrame, text: str, ord_: str, group: Sequence[str], cap: int = LOG_CAP, keep: float = LOG_KEEP) -> DataFrame:
     """Logs over ``cap`` bytes keep their newest lines of at most ``keep`` of it; others stay whole."""
     size = lines.groupBy(*group).agg(F.sum(F.octet_length(F.col(text)) + 1).alias("_size"))
-    out = lines.withColumn("_run", running_bytes(text, ord_, list(group))).join(size, list(group))
-    return out.filter((F.col("_size") <= cap) | (F.col("_run") <= int(cap * keep))).drop("_run", "_size")
+    run = running_sum(lines, F.octet_length(F.col(text)) + 1, list(group), F.col(ord_).desc(), name="_running")
+    out = run.join(F.broadcast(size), list(group))  # one row for each log
+    return out.filter((F.col("_size") <= cap) | (F.col("_running") <= int(cap * keep))).select(*lines.columns)

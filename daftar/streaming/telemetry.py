@@ -87,6 +87,17 @@ def own_traffic(url: Column) -> Column:
     return F.coalesce(url.contains(OWN_TRAFFIC), F.lit(False))
 
 
+def recorded(df: DataFrame, url: str, classes: str, marker: str) -> DataFrame:
+    """Entries that are neither the collector's own traffic nor inside an element marked as not recorded (``classes`` of it and all around it)."""
+    ignored = F.array_contains(F.split(F.coalesce(F.col(classes), F.lit("")), r"\s+"), marker)
+    return df.filter(~own_traffic(F.col(url)) & ~ignored)
+
+
+def requeue(failed: DataFrame, pending: DataFrame, group: list[str], n: int, *order: str) -> DataFrame:
+    """Buffers after a failed flush: its entries before the newer ones, each buffer cut to its newest ``n``."""
+    return newest(failed.unionByName(pending), group, n, *order)
+
+
 def network_errors(requests: DataFrame) -> DataFrame:
     """An error event for each failed or refused request."""
     bad = (F.col("status") >= 400) | F.col("error").isNotNull()

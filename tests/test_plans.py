@@ -88,6 +88,39 @@ def test_html_cards(spark):
     assert rows == [(1, 0, "ديوان أ", "/ar/1", "شاعر", 3, 120)]
 
 
+@pytest.mark.parametrize(("paging", "most", "asked", "got"), [("fixed", 9, [1, 2, 3], "abcde"), ("fixed", 2, [1, 2], "abcd"), ("cursor", 9, [1, 2, 3], "abcde")])
+def test_pages_end_by_themselves(paging, most, asked, got):
+    """Pages of two, the third one short: no page after it is asked for."""
+    pages, seen = {1: "ab", 2: "cd", 3: "e", 4: ""}, []
+
+    def fetch(url):
+        seen.append(int(url.split("page=")[1].split("&")[0]))
+        return {"response": {"numFound": 5, "docs": [{"identifier": x} for x in pages[seen[-1]]]}}
+
+    reader = paged.PagedReader({"url": "http://stub", "queries": '["q"]', "rows": "2", "paging": paging, "maxPages": str(most), "pauseSeconds": "0"}, fetch)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert "".join(json.loads(r[3])["identifier"] for r in rows) == got and seen == asked
+    limited = paged.PagedReader({"url": "http://stub", "queries": '["q"]', "rows": "2", "paging": "cursor", "maxResults": "3", "pauseSeconds": "0"}, fetch)
+    assert "".join(json.loads(r[3])["identifier"] for p in limited.partitions() for r in limited.read(p)) == "abc"
+    assert list(paged.pages_until_empty(pages.get, list)) == [(1, "ab"), (2, "cd"), (3, "e")]
+
+
+def test_views_are_kept_until_the_catalog_changes(catalog):
+    views = search.Views(catalog)
+    first = views.results(search.Request(query="النحو"))
+    assert views.results(search.Request(query="النحو ")) is first and views.results(search.Request(query="صرف")) is not first
+    views.replace(catalog)
+    assert not first.storageLevel.useMemory and views.results(search.Request(query="النحو")) is not first
+
+
+def test_all_batches_are_planned_in_linear_size(spark):
+    base = frame(spark, [record(str(k), f"عنوان {k}", f"u{k}") for k in range(3)])
+    batches = {b.name: base.withColumn("id", F.concat("id", F.lit(b.name))).withColumn("sourceUrl", F.concat("sourceUrl", F.lit(b.name))) for b in assemble.ORDER}
+    out = assemble.assemble(batches)
+    titled = sum("title" in b.keys for b in assemble.ORDER)
+    assert out.count() == 3 * (len(assemble.ORDER) - titled) and out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 20
+
+
 def test_paged_source_and_hydration(spark):
     pages = {1: ["a", "b"], 2: ["c"]}
     fetch = lambda url: {"response": {"numFound": 3, "docs": [{"identifier": x} for x in pages[int(url.split("page=")[1].split("&")[0])]]}}
