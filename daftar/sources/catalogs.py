@@ -47,7 +47,7 @@ def read_title_groups(spark: SparkSession, path: str, field: str = "titles_by_ca
     text = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", f"$.{field}"), MapType(StringType(), StringType())).alias("m"))
     groups = text.select(F.posexplode("m").alias("g", "sourceCategory", "raw")).filter(F.col("raw").startswith("["))
     rows = groups.select("g", "sourceCategory", F.posexplode(F.from_json("raw", "array<string>")).alias("k", "title"))
-    return rows.select("sourceCategory", "title", (F.col("g") * 1_000_000 + F.col("k")).cast("long").alias("ord"))
+    return rows.select("sourceCategory", "title", (F.shiftleft(F.col("g").cast("long"), 32) + F.col("k")).alias("ord"))
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -130,6 +130,12 @@ def html_cards(pages: DataFrame, html: str = "html", key: str = "page_id") -> Da
     return rows.select(F.col("page").alias(key), "place", squeeze(F.col("title")).alias("title"), "relativePath", F.nullif(squeeze(F.col("author")), F.lit("")).alias("author"), number(VOLUMES).alias("volumes"), number(PAGES).alias("pages"))
 
 
+def read_log_newest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, line) of capped logs; ``place`` counts from the newest line, 0, so sorting by it reads newest first."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split("value", "\n"), lambda x: x != "").alias("lines"))
+    return whole.select("file", F.posexplode(F.reverse("lines")).alias("place", "line"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Lines of a log; with a schema, the JSON after each line's time stamp."""
     lines = spark.read.text(path).select(F.col("value").alias("line"))
