@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from daftar.llm.decontaminate import drop_contaminated
 from daftar.llm.ngram_join import keep_one
-from daftar.llm.pii import pseudonymize
+from daftar.llm.pii import DEFAULT_KEY, pseudonymize
 from daftar.llm.quality_classifier import keep_quality
 from daftar.llm.scratch import materialize
 from daftar.llm.sentencepiece_bpe import encode_rows
 
+#: The session's setting with the secret key of the pseudonyms; without it a public key for tests is used.
+PII_KEY = "spark.daftar.pii.key"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -34,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for private data; n_chars follows the text."""
-    return pseudonymize(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with pseudonyms for private data, under the session's key; n_chars follows the text."""
+    return pseudonymize(docs, spark.conf.get(PII_KEY, DEFAULT_KEY)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", tokens),
 ]
 
-#: No SQL expresses the classifier; tests compare run() with brute force.
+#: No SQL expresses the classifier; tests compare run() with the same steps in plain Python.
 ORACLE_SQL = None
 
 
