@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 LINE = "split_part(text, chr(10), 1)"
-KEY = duckdb_latin(LINE)
+TEXT_KEY = duckdb_latin("text")
 
 
 def lines(spark, sf) -> DataFrame:
@@ -46,9 +46,21 @@ def lines(spark, sf) -> DataFrame:
     return d.withColumn("key", normalize(F.col("title"), LATIN))
 
 
-@query(f"select doc_id, {KEY} as key, length({KEY}) as n from documents")
-def normalize_text(spark, sf, rows=lines):
-    return rows(spark, sf).select("doc_id", "key", F.length("key").cast("long").alias("n"))
+def texts(spark, sf) -> DataFrame:
+    """Documents by their whole text, with its Latin key; ``lines`` has only the first line."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("title"))
+    return d.withColumn("key", normalize(F.col("title"), LATIN))
+
+
+def digests(spark, sf) -> DataFrame:
+    """The same for operators that only compare: digests in place of long texts; empty ones stay empty."""
+    short = lambda c: F.when(F.col(c) == "", "").otherwise(F.sha2(c, 256))
+    return texts(spark, sf).withColumns({"title": short("title"), "key": short("key")})
+
+
+@query(f"select doc_id, {TEXT_KEY} as key, length({TEXT_KEY}) as n from documents")
+def normalize_text(spark, sf):
+    return texts(spark, sf).select("doc_id", "key", F.length("key").cast("long").alias("n"))
 
 
 @query(f"select doc_id, source from documents where contains({duckdb_latin('text')}, 'the') and contains({duckdb_latin('text')}, 'tion') and contains({duckdb_latin('text')}, 'ou')")
@@ -125,7 +137,7 @@ def semi_allow_list(spark, sf):
     return keep_listed(table(spark, sf, "customer"), "c_nationkey", table(spark, sf, "nation").filter("n_regionkey = 1").select("n_nationkey")).select("c_custkey")
 
 
-UNION_CTE = f"""with d as (select doc_id, doc_id % 4 as b, nullif({LINE}, '') as t, nullif({KEY}, '') as k from documents),
+UNION_CTE = f"""with d as (select doc_id, doc_id % 4 as b, nullif(text, '') as t, nullif({TEXT_KEY}, '') as k from documents),
 b0 as (select * from d where b = 0),
 b1 as (select * from d x where b = 1 and not exists (select 1 from b0 y where y.t = x.t)), a1 as (select * from b0 union all select * from b1),
 b2 as (select * from d x where b = 2 and not exists (select 1 from a1 y where y.t = x.t) and not exists (select 1 from a1 y where y.k = x.k)), a2 as (select * from a1 union all select * from b2),
@@ -133,69 +145,25 @@ b3 as (select * from d x where b = 3 and not exists (select 1 from a2 y where y.
 
 
 @query(UNION_CTE)
-def prioritized_union(spark, sf, rows=lines):
-    d = rows(spark, sf).withColumn("b", F.col("doc_id") % 4)
+def prioritized_union(spark, sf):
+    d = digests(spark, sf).withColumn("b", F.col("doc_id") % 4)
     title, key = {"title": F.col("title")}, {"key": F.col("key")}
     return joins.prioritized_union([d.filter(F.col("b") == k) for k in range(4)], [{}, title, title | key, key]).select("doc_id", "b")
 
 
-@query(f"""with d as (select doc_id, lang, nullif({LINE}, '') as t, nullif({KEY}, '') as k, source from documents), e as (select * from d where doc_id < 200)
-select doc_id from d x where doc_id >= 200 and not exists (select 1 from e y where y.t = x.t) and not exists (select 1 from e y where y.k = x.k)""")
-def anti_two_keys(spark, sf):
-    d = lines(spark, sf)
-    return joins.anti_keys(d.filter("doc_id >= 200"), d.filter("doc_id < 200"), {"t": F.col("title"), "k": F.col("key")}).select("doc_id")
-
-
-@query(f"""with d as (select doc_id, nullif({LINE}, '') as t, nullif({KEY}, '') as k, cast(n_chars as varchar) || lang as u from documents), e as (select * from d where doc_id % 2 = 0)
-select doc_id from d x where doc_id % 2 = 1 and not exists (select 1 from e y where y.t = x.t) and not exists (select 1 from e y where y.k = x.k) and not exists (select 1 from e y where y.u = x.u)""")
-def anti_three_keys(spark, sf):
-    d = lines(spark, sf)
-    return joins.anti_keys(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), {"t": F.col("title"), "k": F.col("key"), "u": F.concat(F.col("n_chars").cast("string"), F.col("lang"))}).select("doc_id")
-
-
-@query(f"""with d as (select doc_id, nullif({LINE}, '') as t, nullif({KEY}, '') as k, cast(n_chars as varchar) as u from documents), e as (select * from d where doc_id < 300)
-select doc_id, case when exists (select 1 from e y where y.u = x.u) then 'chars' when exists (select 1 from e y where y.t = x.t) then 'title' when exists (select 1 from e y where y.k = x.k) then 'key' end as reason from d x where doc_id >= 300""")
-def first_reason(spark, sf):
-    d = lines(spark, sf)
-    return joins.first_reason(d.filter("doc_id >= 300"), d.filter("doc_id < 300"), {"chars": F.col("n_chars").cast("string"), "title": F.col("title"), "key": F.col("key")}).select("doc_id", "reason")
-
-
-NEAR_SIDE = f"select doc_id, replace({KEY}, ' ', '') as t from documents where lang = 'en'"
-
-
-def near_sql(k: str) -> str:
-    return f"""with d as ({NEAR_SIDE}), l as (select * from d where doc_id % 3 = 0 and length(t) >= 18 and length(t) <= 200), r as (select * from d where doc_id % 3 = 1 and length(t) <= 210)
-select l.doc_id as left_id, r.doc_id as right_id, cast(levenshtein(l.t, r.t) as int) as distance from l join r on abs(length(l.t) - length(r.t)) <= 3 where levenshtein(l.t, r.t) <= {k}"""
-
-
-def near_sides(spark, sf):
-    d = lines(spark, sf).filter("lang = 'en'").withColumn("t", compact_key(F.col("key")))
-    return d.filter("doc_id % 3 = 0 and length(t) <= 200"), d.filter("doc_id % 3 = 1 and length(t) <= 210")
-
-
-@query(near_sql("2"))
-def near_title_pairs_fixed(spark, sf):
-    return joins.near_pairs(*near_sides(spark, sf), "doc_id", "doc_id", "t")
-
-
-@query(near_sql("(case when length(l.t) >= 42 then 3 when length(l.t) >= 25 then 2 else 1 end)"))
-def near_title_pairs_adaptive(spark, sf):
-    return joins.near_pairs(*near_sides(spark, sf), "doc_id", "doc_id", "t", adaptive=True)
-
-
 def all_near(spark, sf, adaptive: bool) -> DataFrame:
     d = lines(spark, sf)
     return joins.near_pairs(d, d, "doc_id", "doc_id", "key", adaptive).filter("left_id <> right_id")
 
 
 @query()
-def near_title_pairs_fixed_all(spark, sf):
-    """All documents with all; the SQL of the sides above is quadratic, tests compare with brute force."""
+def near_title_pairs_fixed(spark, sf):
+    """The titles of all documents with those of all others; SQL for it is quadratic, so tests compare with brute force."""
     return all_near(spark, sf, False)
 
 
 @query()
-def near_title_pairs_adaptive_all(spark, sf):
+def near_title_pairs_adaptive(spark, sf):
     return all_near(spark, sf, True)
 
 
@@ -205,12 +173,6 @@ def greedy_dedup(spark, sf):
     return greedy(d, {"title": F.col("title"), "size": F.col("u")}, "key", ord_="doc_id").select("doc_id", "kept", "reason")
 
 
-@query(f"""select doc_id, key, n_chars from (select doc_id, left({KEY}, 12) as key, n_chars, row_number() over (partition by left({KEY}, 12) order by n_chars % 7 desc, doc_id) as r from documents) where r = 1""")
-def keep_best_score(spark, sf):
-    d = lines(spark, sf).withColumn("key", F.substring("key", 1, 12)).withColumn("s", F.col("n_chars") % 7)
-    return agg.keep_best(d, ["key"], "s", "doc_id").select("doc_id", "key", "n_chars")
-
-
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id, min(event_id) as first_id from events group by user_id")
 def last_wins_upsert(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type").withColumn("first_id", F.col("event_id"))
@@ -227,13 +189,6 @@ def merge_identity(spark, sf):
     return agg.merge_identity(rows).select("identity", "id", "sourceCount", F.size("mergedIds").alias("merged"), "ord")
 
 
-@query("select text_key, n, array_to_string(list_transform(ids, lambda x: cast(x as varchar)), '|') as ids from (select sha256(text) as text_key, count(*) as n, list(doc_id order by doc_id) as ids from documents group by text having count(*) > 1)")
-def duplicate_groups(spark, sf):
-    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_key"), F.col("doc_id").alias("ord"))
-    g = agg.duplicate_groups(d, "text_key", [], most=None)
-    return g.select("text_key", "n", F.array_join(F.transform("records", lambda r: r["ord"].cast("string")), "|").alias("ids"))
-
-
 def text_keys(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.sha2("text", 256).alias("text_key"), "doc_id")
 
@@ -250,14 +205,14 @@ def duplicate_group_members(spark, sf):
     return d.join(agg.duplicate_values(d, "text_key").select("text_key"), "text_key", "left_semi").select("text_key", "doc_id")
 
 
-@query(f"select {KEY} as key, count(*) as n from documents group by 1 having count(*) > 1")
-def duplicate_values(spark, sf, rows=lines):
-    return agg.duplicate_values(rows(spark, sf), "key")
+@query(f"select {TEXT_KEY} as key, count(*) as n from documents group by 1 having count(*) > 1")
+def duplicate_values(spark, sf):
+    return agg.duplicate_values(texts(spark, sf), "key")
 
 
-@query(f"select count({KEY}) - count(distinct {KEY}) as duplicates from documents")
-def duplicate_count(spark, sf, rows=lines):
-    return agg.duplicate_count(rows(spark, sf), "key")
+@query(f"select count({TEXT_KEY}) - count(distinct {TEXT_KEY}) as duplicates from documents")
+def duplicate_count(spark, sf):
+    return agg.duplicate_count(digests(spark, sf), "key")
 
 
 @query("select source, count(*) as n, min(doc_id) as first from documents group by source")
@@ -270,9 +225,9 @@ def fixed_key_counts(spark, sf):
     return agg.fixed_counts(table(spark, sf, "events"), "event_type", ["click", "view", "refund", "error"])
 
 
-@query(f"select tag, count(*) as n from (select unnest(list_distinct(string_split({KEY}, ' '))) as tag from documents) group by tag")
-def tag_explode_counts(spark, sf, rows=lines):
-    return agg.tag_counts(rows(spark, sf).select(F.array_distinct(F.split("key", " ")).alias("tags")))
+@query(f"select tag, count(*) as n from (select unnest(list_distinct(string_split({TEXT_KEY}, ' '))) as tag from documents) group by tag")
+def tag_explode_counts(spark, sf):
+    return agg.tag_counts(texts(spark, sf).select(F.array_distinct(F.split("key", " ")).alias("tags")))
 
 
 @query("select lang, doc_id from documents qualify row_number() over (partition by lang order by n_chars desc, doc_id) <= 5")
@@ -338,9 +293,9 @@ def decision_audit(spark, sf):
     return agg.audit(d.withColumn("status", status))
 
 
-@query(f"select doc_id, 'ddl-title-' || left(sha256({KEY}), 18) as id from documents")
-def stable_ids(spark, sf, rows=lines):
-    return rows(spark, sf).select("doc_id", stable_id(F.col("key")).alias("id"))
+@query(f"select doc_id, 'ddl-title-' || left(sha256({TEXT_KEY}), 18) as id from documents")
+def stable_ids(spark, sf):
+    return texts(spark, sf).select("doc_id", stable_id(F.col("key")).alias("id"))
 
 
 @query("""select page_id, regexp_replace(trim(url), '/+$', '') as url_key, nullif(regexp_extract(url, '(?i)^https?://([^/]+)', 1), '') as host, cast(null as varchar) as post, replace(url_encode(regexp_extract(url, '([^/]*)$', 1)), '%20', '%20') as encoded from pages""")
@@ -355,11 +310,11 @@ def html_fields(spark, sf):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " ")).alias("text"))
 
 
-@query("""with t as (select doc_id, (case when doc_id % 3 = 0 then '00012_' || cast(doc_id as varchar) || '-' when doc_id % 3 = 1 then cast(doc_id + 10000 as varchar) || ' _' else '' end) || left(split_part(text, chr(10), 1), 20) as title from documents)
+@query("""with t as (select doc_id, (case when doc_id % 3 = 0 then '00012_' || cast(doc_id as varchar) || '-' when doc_id % 3 = 1 then cast(doc_id + 10000 as varchar) || ' _' else '' end) || split_part(text, chr(10), 1) as title from documents)
 select doc_id, nullif(regexp_extract(title, '^(\\d{4,})(?:[_\\s-]+|$)', 1), '') as identifier, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(title, '^\\d{4,}[_\\s-]+', ''), '_', ' ', 'g'), '\\s+', ' ', 'g')), ''), title) as shown from t""")
 def title_clean(spark, sf):
     prefix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("00012_"), F.col("doc_id").cast("string"), F.lit("-"))).when(F.col("doc_id") % 3 == 1, F.concat((F.col("doc_id") + 10000).cast("string"), F.lit(" _"))).otherwise("")
-    t = lines(spark, sf).withColumn("title", F.concat(prefix, F.substring("title", 1, 20)))
+    t = lines(spark, sf).withColumn("title", F.concat(prefix, "title"))
     return t.select("doc_id", catalog_identifier(F.col("title")).alias("identifier"), shown_title(F.col("title")).alias("shown"))
 
 
@@ -369,12 +324,12 @@ def letter_ratio(spark, sf):
     return table(spark, sf, "documents").select("doc_id", n("[A-Za-z]").alias("latin"), n("[0-9]").alias("digits"), (n("[A-Za-z]") > 0.9 * n(r"[^\s\d]")).alias("mostly_latin"))
 
 
-@query(f"""with d as (select doc_id, list_filter(list_distinct(string_split({KEY}, ' ')), lambda x: length(x) > 1) as t from documents)
+@query(f"""with d as (select doc_id, list_filter(list_distinct(string_split({TEXT_KEY}, ' ')), lambda x: length(x) > 1) as t from documents)
 select a.doc_id, len(list_intersect(a.t, b.t)) as overlap from d a join d b on b.doc_id = a.doc_id + 1""")
-def token_overlap(spark, sf, rows=lines):
+def token_overlap(spark, sf):
     from ..functions.text import token_overlap as overlap
 
-    d = rows(spark, sf).select("doc_id", "key")
+    d = texts(spark, sf).select("doc_id", "key")
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("key").alias("next"))
     return d.join(other, "doc_id").select("doc_id", overlap(F.col("key"), F.col("next")).cast("long").alias("overlap"))
 
@@ -385,16 +340,9 @@ def lookup_default(spark, sf):
     return d.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(F.col("toxic").isNull(), "unknown").when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("state"))
 
 
-@query(f"""with d as (select doc_id, nullif({LINE}, '') as t, cast(n_chars as varchar) as u from documents), e as (select * from d where doc_id < 250), x as (select exists (select 1 from e where e.t = d.t) as a, exists (select 1 from e where e.u = d.u) as b from d where doc_id >= 250)
-select count(*) filter (where a) as by_title, count(*) filter (where b) as by_chars, count(*) filter (where a or b) as any_key, count(*) filter (where not (a or b)) as no_key from x""")
-def collision_tally(spark, sf):
-    d = lines(spark, sf)
-    return joins.collision_tally(d.filter("doc_id >= 250"), d.filter("doc_id < 250"), {"title": F.col("title"), "chars": F.col("n_chars").cast("string")})
-
-
-@query(f"select count(*) as n from (select nullif({KEY}, '') as k from documents where lang = 'en' intersect select nullif({KEY}, '') from documents where lang <> 'en') where k is not null")
-def set_intersections(spark, sf, rows=lines):
-    d = rows(spark, sf)
+@query(f"select count(*) as n from (select nullif({TEXT_KEY}, '') as k from documents where lang = 'en' intersect select nullif({TEXT_KEY}, '') from documents where lang <> 'en') where k is not null")
+def set_intersections(spark, sf):
+    d = digests(spark, sf)
     return joins.common_keys(d.filter("lang = 'en'"), d.filter("lang <> 'en'"), F.col("key"))
 
 
@@ -483,11 +431,6 @@ def markdown_lines(spark, sf):
     return markdown_rows(p, "p_partkey", ["t", "none"])
 
 
-@query(f"""select doc_id, case when {KEY} <> '' then {KEY} || '::' || source end as key, coalesce(replace(left({LINE}, 10), '|', '\\|'), '—') as cell from documents""")
-def composite_keys(spark, sf):
-    return lines(spark, sf).select("doc_id", title_author_key(F.col("key"), F.col("source")).alias("key"), cell(F.substring("title", 1, 10)).alias("cell"))
-
-
 @query("select p_brand, format('{:,}', count(*)) as shown, count(distinct p_type) as types from part group by p_brand")
 def shown_counts(spark, sf):
     from ..operators.projections import shown_count
@@ -500,62 +443,16 @@ def every_some(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(agg.every(F.col("value") >= 0).alias("all_positive"), agg.some(F.col("value") > 99).alias("some_large"))
 
 
-@query("""with old as (select c_custkey as id, c_name as name, c_custkey as ord from customer where c_custkey <= 100), new as (select c_custkey as id, upper(c_name) || '!' as name, row_number() over (order by c_custkey) - 1 as k from customer where c_custkey > 50 and c_custkey <= 150), m as (select max(ord) as last from old)
-select id, name, ord from old where id not in (select id from new) union all select n.id, n.name, coalesce(o.ord, n.k + m.last + 1) from new n cross join m left join old o on o.id = n.id""")
-def upsert_union(spark, sf):
-    from ..sources.sinks import upsert_in_order
-
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    new = ordering.row_numbers(c.filter("id > 50 and id <= 150"), "id", name="ord").withColumn("name", F.concat(F.upper("name"), F.lit("!")))
-    return upsert_in_order(c.filter("id <= 100").withColumn("ord", F.col("id")), new, "id").select("id", "name", F.col("ord").cast("long").alias("ord"))
-
-
-def texts(spark, sf) -> DataFrame:
-    """Documents by their whole text, with its Latin key; ``lines`` has only the first line."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("title"))
-    return d.withColumn("key", normalize(F.col("title"), LATIN))
-
-
-def digests(spark, sf) -> DataFrame:
-    """The same for operators that only compare: digests in place of long texts; empty ones stay empty."""
-    short = lambda c: F.when(F.col(c) == "", "").otherwise(F.sha2(c, 256))
-    return texts(spark, sf).withColumns({"title": short("title"), "key": short("key")})
-
-
-def whole(f, rows) -> None:
-    """``f`` over whole texts as NAME_whole, with the SQL of NAME over whole texts."""
-    run = lambda spark, sf: f(spark, sf, rows)
-    run.__name__ = f"{f.__name__}_whole"
-    query(ORACLE_SQL[f.__name__].replace(LINE, "text"))(run)
-
-
-for _f in (normalize_text, duplicate_values, tag_explode_counts, token_overlap, stable_ids):
-    whole(_f, texts)
-for _f in (prioritized_union, duplicate_count, set_intersections):
-    whole(_f, digests)
-
-
-TEXT_KEY = duckdb_latin("text")
-
-
 @query(f"select doc_id, key, n_chars from (select doc_id, {TEXT_KEY} as key, n_chars, row_number() over (partition by {TEXT_KEY} order by n_chars % 7 desc, doc_id) as r from documents) where r = 1")
-def keep_best_score_whole(spark, sf):
+def keep_best_score(spark, sf):
     return agg.keep_best(texts(spark, sf).withColumn("s", F.col("n_chars") % 7), ["key"], "s", "doc_id").select("doc_id", "key", "n_chars")
 
 
 @query(f"select doc_id, case when {TEXT_KEY} <> '' then {TEXT_KEY} || '::' || source end as key from documents")
-def composite_keys_whole(spark, sf):
+def composite_keys(spark, sf):
     return texts(spark, sf).select("doc_id", title_author_key(F.col("key"), F.col("source")).alias("key"))
 
 
-@query(ORACLE_SQL["title_clean"].replace(f"left({LINE}, 20)", LINE))
-def title_clean_whole(spark, sf):
-    """Whole first lines."""
-    prefix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("00012_"), F.col("doc_id").cast("string"), F.lit("-"))).when(F.col("doc_id") % 3 == 1, F.concat((F.col("doc_id") + 10000).cast("string"), F.lit(" _"))).otherwise("")
-    t = lines(spark, sf).withColumn("title", F.concat(prefix, "title"))
-    return t.select("doc_id", catalog_identifier(F.col("title")).alias("identifier"), shown_title(F.col("title")).alias("shown"))
-
-
 #: The catalog side is every labelled document, the other side all others: both grow with the tables.
 SIDES = f"""with d as (select doc_id, doc_id in (select doc_id from labels) as old, nullif(text, '') as t, nullif({TEXT_KEY}, '') as k, cast(n_chars as varchar) as u, cast(n_chars as varchar) || lang as v from documents),
 e as (select * from d where old), x as (select * from d where not old), h as (select doc_id, coalesce(t in (select t from e where t is not null), false) as by_t, coalesce(k in (select k from e where k is not null), false) as by_k, coalesce(u in (select u from e where u is not null), false) as by_u, coalesce(v in (select v from e where v is not null), false) as by_v from x)"""
@@ -573,28 +470,28 @@ def by_keys(*names: str) -> dict:
 
 
 @query(f"{SIDES} select doc_id from h where not by_t and not by_k")
-def anti_two_keys_whole(spark, sf):
+def anti_two_keys(spark, sf):
     return joins.anti_keys(*sides(spark, sf), by_keys("title", "key")).select("doc_id")
 
 
 @query(f"{SIDES} select doc_id from h where not by_t and not by_k and not by_v")
-def anti_three_keys_whole(spark, sf):
+def anti_three_keys(spark, sf):
     return joins.anti_keys(*sides(spark, sf), by_keys("title", "key", "size")).select("doc_id")
 
 
 @query(f"{SIDES} select doc_id, case when by_u then 'chars' when by_t then 'title' when by_k then 'key' end as reason from h")
-def first_reason_whole(spark, sf):
+def first_reason(spark, sf):
     return joins.first_reason(*sides(spark, sf), by_keys("chars", "title", "key")).select("doc_id", "reason")
 
 
 @query(f"{SIDES} select count(*) filter (where by_t) as by_title, count(*) filter (where by_u) as by_chars, count(*) filter (where by_t or by_u) as any_key, count(*) filter (where not (by_t or by_u)) as no_key from h")
-def collision_tally_whole(spark, sf):
+def collision_tally(spark, sf):
     return joins.collision_tally(*sides(spark, sf), by_keys("title", "chars"))
 
 
 @query("""with old as (select s_suppkey as id, s_name as name, s_suppkey as ord from supplier), new as (select c_custkey as id, upper(c_name) || '!' as name, row_number() over (order by c_custkey) - 1 as k from customer), m as (select max(ord) as last from old)
 select id, name, ord from old where id not in (select id from new) union all select n.id, n.name, coalesce(o.ord, n.k + m.last + 1) from new n cross join m left join old o on o.id = n.id""")
-def upsert_union_whole(spark, sf):
+def upsert_union(spark, sf):
     """All suppliers, then all customers."""
     from ..sources.sinks import upsert_in_order
 

@@ -31,7 +31,7 @@ def pairs(adaptive):
 
 @pytest.mark.parametrize("name", ["fixed", "adaptive"])
 def test_near_titles_of_all_documents(spark, small, name):
-    got = {(r["left_id"], r["right_id"]) for r in QUERIES[f"near_title_pairs_{name}_all"](spark, small).collect()}
+    got = {(r["left_id"], r["right_id"]) for r in QUERIES[f"near_title_pairs_{name}"](spark, small).collect()}
     assert got == pairs(name == "adaptive") and (2, 3) in got and (7, 8) in got
 
 
@@ -60,14 +60,14 @@ def test_duplicate_members_are_all_listed(spark, tmp_path):
 def test_keys_take_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(k, f"same line\nother {k}", "en", "s", 20) for k in range(4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert run("duplicate_count_whole")[0]["duplicates"] == 0 and len(run("keep_best_score_whole")) == 4
-    assert {r["tag"]: r["n"] for r in run("tag_explode_counts_whole")} == {"same": 4, "line": 4, "other": 4, "0": 1, "1": 1, "2": 1, "3": 1}
+    assert run("duplicate_count")[0]["duplicates"] == 0 and len(run("keep_best_score")) == 4
+    assert {r["tag"]: r["n"] for r in run("tag_explode_counts")} == {"same": 4, "line": 4, "other": 4, "0": 1, "1": 1, "2": 1, "3": 1}
 
 
 def test_collisions_with_rows_of_any_id_are_found(spark, tmp_path):
     rows = [(k, f"text {k % 500}", "en", "s", k) for k in range(1000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(500, 1000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert QUERIES["anti_two_keys_whole"](spark, str(tmp_path)).count() == 0
-    tally = QUERIES["collision_tally_whole"](spark, str(tmp_path)).first()
+    assert QUERIES["anti_two_keys"](spark, str(tmp_path)).count() == 0
+    tally = QUERIES["collision_tally"](spark, str(tmp_path)).first()
     assert (tally["by_title"], tally["by_chars"], tally["any_key"], tally["no_key"]) == (500, 0, 500, 0)
