@@ -5,6 +5,8 @@ line ends, which no piece holds). The units of a slice that are new to the
 worker are encoded together: their symbols lie in flat arrays, each round finds
 the lowest pair rank of every unit with a segmented minimum and merges its
 leftmost occurrences at once, and units without a pair left are compacted away.
+Units of more than LONG_UNIT characters would need as many rounds as they have
+different pairs; they are merged one pair after another from a heap.
 Ids equal those of the sentencepiece library without begin or end ids.
 
 Defined results: a null text is empty and has no ids; pairs of equal rank merge
@@ -17,6 +19,7 @@ n_tokens and ids.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ CACHE_BYTES = 16 << 20
 #: Bytes of text encoded together.
 SLICE = CHUNK
 NONE = np.int64(2**40)
+#: Characters of a unit beyond which it is merged by itself.
+LONG_UNIT = 2_000
 
 
 def default_model() -> str:
@@ -88,6 +93,7 @@ class Model:
             self.merged[slot[placed]] = value[todo[placed]]
             todo, probe = todo[~placed], probe + 1
         self.probes = probe
+        self.pairs: dict[int, int] | None = None  # the same table for single lookups, made when needed
         # What splits units: characters in no piece of two or more characters.
         self.atomic_newline = not any("\n" in p for p in self.id_of)
         self.space_leads = not any(META in p.strip(META) or (p.endswith(META) and p.strip(META)) for p in self.id_of)
@@ -128,6 +134,13 @@ class Model:
         symbols = symbol_of[inverse] if len(points) else np.zeros(0, np.int64)
         unit = np.repeat(np.arange(len(lengths)), lengths)
         done_symbols, done_unit = [], []
+        # the rounds that a unit needs grow with its length: very long ones are merged pair by pair
+        for k in np.flatnonzero(lengths > LONG_UNIT):
+            done_symbols.append(self.one_by_one(symbols[unit == k]))
+            done_unit.append(np.full(len(done_symbols[-1]), k))
+        if done_symbols:
+            short = lengths[unit] <= LONG_UNIT
+            symbols, unit = symbols[short], unit[short]
         piece, rank = self.ranks(symbols, unit)
         while len(symbols):
             first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
@@ -179,6 +192,32 @@ class Model:
             symbols, unit = wide, np.repeat(unit, sizes)
         return symbols, np.searchsorted(unit, np.arange(len(lengths) + 1))
 
+    def one_by_one(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one unit after all merges, the lowest rank and then the leftmost pair first, from a heap."""
+        if self.pairs is None:
+            used = np.flatnonzero(self.keys >= 0)
+            self.pairs = dict(zip(self.keys[used].tolist(), self.merged[used].tolist(), strict=True))
+        pairs, n, rank, end = self.pairs, self.n, self.rank.tolist(), len(symbols)
+        now, after, before = symbols.tolist(), list(range(1, end + 1)), list(range(-1, end - 1))
+        merged = lambda a, b: pairs.get(a * n + b, -1) if a < n and b < n else -1
+        heap = [(rank[m], i, now[i], now[i + 1], m) for i in range(end - 1) if (m := merged(now[i], now[i + 1])) >= 0]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, m = heapq.heappop(heap)
+            j = after[i]
+            if now[i] != a or j >= end or now[j] != b:
+                continue  # one of the two has been merged meanwhile
+            now[i], now[j] = m, -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (x := merged(m, now[k])) >= 0:
+                    heapq.heappush(heap, (rank[x], i, m, now[k], x))
+            if (h := before[i]) >= 0 and (x := merged(now[h], m)) >= 0:
+                heapq.heappush(heap, (rank[x], h, now[h], m, x))
+        out = np.array(now, np.int64)
+        return out[out >= 0]
+
     def _safe(self, at: np.ndarray, symbols: np.ndarray, unit: np.ndarray, piece: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Of the merges of a round, those that one-by-one merging would also make next.
 

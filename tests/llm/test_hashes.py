@@ -69,6 +69,29 @@ def test_tokenizer_on_long_words(n):
         assert ids.tolist() == sp.encode(t)
 
 
+def test_tokenizer_on_very_long_units():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    public = pytest.importorskip("public_tokenizers")
+    import time
+
+    from daftar.llm.sentencepiece_bpe import Codec, Model
+
+    path = public.path("piece_bpe_32k.model")
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), Codec(Model(path))
+    r = random.Random(5)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aeé𝄞x") for n in (1999, 2001, 5000)] + ["a" * 9000, "short"]
+    ids, edges = c.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [sp.encode(t) for t in texts]
+    seconds = []
+    for n in (40_000, 160_000):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.process_time()
+        got = c.encode(pa.array([text]))[0].tolist()
+        seconds.append(time.process_time() - began)
+        assert got == sp.encode(text)
+    assert seconds[1] < 8 * seconds[0]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_phrases_survive_collisions(colliding, seed):
     r = random.Random(seed)
