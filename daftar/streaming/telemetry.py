@@ -117,10 +117,14 @@ def newest(df: DataFrame, group: list[str], n: int, *order: str) -> DataFrame:
 def final_flush(df: DataFrame, session: str, stream: str, payload: str, *order: str) -> DataFrame:
     """What is sent at the end: everything of a session, or its newest entries per stream if it is over the cap."""
     size = df.groupBy(session).agg(F.sum(F.length(payload)).alias("_size"))
-    keep = F.try_element_at(F.create_map(*(F.lit(x) for kv in FINAL_KEEP.items() for x in kv)), F.col(stream))
-    w = Window.partitionBy(session, stream).orderBy(*(F.col(c).desc() for c in order))
-    out = df.join(size, session).withColumn("_rank", F.row_number().over(w))
-    return out.filter((F.col("_size") <= FINAL_CAP) | (F.col("_rank") <= keep)).drop("_rank", "_size")
+    sized = df.join(size, session)
+    out = sized.filter(F.col("_size") <= FINAL_CAP)
+    w = Window.partitionBy(session).orderBy(*(F.col(c).desc() for c in order))
+    for name, most in FINAL_KEEP.items():
+        # a constant limit per stream, so that Spark cuts each group before its shuffle
+        large = sized.filter((F.col("_size") > FINAL_CAP) & (F.col(stream) == name))
+        out = out.unionByName(large.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank"))
+    return out.drop("_size")
 
 
 def flush_number(ts: Column, every_ms: int = FLUSH_MS) -> Column:
@@ -142,14 +146,23 @@ def throttle(df: DataFrame, key: str, ts: str, ident: str, gap: int = THROTTLE_M
     """Batch form: rows of each key at least ``gap`` milliseconds after the last row kept.
 
     The last kept row decides, not the last row, so no window frame expresses it;
-    each key is replayed in order over its narrow (time, id) rows.
+    narrow (key, time, id) rows stream in order past one number per task, so that a
+    key of any length takes no memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", ident])
-        return pdf[throttled_times(pdf["ms"].tolist(), None, gap)[0]][[ident]]
-
-    kept = df.select(F.col(key).alias("_key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), ident).groupBy("_key").applyInPandas(run, f"{ident} long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for pdf in batches:
+            keep = []
+            for k, ms in zip(pdf["_key"].tolist(), pdf["ms"].tolist(), strict=True):
+                if k != now and not (k != k and now != now):
+                    now, last = k, None
+                ok, last = throttled_times([ms], last, gap)
+                keep += ok
+            yield pdf[keep][[ident]]
+
+    narrow = df.select(F.col(key).alias("_key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), ident)
+    kept = narrow.repartition("_key").sortWithinPartitions("_key", "ms", ident).mapInPandas(run, f"{ident} long")
     return df.join(kept, ident, "left_semi")
 
 
