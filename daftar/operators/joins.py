@@ -114,20 +114,23 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     titles of any length join again only for pairs that share a piece.
     """
     most = 3 if adaptive else fixed
-    own = left.select(F.col(left_id).alias("left_id"), compact_key(F.col(title)).alias("a")).withColumn("n", F.length("a")).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter("k is not null")
+    rows_left, rows_right = left.select(F.col(left_id).alias("left_id"), compact_key(F.col(title)).alias("a")), right.select(F.col(right_id).alias("right_id"), compact_key(F.col(title)).alias("b"))
+    # equal titles are one until the end: copies of a title do not meet each other piece by piece
+    own = rows_left.select("a").distinct().withColumn("left_t", F.xxhash64("a")).withColumn("n", F.length("a")).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter("k is not null")
     cut = lambda i: F.floor(F.col("n") * i / (F.col("k") + 1)).cast("int")
     pieces = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("place", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("place"))
     pieces = pieces.withColumn("piece", F.xxhash64(F.substring(F.col("a"), F.col("place") + 1, F.col("size"))))
     pieces = pieces.withColumn("m", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n") + F.col("k")))).withColumn("at", F.explode(F.sequence(F.greatest(F.col("place") - F.col("k"), F.lit(0)), F.col("place") + F.col("k"))))
     # the right side offers the pieces that a left title of each possible length would look for
     lengths = F.expr(f"filter(sequence(m - {most}, m + {most}), x -> x >= 18)")
-    other = right.select(F.col(right_id).alias("right_id"), compact_key(F.col(title)).alias("b")).withColumn("m", F.length("b")).filter(F.col("m") >= 18 - most)
-    other = other.withColumn("n", F.explode(lengths)).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter(F.abs(F.col("n") - F.col("m")) <= F.col("k"))
+    titles = rows_right.select("b").distinct().withColumn("right_t", F.xxhash64("b")).withColumn("m", F.length("b")).filter(F.col("m") >= 18 - most)
+    other = titles.withColumn("n", F.explode(lengths)).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter(F.abs(F.col("n") - F.col("m")) <= F.col("k"))
     other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("place", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("place"))
     other = other.withColumn("at", F.explode(F.sequence(F.greatest(F.col("place") - F.col("k"), F.lit(0)), F.col("place") + F.col("k")))).withColumn("piece", F.xxhash64(F.substring(F.col("b"), F.col("at") + 1, F.col("size"))))
-    met = pieces.select("left_id", "n", "m", "i", "at", "piece").join(other.select("right_id", "n", "m", "i", "at", "piece"), ["n", "m", "i", "at", "piece"]).select("left_id", "right_id").distinct()
-    titled = met.join(own.select("left_id", "a", "k"), "left_id").join(right.select(F.col(right_id).alias("right_id"), compact_key(F.col(title)).alias("b")), "right_id")
-    return titled.withColumn("distance", F.levenshtein("a", "b", most)).filter(F.col("distance").between(0, F.col("k"))).select("left_id", "right_id", "distance").distinct()
+    met = pieces.select("left_t", "n", "m", "i", "at", "piece").join(other.select("right_t", "n", "m", "i", "at", "piece"), ["n", "m", "i", "at", "piece"]).select("left_t", "right_t").distinct()
+    titled = met.join(own.select("left_t", "a", "k"), "left_t").join(titles.select("right_t", "b"), "right_t")
+    near = titled.withColumn("distance", F.levenshtein("a", "b", most)).filter(F.col("distance").between(0, F.col("k"))).select("a", "b", "distance").distinct()
+    return near.join(rows_left, "a").join(rows_right, "b").select("left_id", "right_id", "distance")
 
 
 def first_near(pairs: DataFrame) -> DataFrame:
