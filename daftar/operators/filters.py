@@ -21,6 +21,9 @@ PRIORITY_COUNTRY = "المملكة العربية السعودية"
 DEFAULT_TITLE = "معلقة"
 STAT_TAGS = {"linguistics": ("نحو", "صرف", "دراسات لغوية"), "lexicon-literature-rhetoric": ("معجم لغوي", "شعر وأدب", "بلاغة")}
 LANGUAGE_VALUES = ("ara", "arabic")
+DIWAN_START = r"^ديوان\s+"
+NOT_ALONE = r"[:؛،]|(دراسة|شرح|تحقيق|فهرس|مجموع|مختارات|رسالة|اثر|قضية|نقد|شعر|شعرية|ديوانين|دواوين|رؤية|تشكيل|تحليل|قراءة)"
+PART = r"(?:^|\s)(?:الجزء|المجلد(?:ين)?|ج|مجلد(?:ين)?|part|volume)(?:\s|$)|^\d{1,3}\s+|(?:مختارات|مجموعه|منتخبات|مختار|اعمال\s+شعريه\s+كامله|الاعمال\s+الشعريه\s+الكامله)(?:\s|$)"
 
 
 def not_null(condition: Column) -> Column:
@@ -147,14 +150,12 @@ def is_pdf_message(kind: Column, mime: Column, name: Column) -> Column:
 
 def standalone_diwan_title(title: Column) -> Column:
     """Starts with the word for a diwan, without separators or words of studies."""
-    words = r"[:؛،]|(دراسة|شرح|تحقيق|فهرس|مجموع|مختارات|رسالة|اثر|قضية|نقد|شعر|شعرية|ديوانين|دواوين|رؤية|تشكيل|تحليل|قراءة)"
-    return test(title, (r"^ديوان\s+", "")) & ~test(title, (words, ""))
+    return test(title, (DIWAN_START, "")) & ~test(title, (NOT_ALONE, ""))
 
 
 def part_of_collection(key: Column) -> Column:
     """A volume, a numbered part or a selection rather than an independent collection."""
-    rule = r"(?:^|\s)(?:الجزء|المجلد(?:ين)?|ج|مجلد(?:ين)?|part|volume)(?:\s|$)|^\d{1,3}\s+|(?:مختارات|مجموعه|منتخبات|مختار|اعمال\s+شعريه\s+كامله|الاعمال\s+الشعريه\s+الكامله)(?:\s|$)"
-    return test(key, (rule, ""))
+    return test(key, (PART, ""))
 
 
 def referenced_title(title_key: Column, metadata_key: Column) -> Column:

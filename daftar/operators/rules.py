@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..functions.normalize import DIWAN, REFINE, THESIS, UPLOAD, normalize
 from ..functions.regexjs import js
-from ..functions.text import arabic_text, arabic_title, clean_catalog_title, clean_person, clean_title, has_word, replace_all, squeeze, test
+from ..functions.text import EDITION, arabic_text, arabic_title, clean_catalog_title, clean_person, clean_title, has_word, replace_all, squeeze, test
 from .filters import all_arabic_languages, any_other_language, arabic_proof, is_archive_details, part_of_collection, record_is_arabic, referenced_title
 
 
@@ -61,6 +61,7 @@ REFINE_REASONS = ("عنوان فارغ بعد التنظيف", "دراسة أو
 COLLECTION = r"(?:ديوان\s+شعري|مجموعه\s+شعريه|مجموعه\s+من\s+القصائد|قصائد\s+الشاعر|اشعار\s+الشاعر|شعر\s+الشاعر)"
 SHORT_GRAMMAR = r"^(?:أقسام الكلام|العوامل وهي قسمان لفظية ومعنوية|المعمولات وهي قسمان أسماء وأفعال مضارعة)$"
 LEVELS = ("دكتوراه", "ماجستير", "رسالة علمية")
+POET_AFTER, POET_BEFORE = r"^ديوان\s+(.+)", r"^(.{3,70}?)\s*(?:[:\-—–]\s*|\s+)ديوان\s+"
 
 
 def any_of(text: Column, pack: dict, *names: str) -> Column:
@@ -177,11 +178,11 @@ def plausible_person(name: Column, pack=packs.DIWAN, generic: str = "generic_poe
 def poet(title: Column, creator: Column, before: bool = True, pack=packs.DIWAN, generic: str = "generic_poet") -> Column:
     """The creator if plausible, else the name after the word diwan, else the name before it."""
     cleaned = clean_title(title)
-    after = clean_person(replace_all(F.regexp_extract(cleaned, js(r"^ديوان\s+(.+)"), 1), ((r"(?:\s|[-–—،:])(?:ت\.?|تحقيق|طبعه|طبعة|نشر|مراجعه|مراجعة).*", "", ""),)))
+    after = clean_person(replace_all(F.regexp_extract(cleaned, js(POET_AFTER), 1), (EDITION,)))
     words = lambda c: F.size(F.split(squeeze(c), " "))
     out = F.when(plausible_person(creator, pack, generic), clean_person(creator)).when(plausible_person(after, pack, generic) & (words(after) <= 5), after)
     if before:
-        ahead = clean_person(F.regexp_extract(cleaned, js(r"^(.{3,70}?)\s*(?:[:\-—–]\s*|\s+)ديوان\s+"), 1))
+        ahead = clean_person(F.regexp_extract(cleaned, js(POET_BEFORE), 1))
         out = out.when(plausible_person(ahead, pack, generic) & (words(ahead) <= 6), ahead)
     return out.otherwise("")
 

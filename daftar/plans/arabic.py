@@ -223,8 +223,7 @@ on_records("message_tests", {
 })
 _diwan = sql_normalize("title", N.DIWAN)
 _metadata = sql_normalize(sql_join("subject", "description"), N.DIWAN)
-_COLLECTION = r"(?:^|\s)(?:الجزء|المجلد(?:ين)?|ج|مجلد(?:ين)?|part|volume)(?:\s|$)|^\d{1,3}\s+|(?:مختارات|مجموعه|منتخبات|مختار|اعمال\s+شعريه\s+كامله|الاعمال\s+الشعريه\s+الكامله)(?:\s|$)"
-_NOT_ALONE = r"[:؛،]|(دراسة|شرح|تحقيق|فهرس|مجموع|مختارات|رسالة|اثر|قضية|نقد|شعر|شعرية|ديوانين|دواوين|رؤية|تشكيل|تحليل|قراءة)"
+_COLLECTION, _NOT_ALONE = filters.PART, filters.NOT_ALONE
 on_records("diwan_title_tests", {
     "alone": (lambda: filters.standalone_diwan_title(col("title")), f"({sql_test('title', (r"^ديوان\s+", ""))} and not {sql_test('title', (_NOT_ALONE, ''))})"),
     "part": (lambda: filters.part_of_collection(N.normalize(col("title"), N.DIWAN)), sql_test(_diwan, (_COLLECTION, ""))),
@@ -413,8 +412,8 @@ def sql_plausible(c: str, p: dict = _D) -> str:
     return f"({person} <> '' and {sql_arabic_text(person, foreign=p['foreign_script'])} and not {sql_test(key, p['generic_poet'])} and not {sql_test(key, p['reject_title'])})"
 
 
-_after = _person(sql_steps(f"regexp_extract({_clean}, '^ديوان\\s+(.+)', 1)", [(r"(?:\s|[-–—،:])(?:ت\.?|تحقيق|طبعه|طبعة|نشر|مراجعه|مراجعة).*", "", "")]))
-_ahead = _person(f"regexp_extract({_clean}, '^(.{{3,70}}?)\\s*(?:[:\\-—–]\\s*|\\s+)ديوان\\s+', 1)")
+_after = _person(sql_steps(f"regexp_extract({_clean}, {q(rules.POET_AFTER)}, 1)", [T.EDITION]))
+_ahead = _person(f"regexp_extract({_clean}, {q(rules.POET_BEFORE)}, 1)")
 _words_in = lambda c: f"len(string_split({sql_squeeze(c)}, ' '))"
 _sql_poet = f"case when {sql_plausible('creator')} then {_person('creator')} when {sql_plausible(_after)} and {_words_in(_after)} <= 5 then {_after} when {sql_plausible(_ahead)} and {_words_in(_ahead)} <= 6 then {_ahead} else '' end"
 _poetry = f"({sql_word(_diwan, 'قصائد')} or {sql_word(_diwan, 'اشعار')} or {sql_word(_diwan, 'شعر')})"

@@ -23,6 +23,10 @@ from ..operators.rules import (
     canonical_keys, list_reason, list_tags, literature_reason, literature_tags, primary_category, subject_reason, subject_tags, thesis_level, thesis_signals, with_fallback,
 )
 
+# --- fixed values: what an accepted record's evidence says ---
+ON_TOPIC, LANGUAGE_SAYS, CONTEXT_SAYS = "مطابقة موضوعية مثبتة لعلوم العربية في بيانات أرشيف", "حقل لغة أرشيف يثبت العربية", "وصف أو موضوع أرشيف يثبت سياق العربية"
+DIRECT_LINK, LANGUAGE_IS = "رابط مباشر إلى Internet Archive", "لغة أرشيف: "
+
 
 @dataclass(frozen=True)
 class Import:
@@ -88,8 +92,8 @@ def archive_import(books: DataFrame, metadata: DataFrame, catalog: DataFrame, pa
     shown = F.coalesce(empty_to_null(clean_literature_title(F.col("title"))), F.col("title"))
     b = b.withColumn("match_title", F.col("title")).withColumn("title", shown).withColumn("author", empty_to_null(F.col("creator"))).withColumn("sourceUrl", F.col("url")).withColumn("primaryCategory", primary_category(F.col("tags"), pack == "literature"))
     arabic = all_arabic_languages(F.col("language"))
-    strong = F.array(F.lit("مطابقة موضوعية مثبتة لعلوم العربية في بيانات أرشيف"), F.when(arabic, "حقل لغة أرشيف يثبت العربية").otherwise("وصف أو موضوع أرشيف يثبت سياق العربية"))
-    supporting = F.concat(F.array(F.lit("رابط مباشر إلى Internet Archive")), F.transform("language", lambda v: F.concat(F.lit("لغة أرشيف: "), v)))
+    strong = F.array(F.lit(ON_TOPIC), F.when(arabic, LANGUAGE_SAYS).otherwise(CONTEXT_SAYS))
+    supporting = F.concat(F.array(F.lit(DIRECT_LINK)), F.transform("language", lambda v: F.concat(F.lit(LANGUAGE_IS), v)))
     b = archive_candidate(b, strong, supporting, arabic)
     words = FORMAT_WORDS_RHETORIC if pack == "rhetoric" else FORMAT_WORDS
     known = catalog.withColumn("match_title", F.col("title"))

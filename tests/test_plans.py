@@ -241,3 +241,11 @@ def test_streams(spark, tmp_path):
     telemetry.start_flushes(stream(), str(tmp_path / "logs"), str(tmp_path / "ck"), available_now=True).awaitTermination(120)
     for name in ("sessionReplay", "uiEvents"):
         assert catalogs.read_log(spark, str(tmp_path / "logs" / name)).count() == 5
+
+
+def test_settings_of_a_run():
+    from daftar.plans.settings import Settings, settings
+
+    assert settings({}, []) == Settings()
+    assert settings({"INPUT_PATH": "a", "CORPUS_PATH": "b", "APPLY": "1", "CONCURRENCY": "3"}, ["x"]) == Settings("x", "b", True, False, 3)
+    assert settings({"DRY_RUN": "1", "APPLY": "yes"}, ["x", "y", "z"]) == Settings("x", "y", False, True, 6)
