@@ -15,6 +15,7 @@ from ..operators.dedup import greedy
 from ..operators.filters import facets, tokens_and
 from ..operators.report import cell, constraints, markdown_rows
 from ..operators.rules import Rule, all_matches, first_match, score
+from ..operators.shared import written
 from ..sources.sinks import trim_log
 from ..streaming import telemetry
 
@@ -53,9 +54,9 @@ def texts(spark, sf) -> DataFrame:
 
 
 def digests(spark, sf) -> DataFrame:
-    """The same for operators that only compare: digests in place of long texts; empty ones stay empty."""
+    """The same for operators that only compare: digests in place of long texts, written once; empty ones stay empty."""
     short = lambda c: F.when(F.col(c) == "", "").otherwise(F.sha2(c, 256))
-    return texts(spark, sf).withColumns({"title": short("title"), "key": short("key")})
+    return written(texts(spark, sf).withColumns({"title": short("title"), "key": short("key")}), "keys")[0]
 
 
 @query(f"select doc_id, {TEXT_KEY} as key, length({TEXT_KEY}) as n from documents")
