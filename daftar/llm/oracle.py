@@ -43,4 +43,14 @@ with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coa
 select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k: array_to_string({_DIGITS}, '')), '') as payload_digest,
 case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id <> latest then latest end as refers_to from p"""
 
-ORACLE_SQL = {"op1_ngram_join": OP1, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_warc": OP10}
+_CUTS = ", ".join(f"('0x' || substr(g, {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4))
+OP13 = f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as g from documents),
+h as (select *, {_CUTS} from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, a) as x, substr(t, a + 1, b - a) as y, substr(t, b + 1) as z from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+ORACLE_SQL = {"op1_ngram_join": OP1, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_warc": OP10, "op13_fill_middle": OP13}

@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
 from .decontaminate import op8_decontaminate
+from .fill_middle import op13_fill_middle
 from .html_text import op5_html_text
 from .ngram_join import op1_ngram_join
 from .oracle import ORACLE_SQL
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
