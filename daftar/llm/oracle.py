@@ -43,6 +43,17 @@ with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coa
 select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k: array_to_string({_DIGITS}, '')), '') as payload_digest,
 case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id <> latest then latest end as refers_to from p"""
 
+OP12 = f"""
+with t as (select doc_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) as term from documents),
+f as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, sum(tf)::bigint as n from f group by 1), s as (select count(*) as n_docs, sum(n)::bigint as n_terms from n),
+m as (select doc_id, 100 - 75 + (75 * n * n_docs) // n_terms as m from n, s),
+w as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from f, s group by term, n_docs),
+i as (select item_id, term, count(*) as c from (select item_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) as term from benchmark) group by all),
+r as (select item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from i join w using (term) join f using (term) join m using (doc_id) group by all),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 10"""
+
 _CUTS = ", ".join(f"('0x' || substr(g, {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4))
 OP13 = f"""
 with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as g from documents),
@@ -53,4 +64,4 @@ p as (select *, substr(t, 1, a) as x, substr(t, a + 1, b - a) as y, substr(t, b
 select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
 sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p"""
 
-ORACLE_SQL = {"op1_ngram_join": OP1, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_warc": OP10, "op13_fill_middle": OP13}
+ORACLE_SQL = {"op1_ngram_join": OP1, "op6_substring_dedup": OP6, "op8_decontaminate": OP8, "op10_warc": OP10, "op12_lexical_search": OP12, "op13_fill_middle": OP13}

@@ -4,6 +4,7 @@ from .decontaminate import op8_decontaminate
 from .fill_middle import op13_fill_middle
 from .html_text import op5_html_text
 from .language_id import op11_language_id
+from .lexical_search import op12_lexical_search
 from .ngram_join import op1_ngram_join
 from .oracle import ORACLE_SQL
 from .pii import op9_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
     "op11_language_id": op11_language_id,
+    "op12_lexical_search": op12_lexical_search,
     "op13_fill_middle": op13_fill_middle,
 }
 
