@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import ROWS, least_labels
 from .scratch import discard, materialize
@@ -534,21 +535,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of linked texts: that of the least doc_id.
+def fates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id, chosen) of the classes in groups of several rows, and (doc_id, n_rows) of ids that several rows have or that are null.
 
-    Of repeated rows (equal doc_id and text) one stays; rows with a null doc_id
-    all stay, since no id names them. The ids to drop are broadcast
-    when few and joined otherwise.
+    A group's chosen rows are those of its least doc_id, null last, and of these
+    the ones of the least class.
     """
-    found, _ = materialize(near_duplicates(docs), "components")
-    gone, _ = materialize(found.filter("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    kept = docs.join(_few(gone), F.col("doc_id").cast("long") == F.col("g_id"), "left_anti")
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    if twice.limit(1).count():
-        columns = docs.columns
-        kept = kept.withColumn("row_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "row_hash"]).select(*columns)
-    return kept
+    classes, labels = similarity_classes(docs)
+    own = classes.filter("n > 0").groupBy("doc_id", "class_id").agg(F.count("*").alias("n_rows"))
+    own, _ = materialize(own.join(labels, F.col("class_id") == F.col("id"), "left").select("doc_id", "class_id", "n_rows", F.coalesce("label", "class_id").alias("label")), "members")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id")).alias("c")
+    heads = own.groupBy(F.col("label").alias("h_label")).agg(least, F.sum("n_rows").alias("h_rows")).filter("h_rows > 1")
+    chosen = F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("class_id") == F.col("c.class_id"))
+    fate, _ = materialize(own.join(heads, F.col("label") == F.col("h_label")).select("doc_id", "class_id", chosen.alias("chosen")), "fates")
+    twice, _ = materialize(classes.groupBy("doc_id").agg(F.count("*").alias("n_rows")).filter("n_rows > 1 or doc_id is null"), "twice")
+    return fate, twice
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: that of the least doc_id, null last.
+
+    Where an id names one row, the id decides. Rows of repeated and null ids are
+    told apart by the class of their text, so that a text is never dropped for
+    what another text with its id is linked to: of the rows of a group with its
+    least id the one of the least class and text stays. Empty texts are linked
+    with nothing and all stay. The ids to drop are broadcast when few and
+    joined otherwise; only rows of repeated ids are shuffled with their texts.
+    """
+    fate, twice = fates(docs)
+    gone = fate.filter("not chosen").select(F.col("doc_id").alias("g_id")).filter("g_id is not null")
+    if not twice.limit(1).count():
+        return docs.join(_few(gone), docs["doc_id"].cast("long") == gone["g_id"], "left_anti")
+    shared = twice.select(F.col("doc_id").alias("t_id"))
+    once = docs.join(_few(shared), docs["doc_id"].cast("long").eqNullSafe(shared["t_id"]), "left_anti").join(_few(gone), docs["doc_id"].cast("long") == gone["g_id"], "left_anti")
+    several = docs.join(_few(shared), docs["doc_id"].cast("long").eqNullSafe(shared["t_id"]), "left_semi")
+    place, columns = docs.columns.index("text"), docs.columns
+    name = next(x for k in range(len(columns) + 1) if (x := f"class_{k}") not in columns)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", CHUNK):
+            ids = pa.array([class_id(s) if len(s) else None for s in shingle_sets(part.column(place))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*columns, name])
+
+    rows = several.mapInArrow(classed, StructType([*docs.schema, StructField(name, LongType())])).alias("r")
+    told = rows.join(fate.alias("f"), F.col("r.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")) & (F.col(f"r.{name}") == F.col("f.class_id")), "left")
+    free = told.filter("f.chosen is null").select("r.*").drop(name)
+    rank = next(x for k in range(len(columns) + 1) if (x := f"rank_{k}") not in columns)
+    first = told.filter("f.chosen").select("r.*").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", name).orderBy("text"))).filter(F.col(rank) == 1)
+    return once.unionByName(free).unionByName(first.select(*columns))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
