@@ -4,10 +4,12 @@ The standard library's parser streams events; block tags break the page into
 lines, each with its text length, its number of tags and the elements around
 it. Lines outside boilerplate elements get a text-to-tag ratio; the ratios are
 smoothed with a Gaussian and lines above a share of their standard deviation
-form the content cluster. Classes and ids only suggest boilerplate: an element
-around an article never counts as such, one marked by its layout (header,
-sidebar, menu ...) not if it holds half of the cluster, and inside an article
-not if its own ratio is that of the cluster. The smallest content element
+form the content cluster. Classes and ids only suggest boilerplate. An element
+marked by its layout (header, sidebar, menu ...) or by a state of the page
+(comments-open, has-notice) is none if an article is inside, if it holds half of
+the cluster, or if it is inside an article and its own ratio is that of the
+cluster. One marked as a comment, an advert or a notice, an article among them,
+is always boilerplate, unless all articles and nine tenths of the text are inside. The smallest content element
 (article, main) that holds most of the cluster's text is the region, with its
 sibling elements of the same name; without one, the region is the smallest block
 element around the whole cluster, or the page. All lines of the region outside
@@ -45,11 +47,15 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 #: Words in class, id or role that mark what is never main text, and those that mark a place in the layout.
 _NEVER = r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|discussion|disqus|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|subscription"
 _LAYOUT = r"banner|side-?bar|menu|nav\w*|breadcrumbs?|share|sharing|social|related|recommended|footer|masthead|header|toolbar|widget|pager|pagination|complementary|contentinfo|search"
+#: Words that make a mark a state of the page around (comments-open, has-notice), which is weighed like a place in the layout.
+STATE = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|is|allows?|opened|open|closed|enabled|disabled|on|off|hidden|visible|loaded|shown)(?:$|[_-])", re.I)
 NEVER, LAYOUT = (re.compile(rf"(?:^|[\s_-])(?:{x})(?:$|[\s_-])", re.I) for x in (_NEVER, _LAYOUT))
 #: Marks of an article's own head, which is part of it.
 HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Width of the Gaussian in lines, and the share of the deviation that a content line exceeds.
 SIGMA, THRESHOLD = 1.5, 0.5
+#: Share of the page's text that marks of what is never main text cannot remove.
+WHOLE = 0.9
 
 
 @dataclass(slots=True)
@@ -67,7 +73,7 @@ class Suspect:
     parent: int
     never: bool
     within: bool  # inside a content element
-    holds: bool = False  # a content element
+    holds: int = 0  # content elements
 
 
 class Lines(HTMLParser):
@@ -76,7 +82,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, whether boilerplate, whether suspect
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, whether boilerplate, whether suspect, whether content
         self.of_name: dict[str, list[int]] = {}  # places of each name in ``open``
         self.block_at: list[int] = []  # places of block elements in ``open``
         self.inside: list[int] = []  # numbers of the open content elements
@@ -97,13 +103,14 @@ class Lines(HTMLParser):
 
     def marked(self, attrs) -> bool | None:
         """Whether the marks are of the kind that is never main text; None without marks."""
-        values = [v for k, v in attrs if v and k in ("class", "id", "role")]
-        if any(NEVER.search(v) for v in values):
+        words = [w for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()]
+        never = [w for w in words if NEVER.search(w)]
+        if any(not STATE.search(w) for w in never):
             return True
-        layout = [v for v in values if LAYOUT.search(v)]
+        layout = [w for w in words if LAYOUT.search(w)]
         if self.inside:
-            layout = [v for v in layout if LAYOUT.search(HEAD.sub(" ", v))]
-        return False if layout else None
+            layout = [w for w in layout if LAYOUT.search(HEAD.sub(" ", w))]
+        return False if layout or never else None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -117,7 +124,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skip = tag in BOILERPLATE or (tag == "header" and not self.inside)
-        never = None if skip or tag in CONTENT or tag in ("html", "body") else self.marked(attrs)
+        never = None if skip or tag in ("html", "body") else self.marked(attrs)
+        content = tag in CONTENT and not never
+        if content:
+            never = None  # the layout of an article is its own
         if (skip or never is not None) and tag not in BLOCKS:
             self.flush()
         around = self.at[-1] if self.at else -1
@@ -125,19 +135,17 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.blocks.append([len(self.lines), -1])
             self.block_at.append(len(self.open))
-        self.open.append((tag, skip, never is not None))
+        self.open.append((tag, skip, never is not None, content))
         self.at.append(len(self.blocks) - 1 if tag in BLOCKS else around)
         self.skip += skip
         if never is not None:
             self.suspects.append(Suspect(self.doubt[-1] if self.doubt else -1, never, bool(self.inside)))
             self.doubt.append(len(self.suspects) - 1)
-        if tag in CONTENT:
+        if content:
             self.kin.append((tag, around, self.inside[-1] if self.inside else -1))
             self.inside.append(len(self.kin) - 1)
-            k = self.doubt[-1] if self.doubt and not self.skip else -1
-            while k >= 0 and not self.suspects[k].holds:
-                self.suspects[k].holds = True
-                k = self.suspects[k].parent
+            if self.doubt and not self.skip:
+                self.suspects[self.doubt[-1]].holds += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,10 +154,10 @@ class Lines(HTMLParser):
 
     def close_to(self, k: int) -> None:
         """Close the open elements from place k on."""
-        if any(skip or doubt or name in BLOCKS for name, skip, doubt in self.open[k:]):
+        if any(skip or doubt or name in BLOCKS for name, skip, doubt, _ in self.open[k:]):
             self.flush()
         while len(self.open) > k:
-            (name, skip, doubt), at = self.open.pop(), self.at.pop()
+            (name, skip, doubt, content), at = self.open.pop(), self.at.pop()
             self.of_name[name].pop()
             self.skip -= skip
             if doubt:
@@ -157,7 +165,7 @@ class Lines(HTMLParser):
             if name in BLOCKS:
                 self.blocks[at][1] = len(self.lines)
                 self.block_at.pop()
-            if name in CONTENT:
+            if content:
                 self.inside.pop()
 
     def handle_endtag(self, tag):
@@ -196,7 +204,7 @@ def spoiled(suspects: list[Suspect], lines: list[Line], size: np.ndarray, conten
     total = (size * content).sum()
     bad: list[bool] = []
     for k, s in enumerate(suspects):
-        fine = s.holds or (not s.never and (2 * dense[k] >= total or (s.within and own[k] >= limit * max(tags[k], 1))))
+        fine = not s.never and (s.holds > 0 or 2 * dense[k] >= total or (s.within and own[k] >= limit * max(tags[k], 1)))
         bad.append(not fine or (s.parent >= 0 and bad[s.parent]))
     return bad
 
@@ -209,9 +217,18 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
+    # what is never main text goes before ratios are taken, unless it is the wrapper of the whole page
+    parents = [s.parent for s in page.suspects]
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            page.suspects[parents[k]].holds += page.suspects[k].holds
+    own = summed(np.array([len(x.text) for x in page.lines], float), [x.suspect for x in page.lines], parents)
+    total = sum(len(x.text) for x in page.lines)
     never: list[bool] = []
-    for s in page.suspects:
-        never.append((s.never and not s.holds) or (s.parent >= 0 and never[s.parent]))
+    for k, s in enumerate(page.suspects):
+        if s.never and s.holds == len(page.kin) and own[k] >= WHOLE * total:
+            s.never = False
+        never.append(s.never or (s.parent >= 0 and never[s.parent]))
     places = [k for k, x in enumerate(page.lines) if x.suspect < 0 or not never[x.suspect]]
     lines = [page.lines[k] for k in places]
     if not lines:
@@ -235,7 +252,9 @@ def main_text(html: str | None) -> str:
             kin.append(x[:2] == page.kin[region][:2] or (x[2] >= 0 and kin[x[2]]))
         blocks = [x.text for x in lines if x.inside >= 0 and kin[x.inside]]
     else:
-        at = np.flatnonzero(content)
+        # lines that reach the limit by themselves: smoothing lifts short lines beside the cluster
+        raw = size / np.maximum([x.tags for x in lines], 1)
+        at = np.flatnonzero(content & (raw >= limit)) if (content & (raw >= limit)).any() else np.flatnonzero(content)
         first, last = places[at[0]], places[at[-1]]
         a, b = next(((a, b) for a, b in reversed(page.blocks) if a <= first and (b < 0 or last < b)), (0, -1))
         blocks = [x.text for k, x in zip(places, lines, strict=True) if a <= k and (b < 0 or k < b)]

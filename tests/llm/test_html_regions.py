@@ -66,3 +66,48 @@ def test_odd_pages(spark):
     got = sorted(((r["page_id"] or 0, r["url"], r["text"][:9], r["n_chars"]) for r in html_text.extract(pages).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (1, None, "", 0), (0, "u", "", 0), (2, "u", "plain", 5), (3, "u", LONG[:9], len(LONG * 500) - 1)], key=str)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_marks_of_a_wrapper_do_not_empty_the_page():
+    body = f'<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>'
+    for wrap in ('<div class="post comments-open">', '<div id="page" class="has-notice">', '<div class="no-ads with-comments">', '<div class="notice">', '<section id="modal"><div class="alert page">'):
+        ends = "</div></section>" if "section" in wrap else "</div>"
+        assert main_text(f"<body>{wrap}{body}{ends}</body>").split("\n\n") == ["Title", LONG.strip(), LONG.strip()], wrap
+        assert main_text(f"<body>{wrap}<article>{body}</article>{ends}</body>").split("\n\n") == ["Title", LONG.strip(), LONG.strip()], wrap
+
+
+def test_comments_go_even_as_articles():
+    own = f'<h1>Title</h1><p>{LONG}</p>'
+    said = f"<p>{LONG * 2}</p>"
+    for comment in (f'<article class="comment">{said}</article>', f'<section class="comments"><article class="comment">{said}</article></section>', f'<section class="comments"><article>{said}</article></section>', f'<div id="comments"><article id="comment-7">{said}</article><article>{said}</article></div>'):
+        assert main_text(f"<body><article>{own}{comment}</article></body>").split("\n\n") == ["Title", LONG.strip()], comment
+        assert main_text(f"<body><main>{own}</main>{comment}</body>").split("\n\n") == ["Title", LONG.strip()], comment
+    wrapped = f'<body><main class="comments-open"><article class="post has-comments">{own}</article><section class="comments"><article>{said}</article></section></main></body>'
+    assert main_text(wrapped).split("\n\n") == ["Title", LONG.strip()]
+    no_region = f'<body><div class="text">{own}<p>{LONG}</p></div><section class="comments"><article>{said}</article></section></body>'
+    assert main_text(no_region).split("\n\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_a_column_of_links_beside_the_content_goes():
+    links = "".join(f'<a href="/{k}">{x}</a>' for k, x in enumerate(("Home", "News")))
+    page = f'<body><div class="row"><div class="col">{links}</div><div class="col"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></div></body>'
+    assert main_text(page).split("\n\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_ratios_decide_where_names_mislead(monkeypatch):
+    """Teasers are articles and the text is in a plain element: the ratios choose it, and equal ratios do not."""
+    teasers = "".join(f'<article><a href="/{k}">Teaser {k}</a></article>' for k in range(6))
+    pages = [
+        f'<body><div class="top">{teasers}</div><div class="story"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></body>',
+        f'<body><div><article><h2>Other</h2><p>short</p></article>{teasers}</div><div><div class="x"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></div></body>',
+        f'<body><div class="a">{"<div>name</div>" * 20}</div><div class="b"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class="a">{"<div>name</div>" * 20}</div></body>',
+    ]
+    want = ["Title", LONG.strip(), LONG.strip()]
+    assert [main_text(p).split("\n\n") for p in pages] == [want] * len(pages)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratio: ratio * 0 + 1)
+    assert all(main_text(p).split("\n\n") != want for p in pages)
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "x", 3, "y")], "page_id int, url string, html string, text string, n_chars int, Text2 string")
+    assert [tuple(x) for x in html_text.extract(pages).collect()] == [(1, "u", "a b", 3)]
