@@ -8,9 +8,9 @@ position. All windows are searched backwards together, their rows located by
 walking to sampled positions, and the occurrences merged into spans.
 
 Defined results: null and empty texts have no words and no hits; benchmark
-items without words are ignored, as are null items' ids in the id list (shown
-as "null"); repeated document rows are scored one by one and repeated items
-count once per distinct item_id; ties cannot arise, since separators differ by
+items without words are ignored; a null item_id is shown as "null" in the list
+of ids, one item with any that is so named; repeated document rows are scored
+one by one and repeated items count once per distinct item_id; ties cannot arise, since separators differ by
 place; a very long text is a shard of its own and takes memory in proportion to
 its length; an empty benchmark leaves every text clean and an empty table stays
 empty; other columns, whatever their names, are ignored.
@@ -33,8 +33,9 @@ from .words import CHUNK, SpanHash, Words, buffer, covered, lowered, slices, spl
 WINDOW = 13
 #: Every so many text positions are kept for locating.
 SAMPLE = 8
-#: Benchmark words in one broadcast block, and blocks that a worker holds at once; a larger benchmark takes more passes.
-BLOCK_WORDS, AT_ONCE = 1_000_000, 4
+#: Benchmark words (or eights of bytes) in one broadcast block, and blocks that a worker holds at once; a larger benchmark
+#: takes more passes. A block takes some 45 MB in a worker.
+BLOCK_WORDS, AT_ONCE = 250_000, 4
 #: A text is contaminated if so many times the hit words reach its words.
 CONTAMINATED = 20
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ : bytes that end a word.
@@ -274,7 +275,7 @@ def phrase_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Phrases]:
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         text = bytes(row[1] or b"")
         block.append(("null" if row[0] is None else row[0], text))
-        size += text.count(b" ") + 1
+        size += max(text.count(b" ") + 1, len(text) // 8)
         if size >= block_words:
             yield Phrases(block)
             block, size = [], 0
@@ -332,16 +333,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, with_text: bool = False
     if more is None:
         schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
         return texts.mapInArrow(_scan(group, with_text), schema + ", text string" * with_text)
-    named = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    named = texts.select("doc_id", F.sha2("text", 256).alias("rid"), "text")
     hits, blocks = None, itertools.chain([more], blocks)
     while group:
-        found, _ = materialize(named.mapInArrow(_hit_rows(group), "h_doc long, h_rid long, starts array<long>, ends array<long>, items array<string>"), "hits")
+        found, _ = materialize(named.mapInArrow(_hit_rows(group), "h_doc long, h_rid string, starts array<long>, ends array<long>, items array<string>"), "hits")
         hits = found if hits is None else hits.unionAll(found)
         for b in group:
             b.destroy()
         group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
     hits = hits.groupBy("h_doc", "h_rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
-    joined = named.join(hits, (F.col("rid") == F.col("h_rid")) & F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
+    joined = named.join(hits, F.col("rid").eqNullSafe(F.col("h_rid")) & F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     return joined.select("doc_id", "text", "starts", "ends", "items").mapInArrow(_united(with_text), schema + ", text string" * with_text)
 
@@ -354,7 +355,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
     One pass without a shuffle for a benchmark of up to AT_ONCE blocks; beyond,
-    rows are joined with the contaminated ones by a hash of the text.
+    rows are joined with the contaminated texts by a hash, and the texts are compared.
     """
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
@@ -362,8 +363,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text
     group = [context.broadcast(p) for p in itertools.islice(blocks, AT_ONCE)]
     if next(blocks, None) is not None:
         texts = docs.select(F.xxhash64(column).alias("doc_id"), F.col(column).alias("text")).distinct()
-        bad = decontaminate(texts, benchmark).filter(contaminated()).select(F.col("doc_id").alias("bad_text"))
-        return docs.join(bad, F.xxhash64(column) == F.col("bad_text"), "left_anti")
+        bad = decontaminate(texts, benchmark, with_text=True).filter(contaminated()).select(F.col("doc_id").alias("bad_hash"), F.col("text").alias("bad_text"))
+        return docs.join(bad, (F.xxhash64(docs[column]) == bad["bad_hash"]) & (docs[column] == bad["bad_text"]), "left_anti")
     place = docs.columns.index(column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

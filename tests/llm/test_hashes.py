@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from daftar.llm import decontaminate, ngram_join, quality_rules, words
 from tests.llm.test_kernels import Value, brute_hits
@@ -117,3 +118,15 @@ def test_many_blocks_equal_one(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
     assert rows(decontaminate.decontaminate(docs, bench, True)) == one and any(r["n_hit"] for r in one)
     assert rows(decontaminate.drop_contaminated(docs, bench)) == kept and len(kept) < len(texts)
+
+
+def test_contaminated_texts_are_compared_beyond_one_pass(spark, monkeypatch):
+    """With many blocks and one hash for all texts only contaminated texts go."""
+    texts = [(k, " ".join(f"t{k}x{j}" for j in range(30))) for k in range(12)] + [(40, None), (41, "")]
+    bench = spark.createDataFrame([(k, texts[k][1]) for k in (0, 3, 7)], "item_id int, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    monkeypatch.setattr(decontaminate.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(*x, 1, "b") for x in texts], "doc_id int, text string, bad_hash int, bad_text string")
+    got = decontaminate.drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == [1, 2, 4, 5, 6, 8, 9, 10, 11, 40, 41]
