@@ -2,94 +2,136 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import empty_to_null
-from .joins import anti_keys, near_pairs
-from .shared import cut
+from .joins import anti_keys
+from .near import classes, first_near, near_classes, threshold
+from .near import members as titled
+from .shared import discard, written
 
+#: The name of a near title among reasons, and its number among the kinds of groups.
+NEAR, NEAR_KIND = "near", -1
+GROUP = ["kind", "head"]
 
-def key_edges(df: DataFrame, keys: Sequence[Column], ord_: str = "ord") -> DataFrame:
-    """(later, earlier) pairs that decide on shared keys.
 
-    Rows of one key form a path in order, not a clique: only the next and the
-    first row of the key are linked, which is enough to find the groups.
-    """
-    parts = []
+def two_least(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, lo, hi): the two least distinct values of each group; ``hi`` is null if there is one."""
+    lo = rows.groupBy(*keys).agg(F.min(value).alias("lo"))
+    rest = rows.join(lo, keys).filter(F.col(value) > F.col("lo")).groupBy(*keys).agg(F.min(value).alias("hi"))
+    return lo.join(rest, keys, "left")
+
+
+def key_groups(df: DataFrame, keys: list[Column], ord_: str) -> DataFrame:
+    """(o, kind, head, looks): rows that share a key, by the key's number and its first row."""
+    out = None
     for k, key in enumerate(keys):
-        own = df.select(F.col(ord_).alias("o"), F.concat(F.lit(f"{k}|"), empty_to_null(key)).alias("key")).filter("key is not null")
-        first = own.groupBy("key").agg(F.min("o").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-        parts.append(own.join(first, "key").filter("o != head").select(F.col("o").alias("later"), F.col("head").alias("earlier")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.distinct()
-
-
-def components(edges: DataFrame, a: str = "later", b: str = "earlier") -> DataFrame:
-    """(node, component) by least-label propagation with pointer jumping over a table of edges, until nothing moves."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+        own = df.select(F.col(ord_).cast("long").alias("o"), empty_to_null(key).alias("key")).filter("key is not null")
+        heads = own.groupBy("key").agg(F.min("o").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+        part = own.join(heads, "key").select("o", F.lit(k).alias("kind"), "head", F.lit(True).alias("looks"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def near_groups(df: DataFrame, title: str, adaptive: bool, ord_: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of titles that can be near another row's, as groups, and (head, before): pairs of groups of which rows of the first look at the second."""
+    rows = titled(df, ord_, title)
+    titles = classes(rows)
+    pairs, _ = written(near_classes(titles, titles, adaptive).filter("left_class != right_class").select(F.col("left_class").cast("long").alias("head"), F.col("right_class").cast("long").alias("before")), "near")
+    paired = pairs.select(F.explode(F.array("head", "before")).alias("class_id")).distinct().withColumn("paired", F.lit(True))
+    looks = threshold(F.length("key"), adaptive).isNotNull()
+    some = titles.join(paired, "class_id", "left").filter(F.col("paired").isNotNull() | (looks & (F.col("n_rows") > 1))).select("key", "class_id", looks.alias("looks"))
+    return rows.join(some, "key").select(F.col("id").cast("long").alias("o"), F.lit(NEAR_KIND).alias("kind"), F.col("class_id").cast("long").alias("head"), "looks"), pairs
+
+
+def _seen(undecided: DataFrame, kept: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(kind, head, kept, lo, hi): the first kept row and the two first undecided rows that a group's rows look at."""
+    least = two_least(undecided, GROUP, "o")
+    open_ = least.select(*GROUP, F.explode(F.array_compact(F.array("lo", "hi"))).alias("o"))
+    first = kept
+    if pairs is not None:
+        other = lambda t: t.filter(F.col("kind") == NEAR_KIND).join(pairs, F.col("before") == t["head"]).select(F.lit(NEAR_KIND).alias("kind"), pairs["head"].alias("head"), *(c for c in t.columns if c not in GROUP))
+        open_ = open_.unionByName(other(open_))
+        first = kept.unionByName(other(kept)).groupBy(*GROUP).agg(F.min("kept").alias("kept"))
+        least = two_least(open_, GROUP, "o")
+    return least.join(first, GROUP, "left")
+
+
+def _round(undecided: DataFrame, seen: DataFrame) -> DataFrame:
+    """(o, lo, hi, kept): of each undecided row the first and last known undecided row before it, and the first kept one."""
+    own = undecided.join(seen, GROUP, "left")
+    mine = lambda c: F.when(F.col("looks") & (F.col(c) < F.col("o")), F.col(c))
+    return own.groupBy("o").agg(F.min(mine("lo")).alias("lo"), F.max(F.coalesce(mine("hi"), mine("lo"))).alias("hi"), F.min(mine("kept")).alias("kept"))
+
+
+def settle(rows: DataFrame, pointers: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(o, is_kept) of ``rows`` and of all that hang on them by ``pointers`` (o, to, flip), and working tables to discard: a row with one undecided row before it is the opposite of that row.
+
+    Pointers are doubled, so a chain of any length takes as many steps as its length has binary digits.
+    """
+    known, paths = rows, []
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("c"))
-        moved = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        jump = moved.select(F.col("node").alias("j"), F.col("component").alias("jc"))
-        moved = cut(moved.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", "jc").alias("component"), "moved"))
-        labels = moved.select("node", "component")
-        if not moved.filter("moved").limit(1).count():
-            return labels
+        ends = known.select(F.col("o").alias("to"), F.col("is_kept").alias("other"))
+        new, path = written(pointers.join(ends, "to").select("o", (F.col("other") != F.col("flip")).alias("is_kept")), "settled")
+        known = known.unionByName(new)
+        far = pointers.select(F.col("o").alias("to"), F.col("to").alias("far"), F.col("flip").alias("more"))
+        left = pointers.join(new.select("o"), "o", "left_anti").join(far, "to", "left")
+        flip = F.when(F.col("more").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("more"))
+        pointers, hop_path = written(left.select("o", F.coalesce("far", "to").alias("to"), flip.alias("flip"), F.col("far").isNotNull().alias("moved")), "hops")
+        paths += [path, hop_path]
+        if not pointers.filter("moved").limit(1).count():
+            return known, paths
+        pointers = pointers.select("o", "to", "flip")
 
 
 def greedy(df: DataFrame, keys: Mapping[str, Column], near_title: str | None = None, adaptive: bool = False, ord_: str = "ord") -> DataFrame:
-    """``df`` with ``kept`` and ``reason`` (the first key, in the mapping's order, or ``near``), visiting rows by ``ord_``.
-
-    The relation is not transitive, so groups linked by any shared key or near
-    title are replayed in order; rows without links, the vast majority, stay
-    where they are. A group's rows carry keys only.
+    """``df`` with ``kept`` and ``reason`` (``near``, or the first key in the mapping's order), as visiting rows by ``ord_`` decides.
+
+    The relation is not transitive: what is kept is the first independent set in
+    order. It is found in rounds over all groups at once. A row goes if a kept
+    row is before it in one of its groups, and stays if no undecided row is; a
+    row with a single undecided row before it is the opposite of that one, and
+    such chains are settled by pointer doubling. Rounds read narrow (row, group)
+    tables of the undecided rows; a group is only ever aggregated, so its rows
+    spread over tasks. Rows without links never leave their place.
     """
-    named = df
-    for k, key in keys.items():
-        named = named.withColumn(f"_key_{k}", empty_to_null(key))
-    edges = key_edges(named, [F.col(f"_key_{k}") for k in keys], ord_)
-    near = None
-    if near_title:
-        some = named.select(F.col(ord_).alias("x"), near_title)
-        near = cut(near_pairs(some, some, "x", "x", near_title, adaptive).filter("left_id > right_id").select(F.col("left_id").alias("later"), F.col("right_id").alias("earlier")))
-        edges = edges.unionAll(near).distinct()
-    groups = components(edges)
-    linked = named.join(groups, F.col(ord_) == F.col("node")).select("component", F.col(ord_).alias("o"), *(f"_key_{k}" for k in keys))
-    if near is not None:
-        pairs = near.groupBy(F.col("later").alias("l")).agg(F.collect_set("earlier").alias("near"))
-        linked = linked.join(pairs, F.col("o") == F.col("l"), "left").drop("l")
-    else:
-        linked = linked.withColumn("near", F.lit(None).cast("array<long>"))
+    spark = df.sparkSession
     names = list(keys)
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, set] = {k: set() for k in names}
-        kept: set[int] = set()
-        out = []
-        for row in rows.sort_values("o").itertuples(index=False):
-            row = row._asdict() if hasattr(row, "_asdict") else dict(zip(rows.columns, row, strict=True))
-            values = dict(zip(rows.columns, row.values(), strict=True))
-            reason = next((k for k in names if values[f"_key_{k}"] is not None and values[f"_key_{k}"] in seen[k]), None)
-            if values["near"] is not None and any(int(x) in kept for x in values["near"]):
-                reason = "near"
-            if reason is None:
-                kept.add(int(values["o"]))
-                for k in names:
-                    if values[f"_key_{k}"] is not None:
-                        seen[k].add(values[f"_key_{k}"])
-            out.append((int(values["o"]), reason))
-        return pd.DataFrame(out, columns=["r_ord", "reason"])
-
-    verdict = linked.groupBy("component").applyInPandas(replay, "r_ord long, reason string")
-    return df.join(verdict, F.col(ord_) == F.col("r_ord"), "left").withColumn("kept", F.col("reason").isNull()).drop("r_ord")
+    groups, pairs = key_groups(df, list(keys.values()), ord_), None
+    if near_title:
+        near, pairs = near_groups(df, near_title, adaptive, ord_)
+        groups = groups.unionByName(near) if groups is not None else near
+    every, _ = written(groups, "groups")
+    undecided, kept = every, spark.createDataFrame([], "kind int, head long, kept long")
+    paths: list[str] = []
+    while undecided.limit(1).count():
+        state, state_path = written(_round(undecided, _seen(undecided, kept, pairs)), "state")
+        now = state.filter("kept is not null or lo is null").select("o", F.col("kept").isNull().alias("is_kept"))
+        hang = state.filter("kept is null and lo = hi").select("o", F.col("lo").alias("to"), F.lit(True).alias("flip"))
+        settled, used = settle(now, hang)
+        decided, decided_path = written(settled, "decided")
+        fresh = undecided.join(decided.filter("is_kept").select("o"), "o").groupBy(*GROUP).agg(F.min("o").alias("kept"))
+        kept, kept_path = written(kept.unionByName(fresh).groupBy(*GROUP).agg(F.min("kept").alias("kept")), "kept")
+        undecided, left_path = written(undecided.join(decided.select("o"), "o", "left_anti"), "undecided")
+        discard(spark, state_path, decided_path, *used, *paths)
+        paths = [kept_path, left_path]
+    reason = _reasons(every, kept, pairs, names)
+    out = df.join(reason, F.col(ord_) == F.col("r_ord"), "left")
+    return out.withColumn("kept", F.col("reason").isNull()).drop("r_ord")
+
+
+def _reasons(every: DataFrame, kept: DataFrame, pairs: DataFrame | None, names: list[str]) -> DataFrame:
+    """(r_ord, reason) of the rows that have a kept row before them."""
+    first = kept
+    if pairs is not None:
+        over = kept.filter(F.col("kind") == NEAR_KIND).join(pairs, F.col("before") == kept["head"]).select(F.lit(NEAR_KIND).alias("kind"), pairs["head"].alias("head"), "kept")
+        first = kept.unionByName(over).groupBy(*GROUP).agg(F.min("kept").alias("kept"))
+    hit = every.filter("looks").join(first, GROUP).filter(F.col("kept") < F.col("o")).groupBy(F.col("o").alias("r_ord")).agg(F.min("kind").alias("kind"))
+    text = F.element_at(F.array(*(F.lit(x) for x in (NEAR, *names))), F.col("kind") + 2)
+    return hit.select("r_ord", text.alias("reason"))
 
 
 def against_catalog(df: DataFrame, catalog: DataFrame, keys: Mapping[str, Column], near_title: str | None = None, catalog_title: str | None = None, adaptive: bool = False, ord_: str = "ord") -> DataFrame:
@@ -98,8 +140,7 @@ def against_catalog(df: DataFrame, catalog: DataFrame, keys: Mapping[str, Column
     out = df.join(fresh, F.col(ord_) == F.col("f_ord"), "left").drop("f_ord")
     exact = F.col("fresh").isNull()
     if near_title:
-        pairs = near_pairs(df.select(F.col(ord_).alias("x"), F.col(near_title).alias("t")), catalog.select(F.col("ord").alias("y"), F.col(catalog_title or near_title).alias("t")), "x", "y", "t", adaptive)
-        first = pairs.groupBy("left_id").agg(F.min("right_id").alias("related"))
+        first = first_near(df.select(F.col(ord_).alias("x"), F.col(near_title).alias("t")), catalog.select(F.col("ord").alias("y"), F.col(catalog_title or near_title).alias("t")), "x", "y", "t", adaptive).select("left_id", F.col("right_id").alias("related"))
         out = out.join(first, F.col(ord_) == F.col("left_id"), "left").drop("left_id")
         return out.withColumn("existing", F.when(F.col("related").isNotNull(), "near").when(exact, "exact")).drop("fresh")
     return out.withColumn("existing", F.when(exact, "exact")).drop("fresh")

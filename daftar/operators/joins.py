@@ -1,4 +1,4 @@
-"""Joins of the catalog: keyed anti-joins, ordered unions, first reasons, near titles."""
+"""Joins of the catalog: keyed anti-joins, ordered unions, first reasons."""
 
 from __future__ import annotations
 
@@ -7,12 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_key, empty_to_null
+from ..functions.text import empty_to_null
 from .shared import written
 
-#: A side of an anti-join is broadcast up to so many keys; beyond, Spark shuffles.
-BROADCAST_KEYS = 200_000
-
 
 def keys_of(df: DataFrame, key: Column) -> DataFrame:
     return df.select(empty_to_null(key).alias("_key")).filter("_key is not null").distinct()
@@ -97,39 +94,3 @@ def retract(current: DataFrame, added_before: DataFrame, eligible: DataFrame, on
     """``current`` without rows that were added before and are no longer eligible."""
     gone = added_before.select(on).distinct().join(eligible.select(on), on, "left_anti")
     return current.join(gone, on, "left_anti")
-
-
-def threshold(length: Column, adaptive: bool, fixed: int = 2) -> Column:
-    """Allowed distance for a compact title of ``length``; null below 18 letters."""
-    most = F.when(length >= 42, 3).when(length >= 25, 2).otherwise(1) if adaptive else F.lit(fixed)
-    return F.when(length >= 18, most)
-
-
-def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, title: str, adaptive: bool = False, fixed: int = 2) -> DataFrame:
-    """(left_id, right_id, distance) of titles within the distance that the left title's length allows.
-
-    Lossless and not quadratic: within distance k, one of k + 1 equal pieces of
-    the left title occurs unchanged in the right one, shifted by k places at
-    most. Pieces join on (hash, place, right length), then the distance decides;
-    titles of any length join again only for pairs that share a piece.
-    """
-    most = 3 if adaptive else fixed
-    own = left.select(F.col(left_id).alias("left_id"), compact_key(F.col(title)).alias("a")).withColumn("n", F.length("a")).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter("k is not null")
-    cut = lambda i: F.floor(F.col("n") * i / (F.col("k") + 1)).cast("int")
-    pieces = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("place", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("place"))
-    pieces = pieces.withColumn("piece", F.xxhash64(F.substring(F.col("a"), F.col("place") + 1, F.col("size"))))
-    pieces = pieces.withColumn("m", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n") + F.col("k")))).withColumn("at", F.explode(F.sequence(F.greatest(F.col("place") - F.col("k"), F.lit(0)), F.col("place") + F.col("k"))))
-    # the right side offers the pieces that a left title of each possible length would look for
-    lengths = F.expr(f"filter(sequence(m - {most}, m + {most}), x -> x >= 18)")
-    other = right.select(F.col(right_id).alias("right_id"), compact_key(F.col(title)).alias("b")).withColumn("m", F.length("b")).filter(F.col("m") >= 18 - most)
-    other = other.withColumn("n", F.explode(lengths)).withColumn("k", threshold(F.col("n"), adaptive, fixed)).filter(F.abs(F.col("n") - F.col("m")) <= F.col("k"))
-    other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("place", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("place"))
-    other = other.withColumn("at", F.explode(F.sequence(F.greatest(F.col("place") - F.col("k"), F.lit(0)), F.col("place") + F.col("k")))).withColumn("piece", F.xxhash64(F.substring(F.col("b"), F.col("at") + 1, F.col("size"))))
-    met = pieces.select("left_id", "n", "m", "i", "at", "piece").join(other.select("right_id", "n", "m", "i", "at", "piece"), ["n", "m", "i", "at", "piece"]).select("left_id", "right_id").distinct()
-    titled = met.join(own.select("left_id", "a", "k"), "left_id").join(right.select(F.col(right_id).alias("right_id"), compact_key(F.col(title)).alias("b")), "right_id")
-    return titled.withColumn("distance", F.levenshtein("a", "b", most)).filter(F.col("distance").between(0, F.col("k"))).select("left_id", "right_id", "distance").distinct()
-
-
-def first_near(pairs: DataFrame) -> DataFrame:
-    """Of each left row the first match in the right side's order."""
-    return pairs.groupBy("left_id").agg(F.min("right_id").alias("right_id"))

@@ -13,6 +13,7 @@ from ..operators import aggregates as agg
 from ..operators import joins, ordering
 from ..operators.dedup import greedy
 from ..operators.filters import facets, tokens_and
+from ..operators.near import near_links, near_pairs
 from ..operators.report import cell, constraints, markdown_rows
 from ..operators.rules import Rule, all_matches, first_match, score
 from ..operators.shared import written
@@ -152,23 +153,57 @@ def prioritized_union(spark, sf):
     return joins.prioritized_union([d.filter(F.col("b") == k) for k in range(4)], [{}, title, title | key, key]).select("doc_id", "b")
 
 
+LINE_KEY = duckdb_latin(LINE)
+#: Distinct compact titles and their rows; a title allows two edits, or one to three by its length.
+TITLES_SQL = f"""d as (select doc_id, replace({LINE_KEY}, ' ', '') as c from documents), m as (select * from d where c <> ''),
+t as materialized (select c, min(doc_id) as class_id, count(*) as n, length(c) as z from m group by c)"""
+NEAR_SQL = {
+    kind: f"""o as materialized (select a.class_id as x, b.class_id as y, a.c as ac, b.c as bc, b.n, {most} as k from t a join t b on a.z >= 18 and abs(a.z - b.z) <= {most} and a.class_id <> b.class_id),
+p as materialized (select x, y, n, k, levenshtein(ac, bc) as distance from o where levenshtein(ac, bc) <= k)"""
+    for kind, most in (("fixed", "2"), ("adaptive", "(case when a.z >= 42 then 3 when a.z >= 25 then 2 else 1 end)"))
+}
+PAIRS_SQL = "select a.doc_id as left_id, b.doc_id as right_id, distance from p join t s on s.class_id = x join t q on q.class_id = y join m a on a.c = s.c join m b on b.c = q.c union all select a.doc_id, b.doc_id, 0 from m a join m b on a.c = b.c and a.doc_id <> b.doc_id where length(a.c) >= 18"
+
+
 def all_near(spark, sf, adaptive: bool) -> DataFrame:
     d = lines(spark, sf)
-    return joins.near_pairs(d, d, "doc_id", "doc_id", "key", adaptive).filter("left_id <> right_id")
+    return near_pairs(d, d, "doc_id", "doc_id", "key", adaptive).filter("left_id <> right_id")
 
 
-@query()
+@query(f"with {TITLES_SQL}, {NEAR_SQL['fixed']} {PAIRS_SQL}")
 def near_title_pairs_fixed(spark, sf):
-    """The titles of all documents with those of all others; SQL for it is quadratic, so tests compare with brute force."""
+    """The titles of all documents with those of all others, as pairs of rows; ``near_title_links`` says the same in one row a document."""
     return all_near(spark, sf, False)
 
 
-@query()
+@query(f"with {TITLES_SQL}, {NEAR_SQL['adaptive']} {PAIRS_SQL}")
 def near_title_pairs_adaptive(spark, sf):
     return all_near(spark, sf, True)
 
 
-@query()
+@query(f"with {TITLES_SQL}, {NEAR_SQL['adaptive']} select x as left_class, y as right_class, distance from p")
+def near_title_classes(spark, sf):
+    """Pairs of different near titles, each named by the least document that has it."""
+    return near_links(lines(spark, sf), "doc_id", "key", True)[0]
+
+
+@query(f"""with {TITLES_SQL}, {NEAR_SQL['adaptive']}, w as (select x, sum(n) as n_near from p group by x)
+select m.doc_id, t.class_id, t.n as n_copies, cast((case when z >= 18 then t.n - 1 else 0 end) + coalesce(n_near, 0) as bigint) as n_links from m join t using (c) left join w on x = t.class_id""")
+def near_title_links(spark, sf):
+    """Each document's title class, its copies and how many other documents have its title or one near to it."""
+    return near_links(lines(spark, sf), "doc_id", "key", True)[1].withColumnRenamed("id", "doc_id")
+
+
+@query(f"""with recursive {TITLES_SQL}, {NEAR_SQL['fixed']},
+f as (select doc_id, {LINE} as title, n_chars::varchar || lang as u, row_number() over (order by doc_id) as r from documents),
+e as (select f.r, g.r as b, case when x.title = g.title and x.title <> '' then 1 else 2 end as why from f x join f g on g.r < x.r and ((x.title = g.title and x.title <> '') or x.u = g.u) join f on f.r = x.r
+  union all select f.r, g.r, 0 from m a join t s on s.c = a.c join p on p.x = s.class_id join t q on q.class_id = p.y join m b on b.c = q.c join f on f.doc_id = a.doc_id join f g on g.doc_id = b.doc_id where g.r < f.r
+  union all select f.r, g.r, 0 from m a join m b on a.c = b.c and length(a.c) >= 18 join f on f.doc_id = a.doc_id join f g on g.doc_id = b.doc_id where g.r < f.r),
+w as (select f.r, coalesce(list(b) filter (b is not null), []) as before from f left join e on e.r = f.r group by f.r),
+k(i, kept) as (select 0::bigint, []::bigint[] union all select w.r, case when list_has_any(kept, before) then kept else list_append(kept, w.r) end from k join w on w.r = i + 1),
+l as (select kept from k order by i desc limit 1),
+z as (select e.r, min(why) as why from e, l where list_contains(kept, e.b) group by e.r)
+select f.doc_id, z.r is null as kept, case why when 0 then 'near' when 1 then 'title' when 2 then 'size' end as reason from f left join z using (r)""")
 def greedy_dedup(spark, sf):
     d = lines(spark, sf).withColumn("u", F.concat(F.col("n_chars").cast("string"), F.col("lang")))
     return greedy(d, {"title": F.col("title"), "size": F.col("u")}, "key", ord_="doc_id").select("doc_id", "kept", "reason")

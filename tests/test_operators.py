@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daftar.functions import packs
 from daftar.functions.normalize import REFINE, normalize
 from daftar.operators import aggregates as agg
-from daftar.operators import filters, joins, ordering, rules
+from daftar.operators import filters, joins, near, ordering, rules
 from daftar.operators.dedup import greedy
 
 
@@ -45,7 +45,7 @@ def test_near_pairs_lose_nothing(spark, adaptive):
                 t[k : k + 1] = r.choice([[], ["x"], [t[k], "y"]])
             titles.append("".join(t))
     df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
-    got = {(x[0], x[1], x[2]) for x in joins.near_pairs(df, df, "id", "id", "t", adaptive).collect()}
+    got = {(x[0], x[1], x[2]) for x in near.near_pairs(df, df, "id", "id", "t", adaptive).collect()}
     want = {(i, j, d) for i, a in enumerate(titles) for j, b in enumerate(titles) if (k := allowed(len(a), adaptive)) and (d := levenshtein(a, b)) <= k}
     assert got == want
 
@@ -75,6 +75,58 @@ def test_greedy_equals_the_plain_loop(spark, seed):
     assert sorted(map(tuple, got)) == loop(rows)
 
 
+def test_greedy_settles_a_long_chain(spark):
+    """Every row shares one key with the next: they alternate, and pointers double."""
+    rows = [(i, f"k{i // 2}", f"m{(i + 1) // 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, a string, b string").repartition(3)
+    got = {r["ord"]: (r["kept"], r["reason"]) for r in greedy(df, {"a": F.col("a"), "b": F.col("b")}).collect()}
+    assert got == {i: (True, None) if i % 2 == 0 else (False, "a") for i in range(300)}
+
+
+def test_greedy_of_a_hot_key_and_of_short_titles(spark):
+    """All rows of one key but the first go in one round; a title that is too short looks at no other, but longer ones look at it."""
+    short, long = "abcdefghijklmnopq", "abcdefghijklmnopqr"
+    rows = [(i, "hot", f"t{i}") for i in range(400)] + [(400, "p", short), (401, "q", short), (402, "r", long), (403, "s", short)]
+    got = {r["ord"]: r["reason"] for r in greedy(spark.createDataFrame(rows, "ord long, a string, t string"), {"a": F.col("a")}, "t").collect()}
+    assert got == {0: None, **dict.fromkeys(range(1, 400), "a"), 400: None, 401: None, 402: "near", 403: None}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_reasons_on_random_graphs(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, *(r.choice(["", *(f"{c}{n}" for n in range(60))]) for c in "abc")) for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, a string, b string, c string").repartition(4)
+    seen, want = ({}, {}, {}), {}
+    for o, *own in rows:
+        reason = next((k for k, v, s in zip("abc", own, seen, strict=True) if v and v in s), None)
+        want[o] = reason
+        if reason is None:
+            for v, s in zip(own, seen, strict=True):
+                s[v] = o
+    got = {x["ord"]: x["reason"] for x in greedy(df, {k: F.col(k) for k in "abc"}).collect()}
+    assert got == want
+
+
+def test_near_links_count_rows_that_are_not_paired(spark):
+    base = "abcdefghijklmnopqrstuvwxyz"
+    titles = [base] * 5 + [base + "x"] * 3 + ["short"] * 4 + [base[:20] + "0123456"] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    pairs, links = near.near_links(df, "id", "t", True)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 5, 1), (5, 0, 1)]
+    assert sorted(map(tuple, links.collect())) == [(i, 0, 5, 7) for i in range(5)] + [(i, 5, 3, 7) for i in range(5, 8)] + [(i, 8, 4, 0) for i in range(8, 12)] + [(12, 12, 1, 0)]
+
+
+def test_titles_of_one_stem_meet_by_what_differs(spark):
+    """A stem that all titles share is looked up by none: candidates follow the rest."""
+    stem = "the proceedings of the society for the study of everything "
+    titles = [f"{stem}{k * 7919 % 100003:05d}{k * 104729 % 999983:06d}{k * 611953 % 99991:05d}" for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    compact = [t.replace(" ", "") for t in titles]
+    want = {(i, j) for i, a in enumerate(compact) for j, b in enumerate(compact) if i != j and sum(x != y for x, y in zip(a, b, strict=True)) < 12 and levenshtein(a, b) <= 3}
+    got = {(r["left_class"], r["right_class"]) for r in near.near_links(df, "id", "t", True)[0].collect()}
+    assert got == want
+
+
 def test_greedy_is_not_transitive(spark):
     df = spark.createDataFrame([(0, "x", "1"), (1, "x", "2"), (2, "y", "2")], "ord long, a string, b string")
     assert [r["kept"] for r in greedy(df, {"a": F.col("a"), "b": F.col("b")}).orderBy("ord").collect()] == [True, False, True]
