@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,24 +64,42 @@ def source_priority(source: Column) -> Column:
     return F.when(source == ARCHIVE_SOURCE, 0).otherwise(1)
 
 
-def distinct_by_url(refs: Column) -> Column:
-    """References distinct by address, the first of each."""
-    return F.aggregate(refs, F.array().cast("array<struct<source:string,url:string>>"), lambda acc, r: F.when(F.exists(acc, lambda a: a["url"].eqNullSafe(r["url"])), acc).otherwise(F.array_append(acc, r)))
+@dataclass(frozen=True)
+class Merged:
+    """Records of identities, and what was merged into them in tables of their own, so that no identity is gathered."""
 
+    records: DataFrame
+    references: DataFrame
+    members: DataFrame
 
-def merge_identity(df: DataFrame, key: str = "identity") -> DataFrame:
-    """One record of each identity: the preferred source's, with all references and the ids that were merged.
 
-    The author is the preferred record's unless that is generic; then the first
+def merge_tables(df: DataFrame, key: str = "identity") -> Merged:
+    """One record of each identity: the preferred source's, with the number of its references and rows.
+
+    References are distinct by address, the first of each; they come from an
+    aggregate by (identity, address) and are counted in a second one. The
+    author is the preferred record's unless that is generic; then the first
     record's, as folding the records in order would leave it.
     """
     first = F.min_by(F.struct("id", "title", "author", "source", "sourceUrl"), F.col("ord"))
     best = F.min_by(F.struct("id", "title", "author", "source", "sourceUrl", "volumes", "pages"), F.struct(source_priority(F.col("source")), F.col("ord")))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "id", "source", "sourceUrl")))
-    out = df.groupBy(key).agg(first.alias("f"), best.alias("b"), ordered.alias("all"), F.min("ord").alias("ord"))
-    refs = distinct_by_url(F.transform("all", lambda x: F.struct(x["source"].alias("source"), x["sourceUrl"].alias("url"))))
+    heads = df.groupBy(key).agg(first.alias("f"), best.alias("b"), F.count("*").alias("mergedCount"), F.min("ord").alias("ord"))
+    references = df.groupBy(key, F.col("sourceUrl").alias("url")).agg(F.min_by("source", "ord").alias("source"), F.min("ord").alias("ord"))
+    counts = references.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("sourceCount"))
     author = F.when(canonical_person(F.col("b.author")) != "", F.col("b.author")).otherwise(F.col("f.author"))
-    return out.select(key, "b.id", "b.title", author.alias("author"), "b.source", "b.sourceUrl", "b.volumes", "b.pages", refs.alias("sourceRefs"), F.size(refs).alias("sourceCount"), F.transform("all", lambda x: x["id"]).alias("mergedIds"), "ord")
+    records = heads.join(counts, F.col(key).eqNullSafe(F.col("_key"))).select(key, "b.id", "b.title", author.alias("author"), "b.source", "b.sourceUrl", "b.volumes", "b.pages", "sourceCount", "mergedCount", "ord")
+    return Merged(records, references, df.select(key, "id", "ord"))
+
+
+def merge_identity(df: DataFrame, key: str = "identity") -> DataFrame:
+    """The records of ``merge_tables`` with their references and merged ids as arrays, for a catalog's JSON; a record is as large as its identity."""
+    m = merge_tables(df, key)
+    refs = m.references.groupBy(F.col(key).alias("_r")).agg(F.array_sort(F.collect_list(F.struct("ord", "source", "url"))).alias("refs"))
+    ids = m.members.groupBy(F.col(key).alias("_m")).agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("ids"))
+    out = m.records.join(refs, F.col(key).eqNullSafe(F.col("_r"))).join(ids, F.col(key).eqNullSafe(F.col("_m")))
+    plain = F.transform("refs", lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url")))
+    kept = [key, "id", "title", "author", "source", "sourceUrl", "volumes", "pages"]
+    return out.select(*kept, plain.alias("sourceRefs"), F.col("sourceCount").cast("int").alias("sourceCount"), F.transform("ids", lambda x: x["id"]).alias("mergedIds"), "ord")
 
 
 def count_by(df: DataFrame, key: str, ord_: str | None = None) -> DataFrame:

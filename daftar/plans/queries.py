@@ -17,6 +17,7 @@ from ..operators.near import near_links, near_pairs
 from ..operators.report import cell, constraints, markdown_rows
 from ..operators.rules import Rule, all_matches, first_match, score
 from ..operators.shared import written
+from ..operators.temporal import as_of, interval_join
 from ..sources.sinks import trim_log
 from ..streaming import telemetry
 
@@ -215,14 +216,31 @@ def last_wins_upsert(spark, sf):
     return agg.last_wins(e, "user_id", "event_id", "first_id").select("user_id", "event_type", "event_id", "first_id")
 
 
-@query("""with r as (select 'a' || s_suppkey as id, s_name as title, s_nationkey as identity, 'Internet Archive' as source, s_suppkey % 9 as u, s_suppkey * 2 + 1 as ord from supplier
-union all select 'c' || c_custkey, c_name, c_nationkey, 'catalog', c_custkey % 9, c_custkey * 2 from customer)
-select identity, arg_min(id, (case when source = 'Internet Archive' then 0 else 1 end) * 1000000000 + ord) as id, cast(count(distinct u) as int) as sourceCount, cast(count(*) as int) as merged, min(ord) as ord from r group by identity""")
-def merge_identity(spark, sf):
+WORKS_SQL = """r as (select 'a' || s_suppkey as id, s_name as title, s_nationkey as identity, 'Internet Archive' as source, s_suppkey % 9 as u, s_suppkey * 2 + 1 as ord from supplier
+union all select 'c' || c_custkey, c_name, c_nationkey, 'catalog', c_custkey % 9, c_custkey * 2 from customer)"""
+
+
+def works(spark, sf) -> DataFrame:
+    """Suppliers and customers as records of two sources, by nation."""
     a = table(spark, sf, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.col("s_nationkey").alias("identity"), F.lit("Internet Archive").alias("source"), (F.col("s_suppkey") % 9).alias("u"), (F.col("s_suppkey") * 2 + 1).alias("ord"))
     b = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("identity"), F.lit("catalog").alias("source"), (F.col("c_custkey") % 9).alias("u"), (F.col("c_custkey") * 2).alias("ord"))
-    rows = a.unionByName(b).withColumn("author", F.col("title")).withColumn("sourceUrl", F.col("u").cast("string")).withColumn("volumes", F.lit(None).cast("int")).withColumn("pages", F.lit(None).cast("int"))
-    return agg.merge_identity(rows).select("identity", "id", "sourceCount", F.size("mergedIds").alias("merged"), "ord")
+    return a.unionByName(b).withColumn("author", F.col("title")).withColumn("sourceUrl", F.col("u").cast("string")).withColumn("volumes", F.lit(None).cast("int")).withColumn("pages", F.lit(None).cast("int"))
+
+
+@query(f"with {WORKS_SQL} select identity, arg_min(id, (case when source = 'Internet Archive' then 0 else 1 end) * 1000000000 + ord) as id, cast(count(distinct u) as int) as sourceCount, cast(count(*) as int) as merged, min(ord) as ord from r group by identity")
+def merge_identity(spark, sf):
+    return agg.merge_tables(works(spark, sf)).records.select("identity", "id", F.col("sourceCount").cast("int").alias("sourceCount"), F.col("mergedCount").cast("int").alias("merged"), "ord")
+
+
+@query(f"with {WORKS_SQL} select identity, cast(u as varchar) as url, arg_min(source, ord) as source, min(ord) as ord from r group by identity, u")
+def merge_references(spark, sf):
+    """Each identity's references, distinct by address, the first of each: a table, not a list in the record."""
+    return agg.merge_tables(works(spark, sf)).references
+
+
+@query(f"with {WORKS_SQL} select identity, id, ord from r")
+def merge_members(spark, sf):
+    return agg.merge_tables(works(spark, sf)).members
 
 
 def text_keys(spark, sf) -> DataFrame:
@@ -428,6 +446,25 @@ def throttle_events(spark, sf):
     return telemetry.throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", 3_600_000).select("event_id")
 
 
+@query("""with i as (select o_custkey, o_orderkey, o_orderdate as a, max(l_shipdate) as z from orders join lineitem on l_orderkey = o_orderkey group by all)
+select o.o_orderkey, i.o_orderkey as open_order from orders o join i on i.o_custkey = o.o_custkey and i.a <= o.o_orderdate and o.o_orderdate < i.z""")
+def open_orders(spark, sf):
+    """The customer's orders that are placed and not all shipped when an order comes in: points to the intervals that hold them."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    shipped = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.unix_micros(F.max("l_shipdate").cast("timestamp")).alias("z"))
+    i = o.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_orderkey").alias("open_order"), F.col("at").alias("a"), "z")
+    return interval_join(o, i, ["o_custkey"], "at", "a", "z").select("o_orderkey", "open_order")
+
+
+@query("""with v as (select * from events where event_type <> 'error'), e as (select * from events where event_type = 'error')
+select e.event_id, arg_max(v.event_id, (v.ts, v.event_id)) as before from e left join v on v.user_id = e.user_id and v.ts <= e.ts group by e.event_id""")
+def last_event_before_error(spark, sf):
+    """Each error with the user's last other event up to it."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    other = e.filter("event_type <> 'error'").select("user_id", F.col("ts").alias("other_ts"), F.col("event_id").alias("before"))
+    return as_of(e.filter("event_type = 'error'").select("event_id", "user_id", "ts"), other, ["user_id"], "ts", "other_ts", ["before"], "before").select("event_id", "before")
+
+
 @query("select event_type, event_id from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 200")
 def ring_buffer(spark, sf):
     return telemetry.newest(table(spark, sf, "events"), ["event_type"], 200, "ts", "event_id").select("event_type", "event_id")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType
 
 from ..functions.regexjs import WS
+from ..operators.shared import discard, written
 from ..sources.sinks import log_line
 
 # --- fixed values: limits and field names of the collector ---
@@ -142,28 +143,54 @@ def throttled_times(times: list[int], last: int | None, gap: int = THROTTLE_MS)
     return kept, last
 
 
+def successors(events: DataFrame, gap: int) -> tuple[DataFrame, list[str]]:
+    """(id, next): of each event (key, ms, id) the first of its key that is ``gap`` or more later, null if there is none; and a working table to discard.
+
+    Events and searches are range-partitioned by key and time, so one key of all
+    rows takes all tasks; a search that ends a partition goes on with the first
+    event of its key in a later one.
+    """
+    search = events.select("key", (F.col("ms") + gap).alias("at"), F.lit(0).alias("kind"), F.col("id").alias("of"), F.lit(None).cast("struct<ms:bigint,id:bigint>").alias("e"))
+    there = events.select("key", F.col("ms").alias("at"), F.lit(1).alias("kind"), F.col("id").alias("of"), F.struct(F.col("ms").cast("long").alias("ms"), F.col("id").cast("long").alias("id")).alias("e"))
+    dealt = search.unionByName(there).repartitionByRange("key", "at", "kind", "of").withColumn("part", F.spark_partition_id())
+    parts, path = written(dealt, "searches")
+    after = Window.partitionBy("part", "key").orderBy(F.desc("at"), F.desc("kind"), F.desc("of")).rowsBetween(Window.unboundedPreceding, 0)
+    found = parts.withColumn("hit", F.last("e", ignorenulls=True).over(after)).filter("kind = 0").select("part", "key", "of", "hit")
+    firsts = parts.filter("kind = 1").groupBy("key", "part").agg(F.min("e").alias("first"))
+    # of each key in a partition the first event in later partitions: as many rows as partitions and keys
+    later = Window.partitionBy("key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.select("key", "part").distinct().join(firsts, ["key", "part"], "left").withColumn("beyond", F.last("first", ignorenulls=True).over(later)).select("key", "part", "beyond")
+    return found.join(ends, ["key", "part"]).select(F.col("of").alias("id"), F.coalesce("hit", "beyond")["id"].alias("next")), [path]
+
+
 def throttle(df: DataFrame, key: str, ts: str, ident: str, gap: int = THROTTLE_MS) -> DataFrame:
     """Batch form: rows of each key at least ``gap`` milliseconds after the last row kept.
 
-    The last kept row decides, not the last row, so no window frame expresses it;
-    narrow (key, time, id) rows stream in order past one number per task, so that a
-    key of any length takes no memory.
+    The last kept row decides, not the last row, so no window frame expresses it.
+    Each row points to the first one that could be kept after it; what the
+    pointers reach from each key's first row is kept. Pointers are doubled, so
+    the rounds are the binary digits of the longest run of kept rows, and no
+    step holds a key in one task. Rows without a time are never kept; rows
+    without a key are a key of their own; ids are distinct.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, ms in zip(pdf["_key"].tolist(), pdf["ms"].tolist(), strict=True):
-                if k != now and not (k != k and now != now):
-                    now, last = k, None
-                ok, last = throttled_times([ms], last, gap)
-                keep += ok
-            yield pdf[keep][[ident]]
-
-    narrow = df.select(F.col(key).alias("_key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), ident)
-    kept = narrow.repartition("_key").sortWithinPartitions("_key", "ms", ident).mapInPandas(run, f"{ident} long")
-    return df.join(kept, ident, "left_semi")
+    if gap < 1:
+        raise ValueError("the gap is a positive number of milliseconds")
+    spark = df.sparkSession
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    events = df.select(name.alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(ident).cast("long").alias("id")).filter("ms is not null")
+    events, event_path = written(events, "events")
+    found, used = successors(events, gap)
+    jump, path = written(found.filter("next is not null"), "jumps")
+    reached, reached_path = written(events.groupBy("key").agg(F.min(F.struct("ms", "id")).alias("first")).select(F.col("first.id").alias("id")), "reached")
+    discard(spark, event_path, *used)
+    while jump.limit(1).count():
+        more = reached.join(jump, "id").select(F.col("next").alias("id"))
+        now, now_path = written(reached.unionByName(more).distinct(), "reached")
+        far = jump.select(F.col("id").alias("next"), F.col("next").alias("far"))
+        double, double_path = written(jump.join(far, "next").select("id", F.col("far").alias("next")), "jumps")
+        discard(spark, path, reached_path)
+        jump, path, reached, reached_path = double, double_path, now, now_path
+    return df.join(reached.select(F.col("id").alias("_kept")), F.col(ident) == F.col("_kept"), "left_semi")
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, ident: str, gap: int = THROTTLE_MS) -> DataFrame:
