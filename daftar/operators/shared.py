@@ -22,9 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/daftar-{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` as read back from a table in the shared folder, and the table's path."""
-    path = f"{shared_dir(df.sparkSession)}/daftar-{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

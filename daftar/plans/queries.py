@@ -17,6 +17,7 @@ from ..operators.near import near_links, near_pairs
 from ..operators.report import cell, constraints, markdown_rows
 from ..operators.rules import Rule, all_matches, first_match, score
 from ..operators.shared import written
+from ..operators.substring_index import SubstringIndex
 from ..operators.temporal import as_of, interval_join
 from ..sources.sinks import trim_log
 from ..streaming import telemetry
@@ -72,6 +73,13 @@ def search_tokens_and(spark, sf):
     return d.filter(tokens_and(F.col("search_key"), "The TION, ou!", LATIN)).select("doc_id", "source")
 
 
+@query(f"select doc_id, source from documents where contains({duckdb_latin('text')}, 'nding') and contains({duckdb_latin('text')}, 'tion') and contains({duckdb_latin('text')}, 'ou')")
+def search_by_index(spark, sf):
+    """Substring search that reads the posting lists of its trigrams, and the texts of the documents that they leave."""
+    d = written(table(spark, sf, "documents").select("doc_id", "source", normalize(F.col("text"), LATIN).alias("search_key")), "keys")[0]
+    return SubstringIndex.build(d, "doc_id", "search_key").search(d, "doc_id", "search_key", ["nding", "tion", "ou"]).select("doc_id", "source")
+
+
 CATS = "(case doc_id % 5 when 0 then 'diwans' when 1 then 'references' when 2 then 'dictionaries' when 3 then 'scientific_poems' else 'academies' end)"
 
 
