@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.normalize import LATIN, normalize
 from ..operators import ordering, projections, report
-from ..operators.shared import shared_dir
+from ..operators.ordering import running_sum
+from ..operators.shared import new_path, shared_dir
 from ..sources import catalogs, paged, sinks
 from . import search
 from .arabic import _DIWAN, _POEM, CATALOG, catalog_rows
@@ -88,51 +89,132 @@ def source_cards(spark, sf):
     return catalogs.html_cards(pages).select("page_id", "title", F.col("relativePath").alias("path"), "author", "volumes", "pages")
 
 
-class _Nations(paged.PagedSearch):
-    """A search service over the numbers 0 to 24, without a network."""
+#: Documents on a page of the service that the paged sources are tried on.
+PAGE = 100
 
+
+def published(spark, sf) -> str:
+    """Documents as the pages of a service, written by Spark: a folder for each language and page, and a folder with each language's count."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    numbered = running_sum(d, F.lit(1), ["lang"], F.col("doc_id"), name="r").withColumn("page", F.floor((F.col("r") - 1) / PAGE) + 1).withColumn("place", (F.col("r") - 1) % PAGE)
+    where = new_path(spark, "service")
+    line = F.to_json(F.struct(F.col("doc_id").alias("identifier"), "place"))
+    numbered.select("lang", "page", line.alias("value")).repartition("lang", "page").write.partitionBy("lang", "page").text(f"{where}/pages")
+    d.groupBy("lang").agg(F.count("*").cast("string").alias("value")).write.partitionBy("lang").text(f"{where}/counts")
+    return where
+
+
+def _lines(folder: str) -> list[str]:
+    """Lines of the files in a folder of any file system, none if it is missing."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder)
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return []
+    found = [f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("part-")]
+    return [x for f in found for x in files.open_input_stream(f).read().decode().splitlines()]
+
+
+def _page(where: str, lang: str, page: int) -> list[dict]:
+    return sorted((json.loads(x) for x in _lines(f"{where}/pages/lang={lang}/page={page}")), key=lambda x: x["place"])
+
+
+def _answer(url: str) -> dict:
+    """The service's answer to a search address."""
+    where, ask = url.split("?")
+    ask = dict(x.split("=") for x in ask.split("&") if not x.startswith("fl"))
+    found = int(_lines(f"{where}/counts/lang={ask['q']}")[0])
+    return {"response": {"numFound": found, "docs": _page(where, ask["q"], int(ask["page"]))[: int(ask["rows"])]}}
+
+
+def _feed(url: str) -> dict:
+    """The service's answer to a cursor: pages of English documents, each with the number of the next."""
+    where, ask = url.split("?")
+    page = int(ask.split("=")[1] or 1)
+    return {"items": _page(where, "en", page), "cursor": str(page + 1) if _lines(f"{where}/pages/lang=en/page={page + 1}") else None}
+
+
+class _Documents(paged.PagedSearch):
     @classmethod
     def name(cls):
-        return "paged_nations"
+        return "paged_documents"
 
     def reader(self, schema):
         return paged.PagedReader(self.options, _answer)
 
 
-def _answer(url: str) -> dict:
-    ask = dict(x.split("=") for x in url.split("?")[1].split("&") if not x.startswith("fl"))
-    rows, page = int(ask["rows"]), int(ask["page"])
-    return {"response": {"numFound": 25, "start": (page - 1) * rows, "docs": [{"identifier": k} for k in range(25)][(page - 1) * rows : page * rows]}}
+class _DocumentFeed(paged.CursorFeed):
+    @classmethod
+    def name(cls):
+        return "document_feed"
+
+    def streamReader(self, schema):  # noqa: N802
+        return paged.CursorStreamReader(self.options, _feed)
 
 
-def _searched(spark, paging: str, **more: int) -> DataFrame:
-    spark.dataSource.register(_Nations)
-    reader = spark.read.format("paged_nations").option("url", "http://stub").option("queries", '["q"]').option("rows", 10).option("pauseSeconds", 0).option("paging", paging)
+def _searched(spark, sf, paging: str, **more: int) -> DataFrame:
+    spark.dataSource.register(_Documents)
+    langs = [r[0] for r in table(spark, sf, "documents").select("lang").distinct().limit(1000).collect()]
+    reader = spark.read.format("paged_documents").option("url", published(spark, sf)).option("queries", json.dumps(langs)).option("rows", PAGE).option("pauseSeconds", 0).option("paging", paging)
     for k, v in more.items():
         reader = reader.option(k, v)
-    return reader.load().select(F.get_json_object("json", "$.identifier").cast("long").alias("id"), "page", "place")
+    return reader.load().select(F.get_json_object("json", "$.identifier").cast("long").alias("id"), F.col("query").alias("lang"), "page", "place")
 
 
-for _paging, _limit in (("fixed", 25), ("count", 25), ("cursor", 25), ("single", 10)):
+_PAGES_SQL = f"select doc_id as id, lang, (r // {PAGE} + 1)::int as page, (r % {PAGE})::int as place from (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as r from documents)"
 
-    def _search(spark, sf, paging=_paging):
-        return _searched(spark, paging)
 
-    _search.__name__ = f"source_pages_{_paging}"
-    query(f"select n_nationkey::bigint as id, (n_nationkey // 10 + 1)::int as page, (n_nationkey % 10)::int as place from nation where n_nationkey < {_limit}")(_search)
+@query(_PAGES_SQL)
+def source_pages_fixed(spark, sf):
+    """Pages of every language's documents until a short one."""
+    return _searched(spark, sf, "fixed", maxPages=2**31 - 1)
 
 
-@query("select n_nationkey::bigint as id from nation where n_nationkey < 20")
-def source_pages_limited(spark, sf):
-    return _searched(spark, "fixed", maxPages=2).select("id")
+@query(_PAGES_SQL)
+def source_pages_count(spark, sf):
+    return _searched(spark, sf, "count", maxResults=2**62)
 
 
-@query("select n_nationkey::bigint as id from nation")
+@query(_PAGES_SQL)
+def source_pages_cursor(spark, sf):
+    return _searched(spark, sf, "cursor", maxResults=2**62)
+
+
+@query(f"{_PAGES_SQL} where r < {PAGE}")
+def source_pages_single(spark, sf):
+    """One page a query is the feature."""
+    return _searched(spark, sf, "single")
+
+
+@query(f"{_PAGES_SQL} where r < 2 * {PAGE}")
+def source_pages_limited(spark, sf):
+    """Two pages a query at most are the feature."""
+    return _searched(spark, sf, "fixed", maxPages=2)
+
+
+def _drained(spark, where: str, out: str, batches: int | None = None) -> None:
+    """Read the feed into ``out`` until nothing comes, or only some batches, from where an earlier run stopped."""
+    spark.dataSource.register(_DocumentFeed)
+    feed = spark.readStream.format("document_feed").option("url", where).option("stateLocation", f"{out}/place").option("answersPerBatch", 3).option("pauseSeconds", 0).load()
+    run = feed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="0 seconds").start()
+    try:
+        if batches is None:
+            run.processAllAvailable()
+        else:
+            while (run.lastProgress or {"batchId": -1})["batchId"] < batches - 1 and run.isActive:
+                run.awaitTermination(1)
+    finally:
+        run.stop()
+
+
+@query(f"select doc_id as id, r // {PAGE} as answer, r % {PAGE} as place from (select doc_id, (row_number() over (order by doc_id) - 1)::int as r from documents where lang = 'en')")
 def source_cursor(spark, sf):
-    """A cursor interface of ten items an answer."""
-    answers = {None: 0, "10": 10, "20": 20}
-    fetch = lambda c: {"items": list(range(answers[c], min(answers[c] + 10, 25))), "cursor": str(answers[c] + 10) if answers[c] < 20 else None}
-    return spark.createDataFrame([(x,) for x in paged.cursor_pages(fetch)], "id long")
+    """A cursor feed of the English documents as a stream that is stopped once and goes on from its checkpoint."""
+    out, where = new_path(spark, "feed"), published(spark, sf)
+    _drained(spark, where, out, 1)
+    _drained(spark, where, out)
+    rows = spark.read.schema("answer int, place int, json string").parquet(f"{out}/rows")
+    return rows.select(F.get_json_object("json", "$.identifier").cast("long").alias("id"), "answer", "place")
 
 
 @query("select s_suppkey::varchar as identifier, case when s_suppkey % 3 = 0 then 'cached' when s_suppkey % 7 = 0 then 'error' else 'fetched ' || s_suppkey end as state from supplier")

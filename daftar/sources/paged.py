@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # --- fixed values: the remote service's limits ---
 ROWS, MAX_PAGES, MAX_RESULTS, PAUSE_S, TIMEOUT_S, ATTEMPTS, CHUNK, WORKERS = 1000, 5, 5000, 0.25, 30, 3, 25, 6
@@ -116,15 +116,95 @@ class PagedSearch(DataSource):
         return PagedReader(self.options)
 
 
-def pages_until_empty(fetch: Callable[[int], str], cards: Callable[[str], list], most: int = 1000) -> Iterator[tuple[int, str]]:
+def pages_until_empty(fetch: Callable[[int], str], cards: Callable[[str], list]) -> Iterator[tuple[int, str]]:
     """(number, html) of the pages of a list, until the first that has no cards."""
-    for page in range(1, most + 1):
+    for page in itertools.count(1):
         html = fetch(page)
         if not cards(html):
             return
         yield page, html
 
 
+class _Answer(InputPartition):
+    def __init__(self, n: int, cursor: str):
+        super().__init__((n, cursor))
+        self.n, self.cursor = n, cursor
+
+
+class CursorStreamReader(DataSourceStreamReader):
+    """A cursor interface as a stream: an answer holds items and the cursor of the next answer.
+
+    An offset holds the number of answers so far, the next cursor and the
+    cursors of its batch, so a batch that is tried again reads the same answers,
+    each in a task of its own. Only cursors pass through planning. Spark does
+    not tell a restarted reader where it stood, so the place is also kept in
+    ``stateLocation``, written when a batch is planned, after Spark has logged
+    its offset: it is the last logged place, or one batch behind it, and that
+    batch is then planned again before any other.
+    """
+
+    def __init__(self, options, fetch: Callable[[str], dict] = http_json):
+        self.base, self.per_batch = options["url"], int(options.get("answersPerBatch", 10))
+        self.state, self.pause, self.fetch = options["stateLocation"].rstrip("/"), float(options.get("pauseSeconds", PAUSE_S)), fetch
+        self.place: dict | None = None
+
+    def get(self, cursor: str) -> dict:
+        time.sleep(self.pause)
+        return retried(lambda: self.fetch(f"{self.base}?{urllib.parse.urlencode([('cursor', cursor)])}"), pause=self.pause)
+
+    def _file(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.state)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"n": 0, "next": "", "batch": "[]", "done": False}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        if self.place is None:
+            files, path = self._file()
+            with_state = files.get_file_info(f"{path}/place.json").is_file
+            self.place = json.loads(files.open_input_stream(f"{path}/place.json").read()) if with_state else self.initialOffset()
+        cursor, batch, done = self.place["next"], [], self.place["done"]
+        while not done and len(batch) < self.per_batch:
+            answer = self.get(cursor)
+            batch.append(cursor)
+            cursor, done = answer.get("cursor") or "", not answer.get("cursor")
+        if not batch:
+            return self.place
+        return {"n": self.place["n"] + len(batch), "next": cursor, "batch": json.dumps(batch), "done": done}
+
+    def partitions(self, start: dict, end: dict):
+        self.place = end
+        files, path = self._file()
+        files.create_dir(path, recursive=True)
+        with files.open_output_stream(f"{path}/place.new") as out:
+            out.write(json.dumps(end).encode())
+        files.move(f"{path}/place.new", f"{path}/place.json")
+        if start["n"] >= end["n"]:
+            return []
+        batch = json.loads(end["batch"])
+        return [_Answer(end["n"] - len(batch) + k, c) for k, c in enumerate(batch)]
+
+    def read(self, partition: _Answer) -> Iterator[tuple]:
+        for k, item in enumerate(self.get(partition.cursor).get("items", [])):
+            yield partition.n, k, json.dumps(item, ensure_ascii=False)
+
+
+class CursorFeed(DataSource):
+    """``spark.readStream.format("cursor_feed")``: answer, place, json."""
+
+    @classmethod
+    def name(cls):
+        return "cursor_feed"
+
+    def schema(self):
+        return "answer int, place int, json string"
+
+    def streamReader(self, schema):  # noqa: N802
+        return CursorStreamReader(self.options)
+
+
 def cursor_pages(fetch: Callable[[str | None], dict], most: int = MAX_RESULTS) -> Iterator[dict]:
     """Items of a cursor interface, request after request, until it ends or ``most`` are read."""
     cursor, seen = None, 0
