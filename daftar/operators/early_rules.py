@@ -20,12 +20,8 @@ NOT_ALONE_1 = r"(دراسه|رساله|اطروحه|بحث|شرح|فهرس|مع
 POETRY_1 = r"(شعر|قصائد|شاعر|ديوان)"
 CONTAINER_1 = r"^(كتاب|مكتبه|مجموعه|سلسله|ملف)\s+"
 POETRY_2 = r"(شعر|قصيد|قصائد|شاعر|شعرية|ديوان)"
-OFFICES = (
-    r"ديوان\s+(?:المبتدا|المبتدأ|الخبر|العبر|الانشاء|الإنشاء|الرسائل|الخراج|المحاسبه|المحاسبة|المظالم|العدل|الخدمه|الخدمة|المال|الماليه|المالية|الشكاوي|الشكاوى"
-    r"|الوزاره|الوزارة|الدوله|الدولة|الوقف|الحساب|الاموال|الأموال|العقارات|الضرائب)"
-)
-NOT_DIWAN_2 = r"(?:دراسه|رساله|اطروحه|بحث|شرح|فهرس|معجم|نقد|تحليل|قراءه|موازنه|ببليوغرافيا|مكتبه|موسوعه|تاريخ|سجل|اداره|موظف|وظائف|" + OFFICES + r"|ديوان\s+الشعر\s+العربي|ديوان\s+اللصوص|ديوان\s+الفكاهه|ديوان\s+الفكاهة|ديوان\s+الادب|ديوان\s+الأدب)"
-NOT_DIWAN_3 = r"(?:دراسه|رساله|اطروحه|بحث|شرح|فهرس|معجم|نقد|تحليل|قراءه|موازنه|ببليوغرافيا|مكتبه|موسوعه|تاريخ|سجل|اداره|" + OFFICES + r"|ديوان\s+(?:الشعر\s+العربي|الشعر\s+العربى|اللصوص|الفكاهه|الفكاهة|الادب|الأدب))"
+NOT_DIWAN_2 = r"(?:دراسه|رساله|اطروحه|بحث|شرح|فهرس|معجم|نقد|تحليل|قراءه|موازنه|ببليوغرافيا|مكتبه|موسوعه|تاريخ|سجل|اداره|موظف|وظائف|ديوان\s+(?:المبتدا|المبتدأ|الخبر|العبر|الانشاء|الإنشاء|الرسائل|الخراج|المحاسبه|المحاسبة|المظالم|العدل|الخدمه|الخدمة|المال|الماليه|المالية|الشكاوي|الشكاوى|الوزاره|الوزارة|الدوله|الدولة|الوقف|الحساب|الاموال|الأموال|العقارات|الضرائب)|ديوان\s+الشعر\s+العربي|ديوان\s+اللصوص|ديوان\s+الفكاهه|ديوان\s+الفكاهة|ديوان\s+الادب|ديوان\s+الأدب)"
+NOT_DIWAN_3 = r"(?:دراسه|رساله|اطروحه|بحث|شرح|فهرس|معجم|نقد|تحليل|قراءه|موازنه|ببليوغرافيا|مكتبه|موسوعه|تاريخ|سجل|اداره|ديوان\s+(?:المبتدا|المبتدأ|الخبر|العبر|الانشاء|الإنشاء|الرسائل|الخراج|المحاسبه|المحاسبة|المظالم|العدل|الخدمه|الخدمة|المال|الماليه|المالية|الشكاوي|الشكاوى|الوزاره|الوزارة|الدوله|الدولة|الوقف|الحساب|الاموال|الأموال|العقارات|الضرائب)|ديوان\s+(?:الشعر\s+العربي|الشعر\s+العربى|اللصوص|الفكاهه|الفكاهة|الادب|الأدب))"
 PART_2 = r"(?:الجزء|جزء|المجلد|مجلد|ج\.?\s*\d+|الجزءان|الجزئين|القسم)\s*(?:الاول|الأول|الثاني|الثالث|الرابع|[0-9٠-٩]+)?(?:\s+من)?"
 EDITION_2 = r"(?:\s|[-–—،:])(?:ت\.?|تحقيق|طبعه|طبعة|نشر|مراجعه|مراجعة|شرح|دراسه|دراسة|pdf|word|htm|html).*"
 REASONS_1 = ("عنوان مفقود", "لا يثبت أي حقل وصفي أنه ديوان", "عنوان دراسة أو شرح أو فهرس أو مجموعة لا تمثل ديواناً مستقلاً", "عنوان حاوية أو ملف لا يمثل ديواناً مستقلاً", "لا يوجد سياق شعري كافٍ في البيانات الوصفية")

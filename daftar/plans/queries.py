@@ -118,6 +118,24 @@ def stat_cards(spark, sf):
     return agg.filtered_counts(catalog(spark, sf), {"all": F.lit(True), "romance": any_tag(("fr", "es")), "long_or_german": any_tag(("de", "long")), "none": any_tag(("xx",))})
 
 
+@query("""with d as (select * from documents where not (n_chars > 2000 and doc_id % 3 = 0))
+select 'lang' as dimension, lang as value, count(*) as n from d group by 2 union all select 'source', source, count(*) from d group by 2
+union all select 'category', 'short', count(*) from d where n_chars < 500 having count(*) > 0 union all select 'category', 'german', count(*) from d where lang = 'de' having count(*) > 0""")
+def incremental_counts(spark, sf):
+    """All documents come in four changes, and the long ones of every third id go again; counts follow the changes."""
+    from .incremental import Counts
+
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    counts = Counts(spark, ("lang", "source"), {"short": F.col("n_chars") < 500, "german": F.col("lang") == "de"})
+    gone = d.filter("n_chars > 2000 and doc_id % 3 = 0")
+    for k in range(4):
+        part = F.pmod("doc_id", F.lit(4)) == k
+        late = F.pmod("doc_id", F.lit(4)) == (k - 1) % 4
+        counts.apply(k + 1, d.filter(part), gone.filter(late) if k else None)
+    counts.apply(5, None, gone.filter(F.pmod("doc_id", F.lit(4)) == 3))
+    return counts.table()
+
+
 CHOSEN = {"p_brand": "Brand#11", "p_type": "all", "p_size": "999"}
 
 

@@ -53,16 +53,20 @@ def by_facet_table(catalog: DataFrame, entries: DataFrame, kind: str, chosen: Ma
 
 
 class Views:
-    """Results of requests over one catalog, kept while the catalog and the request stay the same."""
+    """Results of the latest requests over one catalog, at most ``most`` of them; the least recently asked one is released."""
 
-    def __init__(self, catalog: DataFrame):
-        self.catalog, self.kept = catalog, {}
+    def __init__(self, catalog: DataFrame, most: int = 16):
+        self.catalog, self.most, self.kept = catalog, most, {}
 
     def results(self, r: Request) -> DataFrame:
         key = (r.query.strip(), r.category, r.stat, tuple(sorted(r.facets.items())), r.bilingual_ids)
-        if key not in self.kept:
-            self.kept[key] = results(self.catalog, r).persist()
-        return self.kept[key]
+        df = self.kept.pop(key, None)
+        if df is None:
+            df = results(self.catalog, r).persist()
+            if len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+        self.kept[key] = df  # the latest is the last
+        return df
 
     def replace(self, catalog: DataFrame) -> None:
         """A new catalog: what was kept is released."""

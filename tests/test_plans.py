@@ -109,6 +109,10 @@ def test_views_are_kept_until_the_catalog_changes(catalog):
     views = search.Views(catalog)
     first = views.results(search.Request(query="النحو"))
     assert views.results(search.Request(query="النحو ")) is first and views.results(search.Request(query="صرف")) is not first
+    few = search.Views(catalog, most=2)
+    a, b = few.results(search.Request(query="النحو")), few.results(search.Request(query="صرف"))
+    assert few.results(search.Request(query="النحو")) is a and few.results(search.Request(query="شعر")) is not b
+    assert len(few.kept) == 2 and a.storageLevel.useMemory and not b.storageLevel.useMemory  # the least recently asked one went
     views.replace(catalog)
     assert not first.storageLevel.useMemory and views.results(search.Request(query="النحو")) is not first
 
