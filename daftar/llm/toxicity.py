@@ -104,7 +104,7 @@ class Ordinal:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: int = GRADES, rounds: int = 400) -> Ordinal:
-        """Gradient descent with momentum on the mean log-likelihood; thresholds are sums of exponentials."""
+        """Gradient descent with momentum on the mean log-likelihood; thresholds are sums of exponentials; steps shrink over the second half."""
         share = np.clip(np.cumsum(np.bincount(y, weight, minlength=grades))[:-1] / weight.sum(), 1e-4, 1 - 1e-4)
         theta0 = np.log(share / (1 - share))
         raw = np.concatenate((theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-2))))
@@ -126,7 +126,8 @@ class Ordinal:
             gw = -(x.T @ (dh - dl)) - RIDGE * w
             g = np.concatenate((graw, gw)) / total
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-            step = 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+            rate = 0.1 * min(1.0, 2 * (1 - t / rounds))  # steps of one length would circle around the maximum
+            step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
             raw, w = raw + step[: len(raw)], w + step[len(raw) :]
         theta = np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
         return cls(theta, w / scale)
