@@ -112,12 +112,17 @@ def histogram(df: DataFrame, key: Column, label: str = EMPTY_LABEL) -> DataFrame
     return df.groupBy(unspecified(key, label).alias("value")).agg(F.count("*").alias("n"))
 
 
+def _tags(df: DataFrame, tags: str) -> DataFrame:
+    """One row (tag) per tag. The outer form, since the other one is given filters that compute the whole list twice more."""
+    return df.select(F.posexplode_outer(tags).alias("_at", "tag")).filter("_at is not null").select("tag")
+
+
 def tag_counts(df: DataFrame, tags: str = "tags") -> DataFrame:
-    return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return _tags(df, tags).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def tag_set(df: DataFrame, tags: str = "tags") -> DataFrame:
-    return df.select(F.explode(tags).alias("tag")).distinct()
+    return _tags(df, tags).distinct()
 
 
 def fixed_counts(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
