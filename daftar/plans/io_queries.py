@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,46 +25,56 @@ def new_file(spark, tag: str) -> str:
     return f"{shared_dir(spark)}/daftar-{tag}-{uuid.uuid4().hex}"
 
 
-def document(spark, value, tag: str, gzip: bool = False) -> str:
+def document(spark, value, tag: str) -> str:
     """One JSON document in a folder."""
     path = new_file(spark, tag)
-    writer = spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write
-    (writer.option("compression", "gzip") if gzip else writer).text(path)
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
     return path
 
 
-def nations(spark, sf) -> list[dict]:
-    """All nations, 25 by definition of the table."""
-    return [{"id": str(r["n_nationkey"]), "title": r["n_name"]} for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+#: Records in one file of a source.
+PER_FILE = 500
+FILED = f"select cast(doc_id as varchar) as id, text as title, row_number() over (partition by doc_id // {PER_FILE} order by doc_id) - 1 as ord from documents"
 
 
-PLACED = "select cast(n_nationkey as varchar) as id, n_name as title, row_number() over (order by n_nationkey) - 1 as ord from nation"
+def record_json() -> Column:
+    return F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"))
 
 
-@query(PLACED)
+def filed(spark, sf, record: Column, wrap, tag: str, compression: str = "none") -> str:
+    """Documents as a folder of whole-file JSON documents, written by Spark: a file holds the records of PER_FILE ids in order, in the payload that ``wrap`` makes of their array."""
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / PER_FILE).alias("file"), F.struct("doc_id", record.alias("r")).alias("x"))
+    files = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("records"))
+    path = new_path(spark, tag)
+    files.select(F.to_json(wrap(F.col("records"))).alias("value")).write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
+    return path
+
+
+@query(FILED)
 def source_catalog(spark, sf):
-    return catalogs.read_catalog(spark, document(spark, {"metadata": {}, "materials": nations(spark, sf)}, "catalog"), NAMED)
+    wrap = lambda r: F.struct(F.create_map(F.lit("n"), F.lit("1")).alias("metadata"), r.alias("materials"))
+    return catalogs.read_catalog(spark, filed(spark, sf, record_json(), wrap, "catalog"), NAMED)
 
 
-@query(PLACED)
+@query(FILED)
 def source_gzip(spark, sf):
-    return catalogs.read_catalog(spark, document(spark, {"records": nations(spark, sf)}, "gzip", True), NAMED, "records")
+    return catalogs.read_catalog(spark, filed(spark, sf, record_json(), lambda r: F.struct(r.alias("records")), "gzip", "gzip"), NAMED, "records")
 
 
-@query(PLACED)
+@query(FILED)
 def source_array(spark, sf):
-    return catalogs.read_array_or_wrapped(spark, document(spark, nations(spark, sf), "array"), NAMED, "books")
+    return catalogs.read_array_or_wrapped(spark, filed(spark, sf, record_json(), lambda r: r, "array"), NAMED, "books")
 
 
-@query(PLACED)
+@query(FILED)
 def source_wrapped(spark, sf):
-    return catalogs.read_array_or_wrapped(spark, document(spark, {"n": 1, "books": nations(spark, sf)}, "wrapped"), NAMED, "materials", "books")
+    return catalogs.read_array_or_wrapped(spark, filed(spark, sf, record_json(), lambda r: F.struct(F.lit(1).alias("n"), r.alias("books")), "wrapped"), NAMED, "materials", "books")
 
 
-@query("select 'source' as key, 'all nations' as value")
+@query(f"select 'n' as key, cast(count(*) as varchar) as value from documents group by doc_id // {PER_FILE}")
 def source_metadata(spark, sf):
-    path = document(spark, {"metadata": {"source": "all nations"}, "materials": nations(spark, sf)}, "metadata")
-    return catalogs.read_metadata(spark, path).select(F.explode("metadata").alias("key", "value"))
+    wrap = lambda r: F.struct(F.create_map(F.lit("n"), F.size(r).cast("string")).alias("metadata"), r.alias("materials"))
+    return catalogs.read_metadata(spark, filed(spark, sf, record_json(), wrap, "metadata")).select(F.explode("metadata").alias("key", "value"))
 
 
 @query("select n_regionkey::varchar as category, n_name as title, row_number() over (order by n_regionkey, n_nationkey) - 1 as place from nation")
@@ -76,10 +86,10 @@ def source_groups(spark, sf):
     return ordering.row_numbers(rows, "ord", name="place").select(F.col("sourceCategory").alias("category"), "title", F.col("place").cast("long").alias("place"))
 
 
-@query("select n_nationkey::bigint as id, 'message' as type, n_name || '.pdf' as file_name, case when n_nationkey % 2 = 0 then '[\"a\",{\"text\":\"b\"}]' else 'plain' end as text from nation")
+@query("select doc_id as id, 'message' as type, source || '.pdf' as file_name, text from documents")
 def source_messages(spark, sf):
-    rows = [{"id": int(r["id"]), "type": "message", "file_name": r["title"] + ".pdf", "mime_type": "application/pdf", "text": ["a", {"text": "b"}] if int(r["id"]) % 2 == 0 else "plain"} for r in nations(spark, sf)]
-    return catalogs.read_messages(spark, document(spark, {"messages": rows}, "messages")).select("id", "type", "file_name", "text")
+    message = F.struct(F.col("doc_id").alias("id"), F.lit("message").alias("type"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.lit("application/pdf").alias("mime_type"), F.col("text"))
+    return catalogs.read_messages(spark, filed(spark, sf, message, lambda r: F.struct(r.alias("messages")), "messages")).select("id", "type", "file_name", "text")
 
 
 @query("select n_regionkey::bigint as page_id, n_name as title, '/ar/' || n_nationkey as path, 'A ' || n_name as author, n_nationkey::int as volumes, 100 + n_nationkey::int as pages from nation")
