@@ -7,6 +7,8 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by the n-gram Jaccard join."""
+    """One document, that of the least doc_id, of each group linked by the n-gram Jaccard join; rows that share an id are told apart by their text."""
     return keep_one(docs)
 
 
@@ -38,7 +40,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for private data, under the session's key; n_chars follows the text."""
-    return pseudonymize(docs, spark.conf.get(PII_KEY, DEFAULT_KEY)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    key = spark.conf.get(PII_KEY, None)
+    if key is None:
+        warnings.warn(f"{PII_KEY} is not set: pseudonyms are made with a public key for tests, and anybody can undo them", stacklevel=2)
+    return pseudonymize(docs, key or DEFAULT_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
