@@ -216,3 +216,14 @@ SUSPICIOUS_RULES = (
     ("مجموع أو جزء ظاهر", r"(?:الجزء|مجلد|مجموعه|مختارات|منتخبات|الاعمال الشعريه الكامله)"),
     ("تلوث بعنوان التحميل أو القراءة", r"(?:كتاب اقرا|اونلاين|online|pdf)"),
 )
+#: Reviews of accepted titles, by the batch that they are made for: label and pattern.
+LINGUISTICS_REVIEW = (
+    ("school-like", r"(?:الصف(?:\s|$)|المرحلة\s*(?:الابتدائية|الإعدادية|الاعدادية|الثانوية)|ابتدائي|ابتدائية|إعدادي|اعدادي|ثانوي|امتحان|اختبار|مذكرة|ملزمة|كراسة|ورقة\s*عمل|دليل\s*المعلم|دليل\s*الطالب|تلاميذ|التلميذ|مدرسة|مدارس|كتاب\s*(?:الطالب|التلميذ))"),
+    ("noisy", r"(?:^\s*[_○♣♦•·\d\-]+|اقرا\s*اونلاين|اقرأ\s*اونلاين|\bpdf\b|\bhtm\b|\bhtml\b|\bwww\b|upscaled|صيغة\s*(?:ويب|وورد|word)|\bكتاب\s+اقرا)"),
+    ("pedagogic", r"(?:تعليم|تدريس|طرائق\s*تدريس|مناهج\s*اللغة|تعلم\s*اللغة)"),
+)
+DICTIONARY_REVIEW = (
+    ("suspicious", r"(?:شيوخ|رجال|صحابة|رواة|بلدان|أنساب|قبائل|فتاوى|فقه|فقهاء|قراءات|مؤلفين|مخطوطات|طرق صوفية|أعلام|سير|تراجم|دول|تاريخ|سياسة|طب|هندسة|اقتصاد|قانون|رياضيات)"),
+    ("school-like", r"(?:مراجعة|اختبار|امتحان|تمارين|ورقة عمل|الصف|الثانوي|الابتدائي|واجبات)"),
+    ("malformed", r"(?:^\d{3,}|\bpdf\b|\bbook\b|_)"),
+)

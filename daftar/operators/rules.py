@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packs
@@ -277,6 +277,21 @@ def risk_flags(key: Column, rules=packs.RISK_RULES) -> Column:
     return all_matches([Rule(test(key, (p, "")), label) for label, p in rules])
 
 
+def title_review(title: Column, rules=packs.LINGUISTICS_REVIEW) -> Column:
+    """All labels of a review that a shown title meets; what is school-like is not pedagogic besides."""
+    of = {label: test(title, (p, "i")) for label, p in rules}
+    school = of.get("school-like", F.lit(False))
+    return all_matches([Rule(c & ~school if label == "pedagogic" else c, label) for label, c in of.items()])
+
+
+def review_counts(df: DataFrame, title: str, rules=packs.LINGUISTICS_REVIEW) -> DataFrame:
+    """(label, n) of a review over accepted records, labels without rows included; one pass."""
+    labels = title_review(F.col(title), rules)
+    one = df.select(labels.alias("labels")).agg(*(F.count_if(F.array_contains("labels", label)).alias(label) for label, _ in rules))
+    pairs = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"`{label}`").alias("n")) for label, _ in rules))
+    return one.select(F.explode(pairs).alias("p")).select("p.label", "p.n")
+
+
 def canonical_keys(titles: Sequence[str]) -> list[str]:
     """Canonical keys of listed titles, on the driver."""
     from ..functions.normalize import IMPORT, py_normalize

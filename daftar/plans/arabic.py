@@ -660,3 +660,39 @@ def requeued_buffer(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "/__manus__/logs").otherwise("/").alias("url"), F.when(F.col("props").contains("1"), "a no-record b").otherwise("x").alias("classes"))
     seen = telemetry.recorded(e, "url", "classes", "no-record")
     return telemetry.requeue(seen.filter("event_id % 2 = 0"), seen.filter("event_id % 2 = 1"), ["event_type"], 40, "event_id").select("event_id")
+
+
+#: Titles with the labels that a reader gives them in the two reviews; the SQL states these, not the patterns.
+REVIEWED = (
+    ("كتاب الطالب في النحو", "school-like", ""),
+    ("مذكرة الصف الأول الثانوي", "school-like", "school-like"),
+    ("اقرأ اونلاين معجم المعاني", "noisy", ""),
+    ("طرائق تدريس اللغة العربية", "pedagogic", ""),
+    ("تعليم النحو في مدارس مصر", "school-like", ""),
+    ("معجم تراجم الأعلام", "", "suspicious"),
+    ("ورقة عمل في الإملاء", "school-like", "school-like"),
+    ("لسان العرب pdf", "noisy", "malformed"),
+    ("2024 معجم تاريخ الطب", "noisy", "suspicious|malformed"),
+    ("لسان العرب", "", ""),
+    ("معجم_المعاني", "", "malformed"),
+    ("lexicon pdfs", "", ""),
+)
+_REVIEW_SQL = " ".join(f"when {k} then [{q(a)}, {q(b)}]" for k, (_, a, b) in enumerate(REVIEWED))
+
+
+def reviewed(spark, sf) -> DataFrame:
+    titles = F.array(*(F.lit(t) for t, _, _ in REVIEWED))
+    return table(spark, sf, "documents").select("doc_id", F.element_at(titles, (F.pmod("doc_id", F.lit(len(REVIEWED))) + 1).cast("int")).alias("title"))
+
+
+@query(f"select doc_id, l[1] as linguistics, l[2] as dictionary from (select doc_id, case doc_id % {len(REVIEWED)} {_REVIEW_SQL} end as l from documents)")
+def title_reviews(spark, sf):
+    """School-like, noisy, pedagogic, suspicious and malformed titles of accepted records."""
+    labels = lambda rules_: F.array_join(rules.title_review(col("title"), rules_), "|")
+    return reviewed(spark, sf).select("doc_id", labels(packs.LINGUISTICS_REVIEW).alias("linguistics"), labels(packs.DICTIONARY_REVIEW).alias("dictionary"))
+
+
+@query(f"""with l as (select case doc_id % {len(REVIEWED)} {_REVIEW_SQL} end as l from documents)
+select label, count(*) filter (where contains('|' || l[2] || '|', '|' || label || '|')) as n from l, (values ('suspicious'), ('school-like'), ('malformed')) v(label) group by label""")
+def title_review_counts(spark, sf):
+    return rules.review_counts(reviewed(spark, sf), "title", packs.DICTIONARY_REVIEW)
