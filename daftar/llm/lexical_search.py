@@ -115,7 +115,7 @@ def build_index(docs: DataFrame, column: str = "text") -> tuple[DataFrame, str]:
     """The index over all rows of ``docs`` and its path in the shared folder. No shuffle."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_index, INDEX), "lexical")
+    return materialize(rows.mapInArrow(_index, INDEX), "lexical", large_rows=True)
 
 
 class Vocabulary:

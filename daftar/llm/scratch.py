@@ -50,13 +50,17 @@ def cleaned_up(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder and return it as read back, with its path."""
+#: Parquet's writer counts what it holds from its 100th row on, and a reader takes a row group at once: for rows of megabytes both are told to look at every row.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
+def materialize(df: DataFrame, tag: str, large_rows: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder and return it as read back, with its path. Tables of ``large_rows`` are held a few rows at a time."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     small_batches(spark)
     with cleaned_up(spark):
-        df.write.parquet(path)
+        df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

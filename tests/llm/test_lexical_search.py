@@ -101,3 +101,18 @@ def test_words_with_one_hash(monkeypatch):
     found = v.find(keys, words, ends)
     held = {v.words[k].decode(): sorted(zip(docs[starts[f] : starts[f + 1]].tolist(), counts[starts[f] : starts[f + 1]].tolist(), strict=True)) for k, f in enumerate(found) if f >= 0}
     assert held == {"aa": [(0, 2)], "bb": [(0, 1), (3, 2)], "cc": [(0, 1), (1, 1)], "ddd": [(0, 1)], "zz": [(1, 1)]}
+
+
+def test_large_rows_are_held_a_few_at_a_time(spark):
+    """Shards are rows of megabytes: no row group holds many, so neither does a task that writes or reads them."""
+    import pyarrow.parquet as pq
+
+    from daftar.llm.scratch import materialize
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "encode(array_join(transform(sequence(1, 16384), x -> sha2(concat(id, '-', x), 256)), ''), 'utf-8') as blob")
+    kept, path = materialize(rows, "large", large_rows=True)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept.inputFiles()]
+    assert sum(m.num_rows for m in files) == 40 and max(m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)) <= 17
+    index, _ = ls.build_index(spark.range(3).selectExpr("id as doc_id", "'a b' as text"))
+    one = pq.ParquetFile(index.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    assert not any("DICTIONARY" in e for c in range(one.num_columns) for e in one.column(c).encodings)
