@@ -220,3 +220,10 @@ def test_fixed_counts_show_zeros(spark):
 def test_every_of_nothing_is_true(spark):
     df = spark.createDataFrame([], "x boolean")
     assert tuple(df.agg(agg.every(F.col("x")), agg.some(F.col("x"))).collect()[0]) == (True, False)
+
+
+def test_grams_are_dealt_not_gathered_in_the_driver(spark):
+    """Spark takes the grams of a title for one row when it chooses what to broadcast."""
+    titles = near.classes(near.members(spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "abcdefghijklmnopqrstuvwxy")], "id long, t string"), "id", "t"))
+    pairs = near.near_classes(titles, titles, True)
+    assert pairs.count() == 4 and "Broadcast" not in pairs._jdf.queryExecution().toString()
