@@ -11,7 +11,7 @@ from ..functions.text import empty_to_null
 from .joins import anti_keys
 from .near import classes, first_near, near_classes, threshold
 from .near import members as titled
-from .shared import discard, written
+from .shared import dealt, discard, written
 
 #: The name of a near title among reasons, and its number among the kinds of groups.
 NEAR, NEAR_KIND = "near", -1
@@ -31,7 +31,7 @@ def key_groups(df: DataFrame, keys: list[Column], ord_: str) -> DataFrame:
     for k, key in enumerate(keys):
         own = df.select(F.col(ord_).cast("long").alias("o"), empty_to_null(key).alias("key")).filter("key is not null")
         heads = own.groupBy("key").agg(F.min("o").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-        part = own.join(heads, "key").select("o", F.lit(k).alias("kind"), "head", F.lit(True).alias("looks"))
+        part = own.join(dealt(heads), "key").select("o", F.lit(k).alias("kind"), "head", F.lit(True).alias("looks"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -43,8 +43,8 @@ def near_groups(df: DataFrame, title: str, adaptive: bool, ord_: str) -> tuple[D
     pairs, _ = written(near_classes(titles, titles, adaptive).filter("left_class != right_class").select(F.col("left_class").cast("long").alias("head"), F.col("right_class").cast("long").alias("before")), "near")
     paired = pairs.select(F.explode(F.array("head", "before")).alias("class_id")).distinct().withColumn("paired", F.lit(True))
     looks = threshold(F.length("key"), adaptive).isNotNull()
-    some = titles.join(paired, "class_id", "left").filter(F.col("paired").isNotNull() | (looks & (F.col("n_rows") > 1))).select("key", "class_id", looks.alias("looks"))
-    return rows.join(some, "key").select(F.col("id").cast("long").alias("o"), F.lit(NEAR_KIND).alias("kind"), F.col("class_id").cast("long").alias("head"), "looks"), pairs
+    some = titles.join(dealt(paired), "class_id", "left").filter(F.col("paired").isNotNull() | (looks & (F.col("n_rows") > 1))).select("key", "class_id", looks.alias("looks"))
+    return rows.join(dealt(some), "key").select(F.col("id").cast("long").alias("o"), F.lit(NEAR_KIND).alias("kind"), F.col("class_id").cast("long").alias("head"), "looks"), pairs
 
 
 def _seen(undecided: DataFrame, kept: DataFrame, pairs: DataFrame | None) -> DataFrame:
@@ -119,7 +119,7 @@ def greedy(df: DataFrame, keys: Mapping[str, Column], near_title: str | None = N
         discard(spark, state_path, decided_path, *used, *paths)
         paths = [kept_path, left_path]
     reason = _reasons(every, kept, pairs, names)
-    out = df.join(reason, F.col(ord_) == F.col("r_ord"), "left")
+    out = df.join(dealt(reason), F.col(ord_) == F.col("r_ord"), "left")
     return out.withColumn("kept", F.col("reason").isNull()).drop("r_ord")
 
 

@@ -227,3 +227,11 @@ def test_grams_are_dealt_not_gathered_in_the_driver(spark):
     titles = near.classes(near.members(spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "abcdefghijklmnopqrstuvwxy")], "id long, t string"), "id", "t"))
     pairs = near.near_classes(titles, titles, True)
     assert pairs.count() == 4 and "Broadcast" not in pairs._jdf.queryExecution().toString()
+
+
+def test_greedy_deals_groups_and_reasons(spark):
+    df = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "abcdefghijklmnopqrstuvwxy"), (3, "a")], "ord long, t string")
+    out = greedy(df, {"t": F.col("t")}, "t")
+    assert {r["ord"]: r["kept"] for r in out.collect()} == {1: True, 2: False, 3: True}
+    last = [j for j in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in j][0]
+    assert "strategy=merge" in last, last
