@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dealt, written
 
 
 def _level(length: Column) -> Column:
@@ -29,7 +29,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     bin_of = lambda t, level: F.call_function("shiftright", t.cast("long"), level)
     binned = sized.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col(start), F.col("_level")), bin_of(F.col(end) - 1, F.col("_level"))))))
     looking = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_bin", bin_of(F.col(at), F.col("_level")))
-    met = looking.join(binned, [*keys, "_level", "_bin"])
+    met = looking.join(dealt(binned), [*keys, "_level", "_bin"])
     return met.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_level", "_bin")
 
 

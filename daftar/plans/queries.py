@@ -16,7 +16,7 @@ from ..operators.filters import facets, tokens_and
 from ..operators.near import near_links, near_pairs
 from ..operators.report import cell, constraints, markdown_rows
 from ..operators.rules import Rule, all_matches, first_match, score
-from ..operators.shared import written
+from ..operators.shared import dealt, written
 from ..operators.substring_index import SubstringIndex
 from ..operators.temporal import as_of, interval_join
 from ..sources.sinks import trim_log
@@ -478,7 +478,7 @@ def open_orders(spark, sf):
     """The customer's orders that are placed and not all shipped when an order comes in: points to the intervals that hold them."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
     shipped = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.unix_micros(F.max("l_shipdate").cast("timestamp")).alias("z"))
-    i = o.join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_orderkey").alias("open_order"), F.col("at").alias("a"), "z")
+    i = o.join(dealt(shipped), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("o_orderkey").alias("open_order"), F.col("at").alias("a"), "z")
     return interval_join(o, i, ["o_custkey"], "at", "a", "z").select("o_orderkey", "open_order")
 
 

@@ -61,3 +61,10 @@ def test_as_of_equals_the_loop(spark, keys):
         u, o, v = max(fit) if fit else (None, None, None)
         assert got[p] == (t, v, o)
     assert len(got) == len(left) and as_of(a, b.limit(0), ["k"], "t", "u", ["v"], "o").filter("v is not null").count() == 0
+
+
+def test_points_are_dealt_not_gathered_in_the_driver(spark):
+    """A point counts once for each length of interval, which Spark's estimate for a broadcast leaves out."""
+    a, b = spark.createDataFrame([("a", 3, 1)], "k string, t long, p long"), spark.createDataFrame([("a", 1, 5, 2)], "k string, s long, e long, i long")
+    joined = interval_join(a, b, ["k"], "t", "s", "e")
+    assert joined.count() == 1 and "Broadcast" not in joined._jdf.queryExecution().toString()
