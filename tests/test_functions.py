@@ -105,3 +105,14 @@ def test_all_patterns_compile(spark):
     patterns = [p for pack in (packs.TITLES, packs.LITERATURE, packs.GRAMMAR, packs.RHETORIC, packs.DIWAN, packs.UPLOAD, packs.MERGE, packs.REFINE) for p in pack.values()]
     df = spark.createDataFrame([("نص",)], "t string")
     assert df.select(*(T.test(F.col("t"), p).alias(f"c{i}") for i, p in enumerate(patterns))).count() == 1
+
+
+@pytest.mark.parametrize("name", ["latin", "search", "import", "refine"])
+def test_all_but_kept_letters_take_one_pass(spark, name):
+    """A pass over the text with a match for each blank took most of a query's time."""
+    p = N.PROFILES[name]
+    odd = ["a  b\t c﻿ d", "\U0001f600x\U0001d54f9\x00é\x0b", " 　", "", None, "كتاب ١ 7‏", "A-_[]^b\\c", "ǅİI"]
+    assert column(spark, odd, N.normalize(F.col("t"), p)) == [N.py_normalize(v, p) for v in odd]
+    if name == "latin":
+        plan = spark.createDataFrame([("a",)], "t string").select(N.normalize(F.col("t"), p).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.splitlines()[0].count("regexp_replace(") == 1, plan
