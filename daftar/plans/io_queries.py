@@ -203,9 +203,9 @@ def source_pages_limited(spark, sf):
 
 
 def _drained(spark, where: str, out: str, batches: int | None = None) -> None:
-    """Read the feed into ``out`` until nothing comes, or only some batches, from where an earlier run stopped."""
+    """Read the feed into ``out`` until nothing comes, or only some batches, from where an earlier run stopped. What is left comes in growing batches."""
     spark.dataSource.register(_DocumentFeed)
-    feed = spark.readStream.format("document_feed").option("url", where).option("stateLocation", f"{out}/place").option("answersPerBatch", 3).option("pauseSeconds", 0).load()
+    feed = spark.readStream.format("document_feed").option("url", where).option("stateLocation", f"{out}/place").option("answersPerBatch", 3).option("catchUpAnswers", 3 if batches else 1024).option("pauseSeconds", 0).load()
     run = feed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="0 seconds").start()
     try:
         if batches is None:

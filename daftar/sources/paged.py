@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 # --- fixed values: the remote service's limits ---
 ROWS, MAX_PAGES, MAX_RESULTS, PAUSE_S, TIMEOUT_S, ATTEMPTS, CHUNK, WORKERS = 1000, 5, 5000, 0.25, 30, 3, 25, 6
+#: Tasks of a batch of a cursor feed.
+TASKS = 64
 
 
 def http_json(url: str, timeout: float = TIMEOUT_S) -> dict:
@@ -125,18 +127,20 @@ def pages_until_empty(fetch: Callable[[int], str], cards: Callable[[str], list])
         yield page, html
 
 
-class _Answer(InputPartition):
-    def __init__(self, n: int, cursor: str):
-        super().__init__((n, cursor))
-        self.n, self.cursor = n, cursor
+class _Answers(InputPartition):
+    def __init__(self, n: int, cursors: list[str]):
+        super().__init__((n, cursors))
+        self.n, self.cursors = n, cursors
 
 
 class CursorStreamReader(DataSourceStreamReader):
     """A cursor interface as a stream: an answer holds items and the cursor of the next answer.
 
     An offset holds the number of answers so far, the next cursor and the
-    cursors of its batch, so a batch that is tried again reads the same answers,
-    each in a task of its own. Only cursors pass through planning. Spark does
+    cursors of its batch, so a batch that is tried again reads the same answers.
+    A batch holds ``answersPerBatch``; up to ``catchUpAnswers``, if that is more,
+    each batch is twice the one before, so that a long feed takes few. A task
+    reads one answer, or several where a batch has more than TASKS. Only cursors pass through planning. Spark does
     not tell a restarted reader where it stood, so the place is also kept in
     ``stateLocation``, written when a batch is planned, after Spark has logged
     its offset: it is the last logged place, or one batch behind it, and that
@@ -145,6 +149,7 @@ class CursorStreamReader(DataSourceStreamReader):
 
     def __init__(self, options, fetch: Callable[[str], dict] = http_json):
         self.base, self.per_batch = options["url"], int(options.get("answersPerBatch", 10))
+        self.most = max(self.per_batch, int(options.get("catchUpAnswers", 0)))
         self.state, self.pause, self.fetch = options["stateLocation"].rstrip("/"), float(options.get("pauseSeconds", PAUSE_S)), fetch
         self.place: dict | None = None
 
@@ -166,7 +171,8 @@ class CursorStreamReader(DataSourceStreamReader):
             with_state = files.get_file_info(f"{path}/place.json").is_file
             self.place = json.loads(files.open_input_stream(f"{path}/place.json").read()) if with_state else self.initialOffset()
         cursor, batch, done = self.place["next"], [], self.place["done"]
-        while not done and len(batch) < self.per_batch:
+        wanted = max(self.per_batch, min(self.most, 2 * len(json.loads(self.place["batch"]))))
+        while not done and len(batch) < wanted:
             answer = self.get(cursor)
             batch.append(cursor)
             cursor, done = answer.get("cursor") or "", not answer.get("cursor")
@@ -184,11 +190,13 @@ class CursorStreamReader(DataSourceStreamReader):
         if start["n"] >= end["n"]:
             return []
         batch = json.loads(end["batch"])
-        return [_Answer(end["n"] - len(batch) + k, c) for k, c in enumerate(batch)]
+        size = -(-len(batch) // TASKS)
+        return [_Answers(end["n"] - len(batch) + k, batch[k : k + size]) for k in range(0, len(batch), size)]
 
-    def read(self, partition: _Answer) -> Iterator[tuple]:
-        for k, item in enumerate(self.get(partition.cursor).get("items", [])):
-            yield partition.n, k, json.dumps(item, ensure_ascii=False)
+    def read(self, partition: _Answers) -> Iterator[tuple]:
+        for n, cursor in enumerate(partition.cursors, partition.n):
+            for k, item in enumerate(self.get(cursor).get("items", [])):
+                yield n, k, json.dumps(item, ensure_ascii=False)
 
 
 class CursorFeed(DataSource):

@@ -82,3 +82,18 @@ def test_a_feed_that_is_stopped_goes_on_where_it_stood(tmp_path):
         start = end
     assert [(a, k, int(j)) for a, k, j in seen] == [(a, k, a * 3 + k) for a in range(7) for k in range(3)]
     assert reader.latestOffset() == start and reader.partitions(start, start) == []
+
+
+def test_a_long_feed_takes_few_batches(tmp_path):
+    """Batches double up to catchUpAnswers; answers keep their numbers, also where a task reads several."""
+    options = {"url": "http://stub", "stateLocation": f"file://{tmp_path}/state", "answersPerBatch": "2", "catchUpAnswers": "200", "pauseSeconds": "0"}
+    reader = CursorStreamReader(options, feed(300, 3))
+    start, seen, sizes = reader.initialOffset(), [], []
+    while (end := reader.latestOffset()) != start:
+        parts = reader.partitions(start, end)
+        assert len(parts) <= 64
+        seen += [x for p in parts for x in reader.read(p)]
+        sizes.append(end["n"] - start["n"])
+        start = end
+    assert sizes == [2, 4, 8, 16, 32, 64, 128, 46] and len(seen) == 900
+    assert [(n, k) for n, k, _ in seen] == [(i // 3, i % 3) for i in range(900)]
