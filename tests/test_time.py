@@ -65,6 +65,6 @@ def test_as_of_equals_the_loop(spark, keys):
 
 def test_points_are_dealt_not_gathered_in_the_driver(spark):
     """A point counts once for each length of interval, which Spark's estimate for a broadcast leaves out."""
-    a, b = spark.createDataFrame([("a", 3, 1)], "k string, t long, p long"), spark.createDataFrame([("a", 1, 5, 2)], "k string, s long, e long, i long")
+    a, b = spark.range(3, 4).selectExpr("'a' as k", "id as t"), spark.range(1, 2).selectExpr("'a' as k", "id as s", "id + 4 as e")
     joined = interval_join(a, b, ["k"], "t", "s", "e")
     assert joined.count() == 1 and "Broadcast" not in joined._jdf.queryExecution().toString()
