@@ -235,3 +235,44 @@ def test_greedy_deals_groups_and_reasons(spark):
     assert {r["ord"]: r["kept"] for r in out.collect()} == {1: True, 2: False, 3: True}
     last = [j for j in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in j][0]
     assert "strategy=merge" in last, last
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of ``df`` wrote when it was collected."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            total += node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_letters_of_long_titles_are_not_shuffled(spark):
+    r = random.Random(8)
+    titles = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000)) for _ in range(100)]
+    titles += [t[:500] + "-" + t[501:] for t in titles[:10]] + ["\U0001f4d6كتاب" * 9, "\U0001f4d6كتاب" * 8 + "\U0001f4d6كتب"]
+    rows = near.classes(near.members(spark.createDataFrame(list(enumerate(titles)), "id long, t string"), "id", "t"))
+    pairs = near.near_classes(rows, rows, True)
+    assert shuffled_rows(pairs) < 10_000
+    met = {(i, 100 + i) for i in range(10)} | {(110, 111)}
+    assert {(r["left_class"], r["right_class"]) for r in pairs.filter("distance = 1").collect()} == met | {(j, i) for i, j in met}
+
+
+def test_the_square_of_a_title_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16, raising=False)
+    title = "the history of the river and its towns"
+    rows = [(i, title) for i in range(150)] + [(None, title), (None, title)] + [(200 + i, title + "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    pairs = near.near_pairs(df, df, "id", "id", "t", True)
+    ids = [i for i, _ in rows]
+    got = sorted(map(str, pairs.collect()))
+    assert got == sorted(f"Row(left_id={a}, right_id={b}, distance={int((x < 152) != (y < 152))})" for x, a in enumerate(ids) for y, b in enumerate(ids))
+    tasks = [n for n in pairs.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(tasks) > 1 and max(tasks) < sum(tasks) / 2, tasks
