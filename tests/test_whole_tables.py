@@ -35,6 +35,18 @@ def test_near_titles_of_all_documents(spark, small, name):
     assert got == pairs(name == "adaptive") and (2, 3) in got and (7, 8) in got
 
 
+@pytest.mark.parametrize("name", ["fixed", "adaptive"])
+def test_pairs_of_one_title_are_made_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    from daftar.operators import near
+
+    monkeypatch.setattr(near, "BLOCK", 16, raising=False)
+    rows = [(k, "the history of the river and its towns\nrest of it", "en", "s", k) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[f"near_title_pairs_{name}"](spark, str(tmp_path))
+    tasks = [n for n in got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(tasks) == 200 * 199 and len(tasks) > 1 and max(tasks) < sum(tasks) / 2, tasks
+
+
 def test_greedy_takes_near_titles(spark, small):
     near, kept = pairs(False), []
     for i, t in enumerate(TITLES):
